@@ -2,24 +2,88 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shockwell.llm.decontaminate import find_contamination
 from shockwell.llm.lines import drop_shared_lines
+from shockwell.llm.packing import pack_documents
+from shockwell.llm.scratch import shared_dir
+from shockwell.llm.shards import shuffle_to_shards
 from shockwell.llm.simhash import simhash_groups
+from shockwell.llm.tokenfiles import read_token_files, write_token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law `rows`: shard sizes are at most one apart; equal texts are shuffled like any others."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = shuffle_to_shards(rows, shards=8)
+    return done.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda n, s: n + s["ends"] - s["starts"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("starts") > 0).alias("contaminated"),
+    )
+
+
+OP5_SQL = """
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+bw AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+bi AS (SELECT item, w, least(len(w), 10) AS n FROM bw WHERE len(w) > 0),
+bs AS (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM bi),
+p AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS phrase FROM bs),
+sizes AS (SELECT DISTINCT n FROM p),
+ds AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM dw CROSS JOIN sizes WHERE len(w) >= n),
+dp AS (SELECT doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') AS phrase FROM ds),
+m AS (SELECT doc_id, item, dp.n, s FROM dp JOIN p ON dp.n = p.n AND dp.phrase = p.phrase),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN h ON dw.doc_id = h.doc_id LEFT JOIN i ON dw.doc_id = i.doc_id
+"""
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    write_token_files(table(spark, sf_dir, "documents"), path)
+    return read_token_files(spark, path).withColumnRenamed("key", "doc_id")
+
+
 def op9_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = drop_shared_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -39,8 +103,15 @@ FROM m GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op9_shared_lines": op9_shared_lines}
+    return {
+        "op1_sharding": op1_sharding,
+        "op3_simhash": op3_simhash,
+        "op5_decontamination": op5_decontamination,
+        "op7_packing": op7_packing,
+        "op8_token_files": op8_token_files,
+        "op9_shared_lines": op9_shared_lines,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_shared_lines": OP9_SQL}
+    return {"op5_decontamination": OP5_SQL, "op9_shared_lines": OP9_SQL}
