@@ -98,7 +98,7 @@ class Shard:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
                     merged.append([a, b])
-            names = sorted(self.phrases.names[i] for i in items[k]) if k in items else []
+            names = sorted({self.phrases.names[i] for i in items[k]}) if k in items else []
             out.append((key, text, n, [x[0] for x in merged], [x[1] for x in merged], names))
         return pd.DataFrame(out, columns=["id", "text", "n_words", "starts", "ends", "items"]).astype({"id": "Int64"})
 

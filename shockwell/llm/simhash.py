@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from shockwell.llm.components import connected_components
 from shockwell.llm.scratch import materialise
 
+#: Fingerprints that a bucket holds at most before it is split.
+MOST_IN_BUCKET = 1 << 16
+
 
 def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
     """Unsigned 64-bit SimHash: a bit is 1 if over half of the shingles' XXH64 (seed 42) have it; no words: 0."""
@@ -43,16 +47,21 @@ def _fingerprints(words_per_shingle: int):
     return run
 
 
-def block_masks(blocks: int, distance: int) -> list[int]:
-    """Masks over 64 bits. Two values within `distance` bits agree under at least one: of `blocks` blocks, at most
-    `distance` differ, so some choice of `blocks - distance` blocks is equal."""
-    if not distance < blocks <= 64:
-        raise ValueError("needs more blocks than differing bits, and at most 64")
-    edges = np.linspace(0, 64, blocks + 1).round().astype(int).tolist()
-    part = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+def block_masks(blocks: int, distance: int, bits: int = (1 << 64) - 1) -> list[int]:
+    """Masks over the given bits. Two values that differ in at most `distance` of them agree under at least one: of
+    `blocks` blocks, at most `distance` differ, so some choice of `blocks - distance` blocks is equal."""
+    places = [k for k in range(64) if bits >> k & 1]
+    if not distance < blocks <= len(places):
+        raise ValueError("needs more blocks than differing bits, and at most one for each bit")
+    edges = np.linspace(0, len(places), blocks + 1).round().astype(int).tolist()
+    part = [sum(1 << k for k in places[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
     return [sum(c) for c in combinations(part, blocks - distance)]
 
 
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def _bucket_edges(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Edges that span the groups of `members` linked within `distance` bits: each member found is compared with those
     not found yet, so a dense bucket costs little more than its size."""
@@ -70,10 +79,10 @@ def _bucket_edges(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _links(masks: list[int], distance: int):
-    def emit(combo: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
-        key = fp & np.array(masks, dtype=np.uint64)[combo]
-        new = np.concatenate(([True], (combo[1:] != combo[:-1]) | (key[1:] != key[:-1])))
+def _links(distance: int, most: int):
+    def emit(fp: np.ndarray, mask: np.ndarray) -> pd.DataFrame:
+        key = fp & mask
+        new = np.concatenate(([True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])))
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(fp)))
         a, b = fp[start[size == 2]], fp[start[size == 2] + 1]
@@ -83,51 +92,92 @@ def _links(masks: list[int], distance: int):
             if found := _bucket_edges(fp[s : s + n], distance):
                 edges.append(np.array(found, dtype=np.uint64))
         both = np.unique(np.concatenate(edges), axis=0).view(np.int64)
-        return pd.DataFrame({"src": both[:, 0], "dst": both[:, 1]})
+        return pd.DataFrame({"src": both[:, 0], "dst": both[:, 1], "mask": pd.Series([None] * len(both), dtype="Int64")})
+
+    def left(fp: np.ndarray, mask: np.uint64) -> pd.DataFrame:
+        return pd.DataFrame({"src": fp.view(np.int64), "dst": fp.view(np.int64), "mask": pd.Series(np.full(len(fp), mask).view(np.int64), dtype="Int64")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by combination and block value; a bucket that goes on in the next batch is carried over."""
-        held_combo, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        """Rows come sorted by mask and block; a bucket that goes on in the next batch is carried over. One that grows
+        beyond `most` rows leaves as rows with its mask, which the caller splits further."""
+        held, held_mask = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        full = None  # (mask, block) of a bucket that is leaving
         for batch in batches:
-            if not len(batch):
+            fp, mask = (batch[c].to_numpy(np.int64).view(np.uint64) for c in ("fp", "mask"))
+            if full is not None:
+                own = (mask == full[0]) & ((fp & full[0]) == full[1])
+                if own.any():
+                    yield left(fp[own], full[0])
+                fp, mask = fp[~own], mask[~own]
+            fp, mask = np.concatenate([held, fp]), np.concatenate([held_mask, mask])
+            if not len(fp):
                 continue
-            combo = np.concatenate([held_combo, batch["combo"].to_numpy(np.int64)])
-            fp = np.concatenate([held_fp, batch["fp"].to_numpy(np.int64).view(np.uint64)])
-            mask = np.uint64(masks[int(combo[-1])])
-            last = (combo == combo[-1]) & ((fp & mask) == (fp[-1] & mask))
-            held_combo, held_fp = combo[last], fp[last]
+            last = (mask == mask[-1]) & ((fp & mask[-1]) == (fp[-1] & mask[-1]))
+            held, held_mask = fp[last], mask[last]
             if not last.all():
-                yield emit(combo[~last], fp[~last])
-        if len(held_fp):
-            yield emit(held_combo, held_fp)
+                yield emit(fp[~last], mask[~last])
+            if len(held) > most:
+                full = (held_mask[0], held[0] & held_mask[0])
+                yield left(held, full[0])
+                held, held_mask = held[:0], held_mask[:0]
+        if len(held):
+            yield emit(held, held_mask)
 
     return run
 
 
+def _finer(distance: int, blocks: int):
+    """Splits rows of large buckets: what differs lies outside the bucket's mask, and blocks of those bits are chosen anew."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for mask, part in batch.groupby("mask"):
+                held = int(mask) & (1 << 64) - 1
+                for more in block_masks(blocks, distance, ~held & (1 << 64) - 1):
+                    m = signed(held | more)
+                    yield pd.DataFrame({"fp": part["fp"], "mask": m, "block": part["fp"] & m})
+
+    return run
+
+
+def fingerprint_links(nodes: DataFrame, distance: int, blocks: int, most: int = MOST_IN_BUCKET) -> DataFrame:
+    """(src, dst): edges between different fingerprints of `nodes` that span every group linked within `distance` bits.
+
+    Each fingerprint goes to one bucket per choice of blocks. A bucket of over `most` fingerprints is split by the same
+    rule over the bits that its members needn't share; after two such rounds 12 bits are left, so no bucket is larger
+    than 4096. Only sets of close fingerprints get there, and no pair is lost.
+    """
+    masks = F.array(*[F.lit(signed(m)) for m in block_masks(blocks, distance)])
+    rows = nodes.select("fp", F.explode(masks).alias("mask")).withColumn("block", F.col("fp").bitwiseAND(F.col("mask")))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = []
+    for rest in (most, most, 1 << 62):
+        dealt = rows.repartition(parts, "mask", "block").sortWithinPartitions("mask", "block")
+        found = materialise(dealt.mapInPandas(_links(distance, rest), "src long, dst long, mask long"), "links")
+        out.append(found.where("mask is null").select("src", "dst"))
+        large = found.where("mask is not null").select(F.col("src").alias("fp"), "mask")
+        if large.isEmpty():
+            break
+        rows = large.mapInPandas(_finer(distance, blocks), "fp long, mask long, block long")
+    return reduce(DataFrame.union, out)
+
+
 def simhash_groups(docs: DataFrame, distance: int = 4, words_per_shingle: int = 4, blocks: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for each row: fp is the fingerprint as a signed long, component_id the smallest id reachable
     over links of at most `distance` differing bits.
 
-    Equal fingerprints are one node, so thousands of exact copies cost one row in the block join. Each distinct
-    fingerprint goes to one bucket per choice of `blocks - distance` blocks; every pair within `distance` bits meets in
-    at least one of them, whatever `blocks` is. In a bucket Hamming distances are verified, and only edges that span
-    its groups leave it, never all pairs. Shingle words are 4 here because the query's contract says so.
+    Equal fingerprints are one node, so thousands of exact copies cost one row in the block join. Every pair within
+    `distance` bits meets in at least one bucket, whatever `blocks` is. In a bucket Hamming distances are verified, and
+    only edges that span its groups leave it, never all pairs. Shingle words are 4 here because the query's contract
+    says so.
 
     Null or empty text has fingerprint 0 and links like any other. Null id: the row keeps its fingerprint and takes its
     group's smallest id. Repeated ids are separate rows. An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     prints = materialise(rows.mapInPandas(_fingerprints(words_per_shingle), "id long, fp long"), "fingerprints")
-    masks = block_masks(blocks, distance)
     nodes = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    choice = F.explode(F.array(*[F.struct(F.lit(k).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("block")) for k, m in enumerate(signed)])).alias("c")
-    buckets = nodes.select("fp", choice).select("fp", "c.combo", "c.block")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = buckets.repartition(parts, "combo", "block").sortWithinPartitions("combo", "block")
-    edges = dealt.mapInPandas(_links(masks, distance), "src long, dst long")
-    groups = connected_components(edges)
+    groups = connected_components(fingerprint_links(nodes, distance, blocks))
     named = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     whole = named.join(least, "component").select("fp", "component_id")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections import ChainMap
 from functools import lru_cache
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries a worker remembers at most; then it starts anew.
-MOST_REMEMBERED = 300_000
+#: Entries a worker remembers at most, then it starts anew; longer pieces are encoded each time.
+MOST_REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
 
 
 class Encoder:
@@ -16,7 +19,7 @@ class Encoder:
 
     Byte-level BPE cuts a text into words before it merges, and a single space between two other characters always begins
     a word. So pieces cut there have the ids they have in the whole text; each different piece is encoded once and
-    remembered. `check` in the tests holds this against encoding whole texts.
+    remembered. A test holds this against encoding whole texts.
     """
 
     def __init__(self, path: str):
@@ -44,22 +47,24 @@ class Encoder:
         return out
 
     def learn(self, words: set[str]) -> None:
-        import numpy as np
-
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > MOST_REMEMBERED:
             self.known.clear()
             new = list(words)
         for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, self.dtype).tobytes()
+            self.known.update(self._encoded(new[k : k + 20_000]))
+
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return {word: np.array(x.ids, self.dtype).tobytes() for word, x in zip(words, found, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, self.width bytes each."""
         cut = [self.pieces(t) for t in texts]
-        self.learn(set().union(*cut))
-        known = self.known
+        words = set().union(*cut)
+        long = [w for w in words if len(w) > LONGEST_REMEMBERED]
+        self.learn(words.difference(long))
+        known = ChainMap(self._encoded(long), self.known) if long else self.known
         return [b"".join([known[w] for w in own]) for own in cut]
 
 
