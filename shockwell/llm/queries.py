@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shockwell.llm.decontaminate import find_contamination
 from shockwell.llm.lines import drop_shared_lines
 from shockwell.llm.packing import pack_documents
+from shockwell.llm.repeats import remove_repeats
 from shockwell.llm.scratch import shared_dir
 from shockwell.llm.shards import shuffle_to_shards
 from shockwell.llm.simhash import simhash_groups
@@ -74,6 +75,12 @@ FROM dw LEFT JOIN h ON dw.doc_id = h.doc_id LEFT JOIN i ON dw.doc_id = i.doc_id
 """
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda n, s: n + s["ends"] - s["starts"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -107,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op3_simhash": op3_simhash,
         "op5_decontamination": op5_decontamination,
+        "op6_repeats": op6_repeats,
         "op7_packing": op7_packing,
         "op8_token_files": op8_token_files,
         "op9_shared_lines": op9_shared_lines,

@@ -24,6 +24,7 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files go once the driver's JVM has dropped the job that wrote them
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
