@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shockwell.llm.decontaminate import find_contamination
+from shockwell.llm.labelled import fold
 from shockwell.llm.lines import drop_shared_lines
 from shockwell.llm.packing import pack_documents
+from shockwell.llm.quality import fit_quality, score_quality
 from shockwell.llm.repeats import remove_repeats
 from shockwell.llm.scratch import shared_dir
 from shockwell.llm.shards import shuffle_to_shards
 from shockwell.llm.simhash import simhash_groups
 from shockwell.llm.tokenfiles import read_token_files, write_token_files
+from shockwell.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +45,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda n, s: n + s["ends"] - s["starts"])
@@ -109,15 +118,23 @@ FROM m GROUP BY doc_id
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op3_simhash": op3_simhash,
+        "op4_quality": op4_quality,
         "op5_decontamination": op5_decontamination,
         "op6_repeats": op6_repeats,
         "op7_packing": op7_packing,
         "op8_token_files": op8_token_files,
         "op9_shared_lines": op9_shared_lines,
+        "op10_toxicity": op10_toxicity,
     }
 
 
