@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from shockwell.llm.batches import ARROW, append_columns
 from shockwell.llm.fmindex import FMIndex
 
 #: Fixed value: a word is a run of ASCII letters and digits and of all characters beyond ASCII.
@@ -19,6 +20,9 @@ WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Words that one FM-index holds at least; a shard is closed once it has so many. Bytes of benchmark text searched in one pass.
 SHARD_WORDS = 400_000
 PASS_BYTES = 8 << 20
+#: Columns that the search adds.
+FOUND = {"n_words": "long", "starts": "array<int>", "ends": "array<int>", "items": "array<string>"}
+TYPES = [ARROW[t] for t in FOUND.values()]
 
 
 def lower_ascii(text: str) -> str:
@@ -77,10 +81,10 @@ class Shard:
                 self.text += [ids[a:b], np.zeros(1, np.int64)]
                 self.origin.append((self.n, len(self.rows), a))
                 self.n += b - a + 1
-        self.rows.append((key, text, len(words)))
+        self.rows.append((key, len(words)))
 
-    def found(self) -> pd.DataFrame:
-        """The rows with n_words, merged spans [start, end) of hit words, and the items whose windows occur."""
+    def found(self) -> list[tuple]:
+        """(key, n_words, starts, ends, items) of the rows: n_words, merged spans [start, end) of hit words, and the items whose windows occur."""
         spans, items = defaultdict(list), defaultdict(set)
         if self.n:
             at, row, word = (np.array(x) for x in zip(*self.origin, strict=True))
@@ -91,7 +95,7 @@ class Shard:
                     spans[r].append((s, s + length))
                     items[r].update(owners[p])
         out = []
-        for k, (key, text, n) in enumerate(self.rows):
+        for k, (key, n) in enumerate(self.rows):
             merged: list[list[int]] = []
             for a, b in sorted(set(spans[k])) if k in spans else ():
                 if merged and a <= merged[-1][1]:
@@ -99,22 +103,33 @@ class Shard:
                 else:
                     merged.append([a, b])
             names = sorted({self.phrases.names[i] for i in items[k]}) if k in items else []
-            out.append((key, text, n, [x[0] for x in merged], [x[1] for x in merged], names))
-        return pd.DataFrame(out, columns=["id", "text", "n_words", "starts", "ends", "items"]).astype({"id": "Int64"})
+            out.append((key, n, [x[0] for x in merged], [x[1] for x in merged], names))
+        return out
 
 
-def _search(phrases: Phrases, shard_words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, held = Shard(phrases), 0
+def _search(phrases: Phrases, shard_words: int, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, kept = Shard(phrases), 0, []
+
+        def emit() -> pa.RecordBatch:
+            _, n_words, starts, ends, items = zip(*shard.found(), strict=True)
+            new = [pa.array(x, t) for x, t in zip((n_words, starts, ends, items), TYPES, strict=True)]
+            own = pa.concat_batches(kept)
+            return pa.RecordBatch.from_arrays([*own.columns, *new], [*own.schema.names, *FOUND])
+
         for batch in batches:
-            for key, text in zip(batch["id"], batch["text"], strict=True):
-                shard.add(None if pd.isna(key) else key, text)
+            first = 0
+            for k, text in enumerate(batch.column(text_at).to_pylist()):
+                shard.add(k, text)
                 held += len(text or "")
                 if shard.n >= shard_words or held >= 16 * shard_words:
-                    yield shard.found()
-                    shard, held = Shard(phrases), 0
+                    kept.append(batch.slice(first, k + 1 - first))
+                    yield emit()
+                    shard, held, kept, first = Shard(phrases), 0, [], k + 1
+            if first < batch.num_rows:
+                kept.append(batch.slice(first))
         if shard.rows:
-            yield shard.found()
+            yield emit()
 
     return run
 
@@ -139,43 +154,54 @@ def _passes(benchmark: DataFrame, pass_bytes: int) -> list[list[tuple[str, str]]
     return [[(r["name"], r["text"]) for r in benchmark.where(block == k).collect()] for k in range(n)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, pass_bytes: int = PASS_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """(id, text, n_words, starts, ends, items): merged word spans that windows of the benchmark cover, and the items.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, pass_bytes: int = PASS_BYTES, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """All columns of `docs` with n_words, starts, ends and items: merged word spans that windows of the benchmark cover,
+    and the benchmark items in question. Columns of these names are replaced.
 
     Words: A-Z lower-cased, then runs of characters as in WORD. A window is `window` consecutive words of an item; an item
     with fewer, but not none, is one window. Documents are read in shards of a bounded size inside each task; a shard is
     one FM-index. The phrases travel with the tasks, in passes over at most `pass_bytes` of benchmark text each, so the
-    benchmark may be of any size; spans of several passes are merged per row.
+    benchmark may be of any size; each pass adds its spans and items to those found before.
 
     Null or empty texts have no words and no spans; null item texts have no windows; repeated rows are each answered;
-    null ids stay null. Empty tables give no rows, or rows without spans. Other columns are ignored.
+    null ids stay null. Empty tables give no rows, or rows without spans.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col("text").cast("string").alias("text")).where("text is not null")
-    schema = "id long, text string, n_words long, starts array<int>, ends array<int>, items array<string>"
+    own = docs.drop(*FOUND)
+    schema = T.StructType(own.schema.fields + T._parse_datatype_string(", ".join(f"{c} {t}" for c, t in FOUND.items())).fields)
     blocks = _passes(items, pass_bytes)
-    found = [rows.mapInPandas(_search(Phrases(block, window), shard_words), schema) for block in blocks]
-    if len(found) > 1:
-        every = reduce(DataFrame.unionByName, found).withColumn("span", F.arrays_zip("starts", "ends"))
-        merged = every.groupBy("id", "text", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("span")))).alias("span"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("times"))
-        found = [merged.mapInPandas(_merge(len(blocks)), schema)]
-    return found[0].withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+    out = own.mapInArrow(_search(Phrases(blocks[0], window), shard_words, own.columns.index(text_col)), schema)
+    for block in blocks[1:]:
+        before = out.withColumnsRenamed({c: f"_{c}" for c in FOUND})
+        fields = T.StructType(before.schema.fields + schema.fields[-len(FOUND) :])
+        found = before.mapInArrow(_search(Phrases(block, window), shard_words, own.columns.index(text_col)), fields)
+        out = append_columns(found, {"starts": "array<int>", "ends": "array<int>", "items": "array<string>"}, _merge, ["_starts", "_ends", "_items", "starts", "ends", "items"], without=("_n_words", "_starts", "_ends", "_items", "starts", "ends", "items"))
+    return out
+
+
+def _merge():
+    def work(a: list, b: list, items: list, c: list, d: list, more: list) -> list[list]:
+        starts, ends = [], []
+        for own in zip(a, b, c, d, strict=True):
+            merged: list[list[int]] = []
+            for x, y in sorted([*zip(own[0], own[1], strict=True), *zip(own[2], own[3], strict=True)]):
+                if merged and x <= merged[-1][1]:
+                    merged[-1][1] = max(y, merged[-1][1])
+                else:
+                    merged.append([x, y])
+            starts.append([x for x, _ in merged])
+            ends.append([y for _, y in merged])
+        return [starts, ends, [sorted({*x, *y}) for x, y in zip(items, more, strict=True)]]
 
+    return work
 
-def _merge(passes: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            starts, ends = [], []
-            for spans in batch["span"]:
-                merged: list[list[int]] = []
-                for s in spans:
-                    if merged and s["starts"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["ends"])
-                    else:
-                        merged.append([s["starts"], s["ends"]])
-                starts.append([x[0] for x in merged])
-                ends.append([x[1] for x in merged])
-            out = batch.assign(starts=starts, ends=ends)[["id", "text", "n_words", "starts", "ends", "items"]]
-            yield out.loc[out.index.repeat(batch["times"] // passes)]  # repeated rows came in once
 
-    return run
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """`docs` with the contaminated spans cut from its texts; all rows and columns stay."""
+    found = find_contamination(docs, benchmark, text_col=text_col, **options)
+
+    def make():
+        return lambda texts, starts, ends: [[without_spans(*x) for x in zip(texts, starts, ends, strict=True)]]
+
+    clean = append_columns(found, {"_clean": "string"}, make, [text_col, "starts", "ends"], without=tuple(FOUND))
+    return clean.withColumn(text_col, F.col("_clean")).select(*docs.columns)

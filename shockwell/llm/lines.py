@@ -9,6 +9,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shockwell.llm.batches import append_columns
+
 #: White space that is stripped from both ends of a line.
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -35,32 +37,31 @@ def _keys(min_chars: int):
 
 
 def _rebuild(min_chars: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            total, lost, kept = [], [], []
-            for text, drops in zip(batch["text"], batch["drops"], strict=True):
-                lines = text.encode().split(b"\n") if isinstance(text, str) else [b""]
-                stay = lines
-                if drops is not None:
-                    gone = {bytes(x) for x in drops}
-                    stay = [x for x in lines if line_key(x, min_chars) not in gone]
-                total.append(len(lines))
-                lost.append(len(lines) - len(stay))
-                kept.append(text if len(stay) == len(lines) else b"\n".join(stay).decode())
-            yield batch.drop(columns=["drops"]).assign(n_lines=total, n_dropped=lost, kept_text=kept)
-
-    return run
+    def work(texts: list[str | None], drops: list[list[bytes] | None]) -> list[list]:
+        total, lost, kept = [], [], []
+        for text, own in zip(texts, drops, strict=True):
+            lines = text.encode().split(b"\n") if isinstance(text, str) else [b""]
+            stay = lines
+            if own is not None:
+                gone = set(own)
+                stay = [x for x in lines if line_key(x, min_chars) not in gone]
+            total.append(len(lines))
+            lost.append(len(lines) - len(stay))
+            kept.append(text if len(stay) == len(lines) else b"\n".join(stay).decode())
+        return [total, lost, kept]
+
+    return lambda: work
 
 
 def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n_lines, n_dropped, kept_text) for each row of `docs`.
+    """All columns of `docs` with n_lines, n_dropped and kept_text for each row; columns of these names are replaced.
 
     Lines are split at \\n. A line's key is the line stripped of ASCII white space and with A-Z lower-cased. Keys of at
     least `min_chars` code points that at least `min_docs` distinct ids hold lose all their lines, except in the largest
     id that holds them. Counting combines before the shuffle, so a line in every third document is no hot key.
 
     Null text: one empty line, kept_text null. Empty text: one empty line. Null id: its rows count as one document, smaller
-    than any other. Rows that share an id count as one document. An empty table gives no rows; other columns are ignored.
+    than any other. Rows that share an id count as one document. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     keys = rows.mapInPandas(_keys(min_chars), "id long, key binary")
@@ -71,6 +72,6 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, i
         .select("key", "keeper")
     )
     drops = keys.join(often, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("key").alias("drops"))
-    both = rows.alias("r").join(drops.alias("d"), F.col("r.id").eqNullSafe(F.col("d.id")), "left").select("r.id", "r.text", "d.drops")
-    out = both.mapInPandas(_rebuild(min_chars), "id long, text string, n_lines long, n_dropped long, kept_text string")
-    return out.withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+    found = drops.withColumnsRenamed({"id": "_own_id", "drops": "_own_drops"})
+    both = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_own_id")), "left").drop("_own_id")
+    return append_columns(both, {"n_lines": "long", "n_dropped": "long", "kept_text": "string"}, _rebuild(min_chars), [text_col, "_own_drops"], without=("_own_drops",))

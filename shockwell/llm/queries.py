@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shockwell.llm.decontaminate import find_contamination
 from shockwell.llm.labelled import fold
 from shockwell.llm.lines import drop_shared_lines
+from shockwell.llm.neighbours import near_duplicate_groups
 from shockwell.llm.packing import pack_documents
 from shockwell.llm.quality import fit_quality, score_quality
 from shockwell.llm.repeats import remove_repeats
@@ -40,6 +41,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf_dir, "embeddings"))[0]
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -127,6 +132,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_embedding_groups": op2_embedding_groups,
         "op3_simhash": op3_simhash,
         "op4_quality": op4_quality,
         "op5_decontamination": op5_decontamination,

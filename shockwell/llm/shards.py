@@ -40,16 +40,17 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 8, seed: int = 20, rows_per
 
     Rows move twice and no task holds more than a partition or a bucket. Shard sizes are at most one apart whatever the
     data: equal texts are not kept together, as a group can be larger than a shard. Equal rows are interchangeable.
-    Nulls hash like values; an empty table gives no rows. A column named shard or slot is an error.
+    Nulls hash like values; an empty table gives no rows. Columns named shard or slot are replaced.
     """
     spark = docs.sparkSession
-    if shards < 1 or {"shard", "slot"} & {c.lower() for c in docs.columns}:
-        raise ValueError("shards must be positive, and no column may be named shard or slot")
-    key = F.xxhash64(F.lit(seed), *[F.col(c) for c in docs.columns])
+    if shards < 1:
+        raise ValueError("shards must be positive")
+    own = docs.drop("shard", "slot")
+    rows = own.select(F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("_row"))
     total = docs.count()
     partitions = int(min(MOST_PARTITIONS, max(32, -(-total // rows_per_partition))))
     buckets = int(max(4, -(-total // (shards * rows_per_partition))))
-    keyed = docs.withColumn("_key", key).withColumn("_p", F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(partitions)).cast("int"))
+    keyed = rows.withColumn("_key", F.xxhash64(F.lit(seed), "_row")).withColumn("_p", F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(partitions)).cast("int"))
     found = {r["_p"]: r["n"] for r in keyed.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     matrix = communication_matrix([found.get(p, 0) for p in range(partitions)], shards, seed)
     ends = spark.createDataFrame([(p, line) for p, line in enumerate(matrix.cumsum(axis=1).tolist())], "_p int, _ends array<bigint>")
@@ -67,4 +68,4 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 8, seed: int = 20, rows_per
     offsets = sizes.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("shard", "_bucket").orderBy("_turn", "_key")
     ranked = dealt.withColumn("_at", F.row_number().over(inside) - 1).join(offsets, ["shard", "_bucket"])
-    return ranked.withColumn("slot", (F.col("_before") + F.col("_at")).cast("long")).select(*docs.columns, "shard", "slot")
+    return ranked.withColumn("slot", (F.col("_before") + F.col("_at")).cast("long")).select("_row.*", "shard", "slot")

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shockwell.llm.batches import append_columns
 from shockwell.llm.labelled import MOST_TRAINING_ROWS, training_rows
 from shockwell.llm.scratch import discard, materialise
 
@@ -99,15 +100,32 @@ def distorted(word: str) -> list[str]:
     return put + [word[:k] + word[k + 1 :] for k in range(1, len(word) - 1) if len(word) > 4]
 
 
+#: Decisions from which on words of a document are counted.
+LEVELS = (-0.5, 0.0, 0.5)
+N_EVIDENCE = 1 + 2 * len(LEVELS)
+
+
+def evidence(decisions: np.ndarray) -> list[float]:
+    """What a document's different words say: the largest decision, and how many reach each level, in number and share.
+
+    One plain insult shows in the first; a stem that is common in small numbers shows in the others."""
+    if not len(decisions):
+        return [-2.0] + [0.0] * (N_EVIDENCE - 1)
+    counts = [float((decisions > level).sum()) for level in LEVELS]
+    return [max(float(decisions.max()), -2.0), *(np.log1p(c) for c in counts), *(np.log1p(1000 * c / len(decisions)) for c in counts)]
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     """weights: the decision's value for each subsequence, landmarks and machine multiplied out; a word's decision is
-    its product with the word's weights, plus bias. A text's is the largest of its words'; none: `bias` - 1."""
+    its product with the word's weights, plus bias. A document's score is a logistic function of its words' evidence."""
 
     weights: np.ndarray
     bias: float
-    cut: float
-    slope: float
+    mean: np.ndarray
+    scale: np.ndarray
+    slopes: np.ndarray
+    offset: float
 
     def decide(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words))
@@ -116,28 +134,32 @@ class ToxicityModel:
             out[k : k + 5000] = np.bincount(word, weight * self.weights[sub], len(words[k : k + 5000])) + self.bias
         return out
 
-    def score(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (decision - self.cut), -30, 30)))
+    def score(self, found: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip((found - self.mean) / self.scale @ self.slopes + self.offset, -30, 30)))
 
 
 class Scorer:
     """Scores texts, remembering a bounded number of tokens' decisions."""
 
     def __init__(self, model: ToxicityModel):
-        self.model, self.known, self.none = model, {}, model.bias - 1
+        self.model, self.known, self.older = model, {}, {}
+
+    def learn(self, wanted: set[str]) -> None:
+        if len(self.known) > MOST_REMEMBERED:
+            self.known, self.older = {}, self.known
+        unknown = [t for t in wanted if t not in self.known]
+        self.known.update({t: self.older[t] for t in unknown if t in self.older})
+        parts = {t: units(t) for t in unknown if t not in self.older}
+        words = sorted({w for p in parts.values() for w in p})
+        value = dict(zip(words, self.model.decide(words).tolist(), strict=True)) if words else {}
+        self.known.update({t: max((value[w] for w in part), default=None) for t, part in parts.items()})
 
-    def decisions(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: list[str | None]) -> np.ndarray:
         own = [tokens(t) if isinstance(t, str) else set() for t in texts]
-        new = [t for t in set().union(*own) if t not in self.known]
-        if len(self.known) + len(new) > MOST_REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*own))
-        parts = [units(t) for t in new]
-        words = sorted({w for p in parts for w in p})
-        value = dict(zip(words, self.model.decide(words).tolist(), strict=True)) if words else {}
-        for token, part in zip(new, parts, strict=True):
-            self.known[token] = max((value[w] for w in part), default=self.none)
-        return np.array([max((self.known[t] for t in o), default=self.none) for o in own])
+        self.learn(set().union(*own))
+        known = self.known
+        found = [evidence(np.array([v for v in map(known.__getitem__, o) if v is not None])) for o in own]
+        return self.model.score(np.array(found).reshape(-1, N_EVIDENCE))
 
 
 def _units_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,7 +175,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: i
     documents are negative, and of each toxic document the word that speaks most for it, by its share of toxic documents,
     is positive, with distorted variants of itself. Words and their counts are summed on the executors; at most
     MOST_UNITS clean words, the commonest and those nearest to the positives' letters, reach the driver's fit. A third
-    of the sample only sets the cut between clean and toxic documents.
+    of the sample only sets how a document's score follows from its words.
     """
     seen = materialise(training_rows(docs, labels, label, folds, held_out, most_rows).mapInPandas(_units_of, "id long, label int, units array<string>"), "units")
     fit = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(3)) != 0
@@ -165,7 +187,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: i
     clean = [r["unit"] for r in counts.where("good > 0").orderBy(F.desc("good"), "unit").limit(MOST_UNITS).collect()]
     if not positives or not clean:
         discard(seen)
-        return ToxicityModel(np.zeros(CODES**3), -1.0, 0.0, 4.0)
+        return _calibrated(np.zeros(CODES**3), -1.0, np.zeros((0, N_EVIDENCE)), np.zeros(0))
     bad = [u for u, _ in positives]
     clean_set = set(clean)
     more = [v for u in bad for v in distorted(u) if v not in clean_set and len(v) > 3]
@@ -179,46 +201,44 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: i
     y = np.concatenate([np.ones(len(bad) + len(more)), -np.ones(len(clean))])
     cost = np.concatenate([np.full(len(bad), 20.0), np.full(len(more), 2.0), np.ones(len(clean))])
     w = _squared_hinge(np.column_stack([x, np.ones(len(x))]), y, cost, 0.05)
-    model = ToxicityModel(landmarks.T.astype(float) @ (root @ w[:-1]), float(w[-1]), 0.0, 4.0)
+    model = _calibrated(landmarks.T.astype(float) @ (root @ w[:-1]), float(w[-1]), np.zeros((0, N_EVIDENCE)), np.zeros(0))
 
-    def largest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def seen_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "decision": [max(model.decide(list(u)), default=model.bias - 1) for u in batch["units"]]})
+            yield pd.DataFrame({"label": batch["label"], "found": [evidence(model.decide(list(u))) for u in batch["units"]]})
 
-    rest = seen.where(~fit).mapInPandas(largest, "label int, decision double").toPandas()
+    rest = seen.where(~fit).mapInPandas(seen_words, "label int, found array<double>").toPandas()
     discard(seen)
-    return ToxicityModel(model.weights, model.bias, best_cut(rest["decision"].to_numpy(), rest["label"].to_numpy()), 4.0)
+    return _calibrated(model.weights, model.bias, np.array(rest["found"].tolist()).reshape(-1, N_EVIDENCE), rest["label"].to_numpy(float))
 
 
-def best_cut(decision: np.ndarray, label: np.ndarray) -> float:
-    """The middle of the widest gap among cuts with the fewest wrong documents; 0 if only one class is there."""
+def _calibrated(weights: np.ndarray, bias: float, found: np.ndarray, label: np.ndarray) -> ToxicityModel:
+    """The model with a ridge logistic curve through the evidence; with one class only, the largest decision alone counts."""
     if not (label == 1).any() or not (label == 0).any():
-        return 0.0
-    order = np.argsort(decision, kind="stable")
-    d, y = decision[order], label[order]
-    wrong = np.concatenate(([0], np.cumsum(y == 1))) + np.concatenate((np.cumsum((y == 0)[::-1])[::-1], [0]))
-    low, high = np.concatenate(([d[0] - 1], d)), np.concatenate((d, [d[-1] + 1]))
-    width = np.where((wrong == wrong.min()) & (high > low), np.minimum(high - low, 2.0), -1)
-    k = int(np.argmax(width))
-    return float((low[k] + high[k]) / 2)
+        slopes = np.eye(N_EVIDENCE)[0] * 4.0
+        return ToxicityModel(weights, bias, np.zeros(N_EVIDENCE), np.ones(N_EVIDENCE), slopes, 0.0)
+    mean, scale = found.mean(axis=0), found.std(axis=0)
+    scale = np.where(scale > 0, scale, 1.0)
+    x, w = np.column_stack([(found - mean) / scale, np.ones(len(found))]), np.zeros(N_EVIDENCE + 1)
+    ridge = np.diag([0.1] * N_EVIDENCE + [1e-6])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (p - label) + ridge @ w)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return ToxicityModel(weights, bias, mean, scale, w[:-1], float(w[-1]))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """All columns of `docs` with toxicity_score (0 to 1) of each whole text.
 
     Null, empty and wordless texts get the score of having no toxic word. Equal texts get equal scores; an empty table
-    gives no rows. A column named toxicity_score is an error.
+    gives no rows. A column named toxicity_score is replaced.
     """
-    if "toxicity_score" in docs.columns:
-        raise ValueError("docs has a column named toxicity_score")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scorer = Scorer(model)
-        for batch in batches:
-            texts, out = list(batch[text_col]), []
-            for k in range(0, len(texts), 256):
-                out.append(model.score(scorer.decisions(texts[k : k + 256])))
-            yield batch.assign(toxicity_score=np.concatenate(out) if out else [])
+        return lambda texts: [[s for k in range(0, len(texts), 256) for s in scorer.scores(texts[k : k + 256]).tolist()]]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(run, f"{fields}, toxicity_score double")
+    return append_columns(docs, {"toxicity_score": "double"}, make, [text_col])
