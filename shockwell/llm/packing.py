@@ -46,7 +46,7 @@ def _pieces(path: str, end_id: int, room: int, keep_ids: bool):
         end = np.array([end_id], "<u4")
         for batch in batches:
             rows = defaultdict(list)
-            step = 64
+            step = 256
             for k in range(0, len(batch), step):
                 part = batch.iloc[k : k + step]
                 for i, raw in zip(part["id"], code.encode([x if isinstance(x, str) else "" for x in part["text"]]), strict=True):

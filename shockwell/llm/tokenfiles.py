@@ -42,8 +42,8 @@ def _write(path: str, end_id: int, shard_bytes: int):
         end = np.array([end_id], code.dtype).tobytes()
         part, shard, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
-            for k in range(0, len(batch), 64):
-                rows = batch.iloc[k : k + 64]
+            for k in range(0, len(batch), 256):
+                rows = batch.iloc[k : k + 256]
                 texts = [x if isinstance(x, str) else "" for x in rows["text"]]
                 for key, raw in zip(rows["key"].tolist(), code.encode(texts), strict=True):
                     keys.append(key)

@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 import os
-from collections import ChainMap
+import re
 from functools import lru_cache
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries a worker remembers at most, then it starts anew; longer pieces are encoded each time.
-MOST_REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
+#: Entries in each of a worker's two memories; longer pieces are encoded each time. Pieces encoded at once.
+MOST_REMEMBERED, LONGEST_REMEMBERED, AT_ONCE = 300_000, 64, 4000
+#: A word, with the one space or newline before it.
+WORD = re.compile(r"[ \n]?\S+")
 
 
 class Encoder:
     """Encodes texts with a byte-level BPE file of the tokenizers library.
 
-    Byte-level BPE cuts a text into words before it merges, and a single space between two other characters always begins
-    a word. So pieces cut there have the ids they have in the whole text; each different piece is encoded once and
-    remembered. A test holds this against encoding whole texts.
+    Byte-level BPE cuts a text into words before it merges, and always before a single space, and around a single
+    newline, between two other characters. So pieces cut there have the ids they have in the whole text; each different
+    piece is encoded once and remembered. A test holds this against encoding whole texts.
     """
 
     def __init__(self, path: str):
@@ -27,15 +29,20 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
         self.dtype = f"<u{self.width}"
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space or a newline
+        self.begins[[i for word, i in vocabulary.items() if word[:1] in "ĠĊ"]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the memory before; what is still used moves back
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
+        out = WORD.findall(text)
+        if sum(map(len, out)) == len(text):
+            return out
+        parts = text.split(" ")  # other white space: cut at single spaces only
         out = [parts[0]]
         blank = not parts[0] or parts[0][-1].isspace()
         for part in parts[1:]:
@@ -46,26 +53,44 @@ class Encoder:
             blank = not part or part[-1].isspace()
         return out
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MOST_REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        for k in range(0, len(new), 20_000):
-            self.known.update(self._encoded(new[k : k + 20_000]))
-
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {word: np.array(x.ids, self.dtype).tobytes() for word, x in zip(words, found, strict=True)}
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return {piece: np.array(x.ids, self.dtype).tobytes() for piece, x in zip(pieces, found, strict=True)}
+
+    def _encoded_words(self, words: list[str]) -> dict[str, bytes]:
+        """Many words as one text; each one's ids begin with one for a space or a newline, which bare words are lent."""
+        lent = [w[0] not in " \n" for w in words]
+        text = "".join(["\n" + w if x else w for w, x in zip(words, lent, strict=True)])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(words):
+            return self._encoded(words)
+        ends = (np.append(starts[1:], len(ids)) * self.width).tolist()
+        raw, starts = ids.tobytes(), ((starts + np.array(lent)) * self.width).tolist()
+        return {w: raw[a:b] for w, a, b in zip(words, starts, ends, strict=True)}
+
+    def learn(self, unknown: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that aren't remembered."""
+        found = {p: self.older[p] for p in unknown if p in self.older}
+        new = [p for p in unknown if p not in found and len(p) <= LONGEST_REMEMBERED]
+        words = [p for p in new if WORD.fullmatch(p)]
+        for k in range(0, len(words), AT_ONCE):
+            found.update(self._encoded_words(words[k : k + AT_ONCE]))
+        found.update(self._encoded([p for p in new if p not in found]))
+        if len(self.known) > MOST_REMEMBERED:
+            self.known, self.older = {}, self.known
+        self.known.update(found)
+        return {**found, **self._encoded([p for p in unknown if len(p) > LONGEST_REMEMBERED])}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, self.width bytes each."""
         cut = [self.pieces(t) for t in texts]
-        words = set().union(*cut)
-        long = [w for w in words if len(w) > LONGEST_REMEMBERED]
-        self.learn(words.difference(long))
-        known = ChainMap(self._encoded(long), self.known) if long else self.known
-        return [b"".join([known[w] for w in own]) for own in cut]
+        ids = [list(map(self.known.get, own)) for own in cut]
+        unknown = {p for own, got in zip(cut, ids, strict=True) if None in got for p, x in zip(own, got, strict=True) if x is None}
+        if unknown:
+            learned = self.learn(unknown)
+            ids = [[learned[p] if x is None else x for p, x in zip(own, got, strict=True)] if None in got else got for own, got in zip(cut, ids, strict=True)]
+        return [b"".join(own) for own in ids]
 
 
 @lru_cache(maxsize=2)
