@@ -1,9 +1,24 @@
 """Registered queries and their SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from functools import lru_cache
 
+from shockwell.plans import daily
+from shockwell.plans.registry import Query, Registry
 
-def oracle_sql() -> dict:
-    return {}
+
+@lru_cache(maxsize=1)
+def registry() -> Registry:
+    r = Registry()
+    for part in (daily,):
+        part.register(r)
+    return r
+
+
+def queries() -> dict[str, Query]:
+    return dict(registry().queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(registry().sql)
