@@ -32,7 +32,7 @@ class Registry:
         if sql is not None:
             used = self._needed(sql)
             head = "WITH RECURSIVE " + ",\n".join(f"{n} AS ({self.ctes[n]})" for n in used) + "\n" if used else ""
-            columns = ", ".join([*own, *(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in values)])
+            columns = ", ".join([*(f'"{c}"' for c in own), *(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in values)])
             self.sql[name] = f"{head}SELECT {columns} FROM ({sql}) AS result"
 
     def _needed(self, sql: str) -> list[str]:
