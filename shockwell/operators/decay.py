@@ -1,0 +1,265 @@
+"""Decay laws: their curves as columns, the gate before a fit, and bounded fits by group."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from shockwell.functions.columns import hash_draw, median, quantile
+from shockwell.functions.numeric import least_squares, minimise
+
+#: For each law its parameters' names, starts, lower and upper bounds.
+LAWS = {
+    "exponential": (("amplitude", "tau"), (0.2, 3), (0, 0.05), (10, 1000)),
+    "landau": (("amplitude", "tau", "theta"), (0.2, 3, 0.1), (0, 0.05, 0), (20, 1000, 1000)),
+    "stretched_exponential": (("amplitude", "tau", "beta"), (0.2, 3, 0.7), (0, 0.05, 0.05), (10, 1000, 1)),
+    "double_exponential": (("amplitude_fast", "tau_fast", "amplitude_slow", "tau_slow"), (0.12, 1.5, 0.08, 10), (0, 0.05, 0, 0.2), (10, 100, 10, 2000)),
+    "shifted_power": (("amplitude", "shift", "exponent"), (0.3, 1, 0.8), (0, 0.05, 0.01), (20, 100, 10)),
+}
+#: Fixed values for laws in the event's own amplitude, searched over logarithms (the weight over its logit).
+AMPLITUDE_LAWS = {
+    "exponential": (("tau",), (8.0,), (0.25,), (256.0,)),
+    "constrained_mobility": (("tau",), (8.0,), (0.25,), (256.0,)),
+    "landau": (("tau", "theta"), (8.0, 0.05), (0.25, 1e-7), (256.0, 1000.0)),
+    "double_exponential": (("tau_fast", "tau_gap", "weight"), (2.0, 18.0, 0.5), (0.25, 0.1, 1 / (1 + math.exp(8))), (128.0, 256.0, 1 / (1 + math.exp(-8)))),
+    "shifted_power": (("shift", "exponent"), (4.0, 1.0), (0.1, 0.03), (256.0, 12.0)),
+}
+
+
+def curve_column(model: str, t: Column, p: dict[str, Column]) -> Column:
+    """A law's value at t."""
+    if model == "exponential":
+        return p["amplitude"] * F.exp(-t / p["tau"])
+    if model == "landau":
+        d = F.exp(-t / p["tau"])
+        return p["amplitude"] * d / F.sqrt(1 + p["theta"] * p["amplitude"] * p["amplitude"] * F.greatest(1 - d * d, F.lit(0.0)))
+    if model == "stretched_exponential":
+        return p["amplitude"] * F.exp(-F.pow(t / p["tau"], p["beta"]))
+    if model == "double_exponential":
+        return p["amplitude_fast"] * F.exp(-t / p["tau_fast"]) + p["amplitude_slow"] * F.exp(-t / p["tau_slow"])
+    if model == "shifted_power":
+        return p["amplitude"] * F.pow(t + p["shift"], -p["exponent"])
+    if model == "omori":
+        return p["scale"] / F.pow(t + p["shift"], p["exponent"])
+    raise ValueError(f"unknown law {model!r}")
+
+
+def curve(model: str, t: np.ndarray, p: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        if model == "exponential":
+            return p[0] * np.exp(-t / p[1])
+        if model == "landau":
+            d = np.exp(-t / p[1])
+            return p[0] * d / np.sqrt(1 + p[2] * p[0] ** 2 * np.maximum(1 - d * d, 0))
+        if model == "stretched_exponential":
+            return p[0] * np.exp(-((t / p[1]) ** p[2]))
+        if model == "double_exponential":
+            return p[0] * np.exp(-t / p[1]) + p[2] * np.exp(-t / p[3])
+        return p[0] * (t + p[1]) ** -p[2]
+
+
+def amplitude_curve(model: str, t: np.ndarray, x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """A law from the event's amplitude x at t = 0."""
+    if model == "exponential":
+        return x * np.exp(-t / p[0])
+    if model == "constrained_mobility":
+        q, d = np.sqrt(1 + x) - 1, np.exp(-t / p[0])
+        return 2 * q * d + q * q * d * d
+    if model == "landau":
+        d = np.exp(-t / p[0])
+        return x * d / np.sqrt(1 + p[1] * x * x * np.maximum(1 - d * d, 0))
+    if model == "double_exponential":
+        return x * (p[2] * np.exp(-t / p[0]) + (1 - p[2]) * np.exp(-t / (p[0] + p[1])))
+    return x * (1 + t / p[0]) ** -p[1]
+
+
+def information_criteria(sse: Column, n: Column, k: Column) -> tuple[Column, Column]:
+    base = n * F.ln(F.greatest(sse, F.lit(2.2250738585072014e-308)) / n)
+    return base + 2 * k, base + k * F.ln(n)
+
+
+def fit_gate(summary: DataFrame, least_events: int = 20, early: int = 5, least_points: int = 5, run: int = 3) -> DataFrame:
+    """Whether a response may be fitted, from where to where, and why not, by asset and direction.
+
+    A fit starts at the early maximum and ends before the first `run` medians in a row that aren't positive.
+    """
+    group = Window.partitionBy("asset", "direction")
+    order = group.orderBy("offset")
+    rows = summary.where("median is not null")
+    start = F.max(F.when(F.col("offset") <= early, F.struct("median", (-F.col("offset")).alias("o")))).over(group)
+    rows = rows.withColumn("fit_start", -start["o"])
+    down = F.array(*[F.lead("median", k).over(order) for k in range(run)])
+    rows = rows.withColumn("_ends", F.coalesce(F.forall(down, lambda x: x <= 0), F.lit(False)) & (F.col("offset") >= F.col("fit_start") + least_points))
+    each = rows.groupBy("asset", "direction").agg(
+        F.min("count").alias("events"), F.count_if(F.col("offset") <= early).alias("early"), F.max(F.when(F.col("offset") <= early, F.col("median"))).alias("peak"),
+        F.bool_or((F.col("offset") <= early) & (F.col("bootstrap_ci_low") > 0)).alias("supported"), F.max("fit_start").alias("fit_start"),
+        F.coalesce(F.min(F.when(F.col("_ends"), F.col("offset"))) - 1, F.max("offset")).alias("fit_end"),
+    )
+    reason = F.when(F.col("events") < least_events, "too few events").when(F.col("early") == 0, "no early offsets").when(~(F.col("peak") > 0), "no early excess").when(~F.col("supported"), "no early support").when(F.col("fit_end") - F.col("fit_start") + 1 < least_points, "segment too short").otherwise("allowed")
+    return each.withColumn("reason", reason).withColumn("allowed", F.col("reason") == "allowed").select("asset", "direction", "events", "peak", "fit_start", "fit_end", "allowed", "reason")
+
+
+def _fit(t: np.ndarray, y: np.ndarray, model: str) -> tuple[np.ndarray, float]:
+    _, start, low, high = LAWS[model]
+    p0 = np.array(start, float)
+    p0[0] = min(max(float(y[0]), low[0] + 1e-6), high[0])
+    return least_squares(lambda p: curve(model, t, p) - y, p0, np.array(low, float), np.array(high, float))
+
+
+FITS = "asset string, direction string, model string, parameters map<string,double>, sse double, aic double, bic double, success boolean, fit_start int, fit_end int, sample_size long"
+
+
+def _relaxation(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("offset")
+    t, y = rows["offset"].to_numpy(float) - rows["offset"].min(), rows["median"].to_numpy()
+    out = []
+    for model, (names, *_) in LAWS.items():
+        if model == "double_exponential" and len(t) < 10:
+            continue
+        p, sse = _fit(t, y, model)
+        n, k = len(t), len(names)
+        base = n * math.log(max(sse, 2.2250738585072014e-308) / n)
+        out.append((rows["asset"].iloc[0], rows["direction"].iloc[0], model, dict(zip(names, p.tolist(), strict=True)), sse, base + 2 * k, base + k * math.log(n), bool(np.isfinite(sse)), int(rows["offset"].min()), int(rows["offset"].max()), n))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in FITS.replace("map<string,double>", "map").split(", ")])
+
+
+def fit_relaxation(summary: DataFrame, gate: DataFrame | None = None) -> DataFrame:
+    """Every law fitted to the median response, by asset and direction, for responses that the gate allows (all without one)."""
+    rows = summary.where("median is not null")
+    if gate is not None:
+        spans = gate.where("allowed").select("asset", "direction", "fit_start", "fit_end")
+        rows = rows.join(spans, ["asset", "direction"]).where(F.col("offset").between(F.col("fit_start"), F.col("fit_end")))
+    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("asset", "direction"))).where(F.col("_n") >= 5)
+    return rows.select("asset", "direction", F.col("offset").cast("int").alias("offset"), "median").groupBy("asset", "direction").applyInPandas(_relaxation, FITS)
+
+
+def with_folds(rows: DataFrame, by: list[str], folds: int, seed: int) -> DataFrame:
+    """`rows` with fold: events of a group in hash order, dealt round."""
+    events = rows.select(*by, "event_id").distinct()
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy(hash_draw(seed, "event_id"), "event_id")) - 1
+    return rows.join(events.withColumn("fold", turn % folds), [*by, "event_id"])
+
+
+def cross_validate_relaxation(paths: DataFrame, folds: int = 5, seed: int = 1729, value: str = "abnormal_excess_variance") -> DataFrame:
+    """Held-out error of each law: fitted to the median curve of the other events, compared with that of the fold's."""
+    by = ["asset", "direction"]
+    enough = paths.groupBy(*by).agg(F.count_distinct("event_id").alias("n")).where(F.col("n") >= max(10, 2 * folds)).select(*by)
+    rows = with_folds(paths.join(enough, by), by, folds, seed)
+    every = rows.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    curves = every.groupBy(*by, "held", "offset").agg(median(F.when(F.col("fold") != F.col("held"), F.col(value))).alias("train"), median(F.when(F.col("fold") == F.col("held"), F.col(value))).alias("test"))
+
+    def score(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.dropna().sort_values("offset")
+        out = []
+        if len(part) >= 5:
+            t = part["offset"].to_numpy(float) - part["offset"].min()
+            for model in LAWS:
+                p, _ = _fit(t, part["train"].to_numpy(), model)
+                out.append((part["asset"].iloc[0], part["direction"].iloc[0], int(part["held"].iloc[0]), model, float(np.sqrt(((curve(model, t, p) - part["test"].to_numpy()) ** 2).mean()))))
+        return pd.DataFrame(out, columns=["asset", "direction", "held", "model", "rmse"])
+
+    folded = curves.groupBy(*by, "held").applyInPandas(score, "asset string, direction string, held int, model string, rmse double")
+    return folded.groupBy(*by, "model").agg(F.count("*").alias("successful_folds"), F.avg("rmse").alias("mean_held_out_rmse"), median("rmse").alias("median_held_out_rmse"), F.stddev_pop("rmse").alias("rmse_std"))
+
+
+OMORI = "asset string, baseline_rate double, scale double, shift double, exponent double, log_likelihood double, aic double, flat_rate double, flat_log_likelihood double, flat_aic double, delta_aic_omori_minus_flat double, meaningful_decay boolean, reason string"
+
+
+def _likelihood(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> float:
+    p = np.clip(p, 1e-8, 1 - 1e-8)
+    choose = np.array([math.lgamma(b + 1) - math.lgamma(a + 1) - math.lgamma(b - a + 1) for a, b in zip(k, n, strict=True)])
+    return float((choose + k * np.log(p) + (n - k) * np.log(1 - p)).sum())
+
+
+def _omori(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("offset")
+    names = [c.split()[0] for c in OMORI.split(", ")]
+    if len(rows) < 6:
+        return pd.DataFrame(columns=names)
+    t, k, n = (rows[c].to_numpy(float) for c in ("offset", "count", "exposed_events"))
+    base = float(np.clip(rows["baseline_rate"].iloc[0], 1e-6, 1 - 1e-6))
+
+    def rate(x: np.ndarray) -> tuple[np.ndarray, tuple[float, float, float]]:
+        scale, shift, exponent = 1 / (1 + math.exp(-np.clip(x[0], -30, 30))), math.exp(np.clip(x[1], -10, 6)), math.exp(np.clip(x[2], -6, 3))
+        return np.clip(base + scale / (t + shift) ** exponent, 1e-8, 1 - 1e-8), (scale, shift, exponent)
+
+    x, value = minimise(lambda x: -_likelihood(k, n, rate(x)[0]), np.array([-2.0, 0.0, -1.0]))
+    scale, shift, exponent = rate(x)[1]
+    flat = float(k.sum() / n.sum())
+    own, other = 2 * 3 + 2 * value, 2 - 2 * _likelihood(k, n, np.full(len(t), flat))
+    reason = "flat rate is as good" if own - other >= -2 else "exponent too small" if exponent <= 0.1 else "scale too small" if scale <= 0.005 else "decay"
+    return pd.DataFrame([(rows["asset"].iloc[0], base, scale, shift, exponent, -value, own, flat, (2 - other) / 2, other, own - other, reason == "decay", reason)], columns=names)
+
+
+def fit_omori(rates: DataFrame) -> DataFrame:
+    """Aftershock rate = baseline + scale / (t + shift) ** exponent by maximum likelihood, against a flat rate."""
+    rows = rates.select("asset", F.col("offset").cast("int").alias("offset"), "count", "exposed_events", "baseline_rate")
+    return rows.groupBy("asset").applyInPandas(_omori, OMORI)
+
+
+def process_grid(curves: DataFrame) -> DataFrame:
+    """(process_class, direction, model, tau, amplitude, sse): exponentials over a grid of 120 times, best amplitude in
+    closed form. The grid is a column that multiplies rows by a fixed 120, and sums combine before the shuffle."""
+    step = (math.log(120) - math.log(0.15)) / 119
+    taus = F.transform(F.sequence(F.lit(0), F.lit(119)), lambda k: F.exp(math.log(0.15) + k * step))
+    rows = curves.withColumn("y", F.greatest("median_abnormal_m2", F.lit(0.0))).withColumn("tau", F.explode(taus)).withColumn("b", F.exp(-(F.col("offset") - 1) / F.col("tau")))
+    sums = rows.groupBy("process_class", "direction", "tau").agg(F.sum(F.col("b") * F.col("b")).alias("bb"), F.sum(F.col("b") * F.col("y")).alias("by"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.count("*").alias("n"))
+    fits = sums.where("n >= 6").withColumn("amplitude", F.greatest(F.col("by") / F.col("bb"), F.lit(0.0))).withColumn("sse", F.col("yy") - 2 * F.col("amplitude") * F.col("by") + F.col("amplitude") * F.col("amplitude") * F.col("bb"))
+    best = F.min_by(F.struct("tau", "amplitude", "sse", "n"), F.struct("sse", "tau"))
+    return fits.groupBy("process_class", "direction").agg(best.alias("f")).select("process_class", "direction", F.lit("exponential").alias("model"), F.col("f.tau").alias("tau"), F.col("f.amplitude").alias("amplitude"), F.sqrt(F.greatest(F.col("f.sse"), F.lit(0.0)) / F.col("f.n")).alias("rmse"))
+
+
+def amplitude_sample(paths: DataFrame, initial: int = 3, last: int = 24) -> DataFrame:
+    """(process_class, direction, event_id, offset, x, y) of events that have every offset 1 to `last` and an early median over 0.02."""
+    by = ["process_class", "direction", "event_id"]
+    rows = paths.where(F.col("offset").between(1, last) & F.col("abnormal_m2").isNotNull())
+    start = rows.groupBy(*by).agg(F.count_distinct("offset").alias("n"), F.greatest(median(F.when(F.col("offset") <= initial, F.col("abnormal_m2"))), F.lit(0.0)).alias("x"))
+    return rows.join(start.where((F.col("n") == last) & (F.col("x") > 0.02)).drop("n"), by).select(*by, "offset", "x", F.col("abnormal_m2").alias("y"))
+
+
+def fit_amplitude_law(t: np.ndarray, x: np.ndarray, y: np.ndarray, model: str) -> np.ndarray:
+    """Parameters under a soft-L1 loss of clipped targets, searched over logarithms inside the law's bounds."""
+    _, start, low, high = AMPLITUDE_LAWS[model]
+    cap = max(float(np.quantile(np.abs(y), 0.99)), 0.5)
+    target = np.clip(y, -cap, cap)
+
+    def residual(q: np.ndarray) -> np.ndarray:
+        r = (amplitude_curve(model, t, x, np.exp(q)) - target) / 0.5
+        return np.sign(r) * 0.5 * np.sqrt(2 * (np.sqrt(1 + r * r) - 1))
+
+    return np.exp(least_squares(residual, np.log(start), np.log(low), np.log(high))[0])
+
+
+AMPLITUDE = "process_class string, direction string, fold int, model string, parameters map<string,double>, rmse double, burden_mae double, events long"
+
+
+def amplitude_fits(sample: DataFrame, folds: int = 0, seed: int = 2026, least: int = 6) -> DataFrame:
+    """Every law by process class and direction; with folds, the held-out errors of each event fold (fold -1: none held)."""
+    by = ["process_class", "direction"]
+    rows = with_folds(sample, by, folds, seed) if folds else sample.withColumn("fold", F.lit(-1))
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if part["event_id"].nunique() >= max(least, 2 * folds):
+            for fold in sorted(part["fold"].unique()):
+                held = part["fold"] == fold
+                train, test = (part[~held], part[held]) if folds else (part, part)
+                for model, (names, *_) in AMPLITUDE_LAWS.items():
+                    p = fit_amplitude_law(train["offset"].to_numpy(float), train["x"].to_numpy(), train["y"].to_numpy(), model)
+                    guess = amplitude_curve(model, test["offset"].to_numpy(float), test["x"].to_numpy(), p)
+                    early = test["offset"] <= 12
+                    gap = (pd.Series(np.maximum(guess, 0), test.index) - test["y"].clip(lower=0))[early].groupby(test.loc[early, "event_id"]).sum()
+                    out.append((part["process_class"].iloc[0], part["direction"].iloc[0], int(fold), model, dict(zip(names, p.tolist(), strict=True)), float(np.sqrt(((guess - test["y"]) ** 2).mean())), float(gap.abs().mean()), int(test["event_id"].nunique())))
+        return pd.DataFrame(out, columns=["process_class", "direction", "fold", "model", "parameters", "rmse", "burden_mae", "events"])
+
+    return rows.groupBy(*by).applyInPandas(fit, AMPLITUDE)
+
+
+def amplitude_validation(folded: DataFrame) -> DataFrame:
+    each = folded.groupBy("process_class", "direction", "model").agg(F.avg("rmse").alias("mean"), median("rmse").alias("median"), F.stddev_samp("rmse").alias("std"), F.avg("burden_mae").alias("burden_mae_12"), F.sum("events").alias("events"))
+    return each.withColumn("winner", F.row_number().over(Window.partitionBy("process_class", "direction").orderBy("mean", "model")) == 1)
