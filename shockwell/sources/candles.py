@@ -154,7 +154,8 @@ def _unzipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if not {"begin", "open", "high", "low", "close", "volume"} <= set(rows.columns):
                         continue
                     asset = re.sub(r"(\.csv)?(\.gz)?$", "", member.rsplit("/", 1)[-1], flags=re.IGNORECASE).upper()
-                    out = rows.reindex(columns=names)
+                    out = rows.reindex(columns=names).astype(object)
+                    out = out.where(out.notna(), None)
                     yield out.assign(asset=asset, load=range(len(out)))[["asset", *names, "load"]]
 
 
