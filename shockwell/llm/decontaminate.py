@@ -198,10 +198,11 @@ def _merge():
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """`docs` with the contaminated spans cut from its texts; all rows and columns stay."""
-    found = find_contamination(docs, benchmark, text_col=text_col, **options)
+    own = {c: f"_own_{c}" for c in docs.columns if c.lower() in FOUND and c != text_col}
+    found = find_contamination(docs.withColumnsRenamed(own), benchmark, text_col=text_col, **options)
 
     def make():
         return lambda texts, starts, ends: [[without_spans(*x) for x in zip(texts, starts, ends, strict=True)]]
 
     clean = append_columns(found, {"_clean": "string"}, make, [text_col, "starts", "ends"], without=tuple(FOUND))
-    return clean.withColumn(text_col, F.col("_clean")).select(*docs.columns)
+    return clean.withColumn(text_col, F.col("_clean")).withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)

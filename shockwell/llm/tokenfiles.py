@@ -108,8 +108,8 @@ def _find(wanted: np.ndarray):
                 keys, ends = np.frombuffer(row.keys, "<i8"), np.frombuffer(row.ends, "<i8")
                 ids = np.frombuffer(row.payload, f"<u{row.width}")
                 found = PerfectIndex.load(row.index).find(wanted)
-                at = [i for i in found[found >= 0].tolist()]
-                yield pd.DataFrame({"key": keys[at], "ids": [ids[ends[i - 1] if i else 0 : ends[i]].tolist() for i in at]})
+                if at := found[found >= 0].tolist():
+                    yield pd.DataFrame({"key": keys[at], "ids": [ids[ends[i - 1] if i else 0 : ends[i]].tolist() for i in at]})
 
     return run
 
