@@ -22,7 +22,7 @@ from shockwell.llm.scratch import discard, materialise
 from shockwell.llm.suffixes import SuffixArray
 
 #: Bytes of text hashed at once; bytes of segments under one suffix array; a larger group of one anchor goes by hashes of its strings.
-SLICE_BYTES, ARRAY_BYTES, GROUP_BYTES = 2 << 20, 1 << 20, 8 << 20
+SLICE_BYTES, ARRAY_BYTES, GROUP_BYTES = 1 << 20, 1 << 20, 8 << 20
 #: Odd multiplier of the polynomial hashes.
 BASE = 0x9E3779B97F4A7C15
 #: A segment's place: start * RUNS + number of strings in it.
@@ -57,7 +57,7 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
 
 def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of data[start:end] for each pair, from sums of powers."""
-    up, down = _powers(1 << max(22, int(len(data) + 1).bit_length()))
+    up, down = _powers(1 << max(21, int(len(data) + 1).bit_length()))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_symbols(33)[data] * up[: len(data)], dtype=np.uint64)))
     return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64), 34)
 

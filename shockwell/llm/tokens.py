@@ -8,20 +8,23 @@ from functools import lru_cache
 
 import numpy as np
 
+from shockwell.llm.repeats import string_hashes
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries in each of a worker's two memories; longer pieces are encoded each time. Pieces encoded at once.
-MOST_REMEMBERED, LONGEST_REMEMBERED, AT_ONCE = 300_000, 64, 4000
-#: A word, with the one space or newline before it.
-WORD = re.compile(r"[ \n]?\S+")
+#: Words and ids that a worker remembers at most, then it starts anew. Words encoded at once; bytes of text looked up at once.
+MOST_WORDS, MOST_IDS, AT_ONCE, CHUNK = 800_000, 4_000_000, 4000, 1 << 19
+#: What keeps a text from being cut into words: white space but single spaces and newlines, and white space at the end.
+ODD = re.compile(r"[^\S \n]|[ \n](?:[ \n]|\Z)")
 
 
 class Encoder:
     """Encodes texts with a byte-level BPE file of the tokenizers library.
 
     Byte-level BPE cuts a text into words before it merges, and always before a single space, and around a single
-    newline, between two other characters. So pieces cut there have the ids they have in the whole text; each different
-    piece is encoded once and remembered. A test holds this against encoding whole texts.
+    newline, between two other characters. So words cut there have the ids they have in the whole text; each different
+    word is encoded once and remembered by the 64-bit hash of its bytes. Other texts are encoded as a whole. A test
+    holds this against encoding whole texts.
     """
 
     def __init__(self, path: str):
@@ -34,63 +37,83 @@ class Encoder:
         self.dtype = f"<u{self.width}"
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space or a newline
         self.begins[[i for word, i in vocabulary.items() if word[:1] in "ĠĊ"]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # the memory before; what is still used moves back
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        out = WORD.findall(text)
-        if sum(map(len, out)) == len(text):
-            return out
-        parts = text.split(" ")  # other white space: cut at single spaces only
-        out = [parts[0]]
-        blank = not parts[0] or parts[0][-1].isspace()
-        for part in parts[1:]:
-            if blank or not part or part[0].isspace():  # not a single space between two other characters: no cut here
-                out[-1] += " " + part
-            else:
-                out.append(" " + part)
-            blank = not part or part[-1].isspace()
-        return out
-
-    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {piece: np.array(x.ids, self.dtype).tobytes() for piece, x in zip(pieces, found, strict=True)}
-
-    def _encoded_words(self, words: list[str]) -> dict[str, bytes]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.dtype)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _words(self, words: list[str]) -> list[np.ndarray]:
         """Many words as one text; each one's ids begin with one for a space or a newline, which bare words are lent."""
-        lent = [w[0] not in " \n" for w in words]
-        text = "".join(["\n" + w if x else w for w, x in zip(words, lent, strict=True)])
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        lent = np.array([w[0] not in " \n" for w in words])
+        ids = self._whole(["".join(["\n" + w if x else w for w, x in zip(words, lent.tolist(), strict=True)])])[0]
         starts = np.flatnonzero(self.begins[ids])
         if len(starts) != len(words):
-            return self._encoded(words)
-        ends = (np.append(starts[1:], len(ids)) * self.width).tolist()
-        raw, starts = ids.tobytes(), ((starts + np.array(lent)) * self.width).tolist()
-        return {w: raw[a:b] for w, a, b in zip(words, starts, ends, strict=True)}
-
-    def learn(self, unknown: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that aren't remembered."""
-        found = {p: self.older[p] for p in unknown if p in self.older}
-        new = [p for p in unknown if p not in found and len(p) <= LONGEST_REMEMBERED]
-        words = [p for p in new if WORD.fullmatch(p)]
-        for k in range(0, len(words), AT_ONCE):
-            found.update(self._encoded_words(words[k : k + AT_ONCE]))
-        found.update(self._encoded([p for p in new if p not in found]))
-        if len(self.known) > MOST_REMEMBERED:
-            self.known, self.older = {}, self.known
-        self.known.update(found)
-        return {**found, **self._encoded([p for p in unknown if len(p) > LONGEST_REMEMBERED])}
+            return self._whole(words)
+        ends = np.append(starts[1:], len(ids)).tolist()
+        return [ids[a:b] for a, b in zip((starts + lent).tolist(), ends, strict=True)]
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Remembers words by their hashes, which come sorted."""
+        found = [x for k in range(0, len(words), AT_ONCE) for x in self._words(words[k : k + AT_ONCE])]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        first = len(self.ids) + np.cumsum(count) - count
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.first, self.count = (np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.first, first), (self.count, count)))
+        self.ids = np.concatenate([self.ids, *found])
+
+    def _looked_up(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts of words, a chunk's worth."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.cumsum(sizes) - sizes
+        new = (data == 32) | (data == 10)
+        new[begin[sizes > 0]] = True
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(data))
+        each, where, inverse = np.unique(string_hashes(data, start, end), return_index=True, return_inverse=True)
+        if len(self.hashes) > MOST_WORDS or len(self.ids) > MOST_IDS:
+            self._forget()
+        at = np.searchsorted(self.hashes, each)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == each[known]
+        if not known.all():
+            raw = data.tobytes()
+            self._learn(each[~known], [raw[a:b].decode() for a, b in zip(start[where[~known]].tolist(), end[where[~known]].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, each)
+        first, count = self.first[at][inverse], self.count[at][inverse]
+        ends = np.cumsum(count)
+        ids = self.ids[np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        token = np.concatenate((np.zeros(1, np.int64), ends))
+        cut = token[np.searchsorted(start, np.append(begin, len(data)))] * self.width
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+    def _parts(self, text: str) -> list[bytes]:
+        """A text of words in parts of about a chunk that begin at a space."""
+        out, first = [], 0
+        while len(text) - first > CHUNK and (at := text.find(" ", first + CHUNK // 2)) > 0:
+            out.append(text[first:at].encode())
+            first = at
+        return [*out, text[first:].encode()]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, self.width bytes each."""
-        cut = [self.pieces(t) for t in texts]
-        ids = [list(map(self.known.get, own)) for own in cut]
-        unknown = {p for own, got in zip(cut, ids, strict=True) if None in got for p, x in zip(own, got, strict=True) if x is None}
-        if unknown:
-            learned = self.learn(unknown)
-            ids = [[learned[p] if x is None else x for p, x in zip(own, got, strict=True)] if None in got else got for own, got in zip(cut, ids, strict=True)]
-        return [b"".join(own) for own in ids]
+        odd = [bool(ODD.search(t)) for t in texts]
+        whole = iter(self._whole([t for t, x in zip(texts, odd, strict=True) if x]))
+        parts = [[] if x else self._parts(t) for t, x in zip(texts, odd, strict=True)]
+        queue, held, found = [], 0, []
+        for part in (p for own in parts for p in own):
+            queue.append(part)
+            held += len(part)
+            if held >= CHUNK:
+                found += self._looked_up(queue)
+                queue, held = [], 0
+        found += self._looked_up(queue) if queue else []
+        ids = iter(found)
+        return [next(whole).tobytes() if x else b"".join(next(ids) for _ in own) for x, own in zip(odd, parts, strict=True)]
 
 
 @lru_cache(maxsize=2)
