@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: Rows of a batch that are Python objects at a time.
+ROWS = 512
 ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 
 
@@ -26,7 +28,7 @@ def append_columns(df: DataFrame, new: dict[str, str], make: Callable[[], Callab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             own = [batch.column(k) for k, c in enumerate(names) if c not in without]
             found = work(*(batch.column(names.index(c)).to_pylist() for c in inputs))
             arrays = own + [pa.array(x, t) for x, t in zip(found, types, strict=True)]

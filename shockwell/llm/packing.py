@@ -7,11 +7,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shockwell.llm.batches import ARROW, ROWS
 from shockwell.llm.scratch import materialise
 from shockwell.llm.tokens import default_tokenizer, encoder
 
@@ -40,28 +41,24 @@ def shortest_pack_first(histogram: dict[int, int], room: int) -> list[tuple[int,
     return [(times, lengths) for packs in by_left.values() for times, lengths in packs]
 
 
-def _pieces(path: str, end_id: int, room: int, keep_ids: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Columns of a piece.
+PIECE = {"id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "ids": "binary"}
+
+
+def _pieces(path: str, end_id: int, room: int, names: list[str]):
+    types = [ARROW[PIECE[c]] for c in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         end = np.array([end_id], "<u4")
-        for batch in batches:
-            rows = defaultdict(list)
-            step = 256
-            for k in range(0, len(batch), step):
-                part = batch.iloc[k : k + step]
-                for i, raw in zip(part["id"], code.encode([x if isinstance(x, str) else "" for x in part["text"]]), strict=True):
-                    ids = np.concatenate([np.frombuffer(raw, code.dtype).astype("<u4"), end])
-                    for start in range(0, len(ids), room):
-                        own = ids[start : start + room]
-                        rows["id"].append(i)
-                        rows["start"].append(start)
-                        rows["length"].append(len(own))
-                        rows["ids_crc32"].append(zlib.crc32(own.tobytes()))
-                        rows["doc_tokens"].append(len(ids))
-                        if keep_ids:
-                            rows["ids"].append(own.tobytes())
-            out = pd.DataFrame(dict(rows)) if rows else pd.DataFrame(columns=["id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
-            yield out.assign(id=out["id"].astype("Int64"))
+        for part in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            rows = []
+            for i, raw in zip(part.column(0).to_pylist(), code.encode([x or "" for x in part.column(1).to_pylist()]), strict=True):
+                ids = np.concatenate([np.frombuffer(raw, code.dtype).astype("<u4"), end])
+                for start in range(0, len(ids), room):
+                    own = ids[start : start + room].tobytes()
+                    rows.append((i, start, len(own) // 4, zlib.crc32(own), len(ids), own)[: len(names)])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return run
 
@@ -80,8 +77,8 @@ def pack_documents(docs: DataFrame, room: int = 2048, end_id: int = 1, tokenizer
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, start long, length int, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
-    pieces = materialise(rows.mapInPandas(_pieces(path, end_id, room, keep_ids), schema), "pieces")
+    names = list(PIECE)[: len(PIECE) - (not keep_ids)]
+    pieces = materialise(rows.mapInArrow(_pieces(path, end_id, room, names), ", ".join(f"{c} {PIECE[c]}" for c in names)), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places, used, first = [], defaultdict(int), 0
     for times, lengths in shortest_pack_first(counts, room):
@@ -91,7 +88,7 @@ def pack_documents(docs: DataFrame, room: int = 2048, end_id: int = 1, tokenizer
             used[length] += times
             offset += length
         first += times
-    spots = spark.createDataFrame(places, "length int, low long, high long, first_sequence long, offset long")
+    spots = spark.createDataFrame(places, "length long, low long, high long, first_sequence long, offset long")
     buckets = max(1, -(-sum(counts.values()) // 100_000))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start"), F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
@@ -103,6 +100,6 @@ def pack_documents(docs: DataFrame, room: int = 2048, end_id: int = 1, tokenizer
         spots.alias("s"), (F.col("p.length") == F.col("s.length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     )
     return placed.select(
-        F.col("id").alias(id_col), "start", F.col("p.length").cast("long").alias("length"), "ids_crc32", "doc_tokens",
+        F.col("id").alias(id_col), "start", F.col("p.length"), "ids_crc32", "doc_tokens",
         (F.col("first_sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset", *(["ids"] if keep_ids else []),
     )

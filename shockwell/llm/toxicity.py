@@ -24,10 +24,10 @@ SPAN, DECAY = 6, 0.7
 LONGEST = 24
 #: Words spelled out with separators: single letters with one to three other characters between.
 SPELLED = re.compile(r"(?<!\w)(?:[^\W\d_][\W_]{1,3}){2,}[^\W\d_](?!\w)")
-MOST_LANDMARKS, MOST_UNITS, MOST_REMEMBERED = 128, 60_000, 300_000
+MOST_LANDMARKS, MOST_UNITS, MOST_REMEMBERED = 128, 60_000, 60_000
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=20_000)
 def units(token: str) -> tuple[str, ...]:
     """The letters of a token, lower-cased; a long word's overlapping windows."""
     word = "".join(c for c in token.lower() if c.isalpha())
@@ -129,9 +129,9 @@ class ToxicityModel:
 
     def decide(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words))
-        for k in range(0, len(words), 5000):
-            word, sub, weight = subsequences(words[k : k + 5000])
-            out[k : k + 5000] = np.bincount(word, weight * self.weights[sub], len(words[k : k + 5000])) + self.bias
+        for k in range(0, len(words), 2000):
+            word, sub, weight = subsequences(words[k : k + 2000])
+            out[k : k + 2000] = np.bincount(word, weight * self.weights[sub], len(words[k : k + 2000])) + self.bias
         return out
 
     def score(self, found: np.ndarray) -> np.ndarray:
@@ -239,6 +239,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
     def make():
         scorer = Scorer(model)
-        return lambda texts: [[s for k in range(0, len(texts), 256) for s in scorer.scores(texts[k : k + 256]).tolist()]]
+        return lambda texts: [[s for k in range(0, len(texts), 64) for s in scorer.scores(texts[k : k + 64]).tolist()]]
 
     return append_columns(docs, {"toxicity_score": "double"}, make, [text_col])
