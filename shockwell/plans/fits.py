@@ -13,9 +13,9 @@ from shockwell.streaming.ohlc import stream_candles
 
 def register(r: Registry) -> None:
     own = r.queries
-    point = {"amplitude": F.lit(0.8), "tau": F.lit(9.0), "theta": F.lit(1.4), "beta": F.lit(0.7), "amplitude_fast": F.lit(0.5), "tau_fast": F.lit(2.0), "amplitude_slow": F.lit(0.2), "tau_slow": F.lit(20.0), "shift": F.lit(1.5), "exponent": F.lit(0.9), "scale": F.lit(0.3)}
+    point = {"amplitude": 0.8, "tau": 9.0, "theta": 1.4, "beta": 0.7, "amplitude_fast": 0.5, "tau_fast": 2.0, "amplitude_slow": 0.2, "tau_slow": 20.0, "shift": 1.5, "exponent": 0.9, "scale": 0.3}
     laws = [*decay.LAWS, "omori"]
-    r.add("d1_curves", "t", " ".join(laws), lambda s, d: s.range(1, 31).select(F.col("id").alias("t"), *[decay.curve_column(m, F.col("id"), point).alias(m) for m in laws]),
+    r.add("d1_curves", "t", " ".join(laws), lambda s, d: s.range(1, 31).select(F.col("id").alias("t"), *[decay.curve_column(m, F.col("id"), {k: F.lit(v) for k, v in point.items()}).alias(m) for m in laws]),
           "SELECT t, 0.8 * exp(-t / 9.0) AS exponential, 0.8 * exp(-t / 9.0) / sqrt(1 + 1.4 * 0.64 * (1 - exp(-2 * t / 9.0))) AS landau, 0.8 * exp(-pow(t / 9.0, 0.7)) AS stretched_exponential, 0.5 * exp(-t / 2.0) + 0.2 * exp(-t / 20.0) AS double_exponential, 0.8 * pow(t + 1.5, -0.9) AS shifted_power, 0.3 / pow(t + 1.5, 0.9) AS omori FROM (SELECT unnest(range(1, 31)) AS t)")
     summary = lambda s, d: own["r11_median_summary"](s, d).persist()
     r.add("d4_fit_gate", "asset direction events fit_start fit_end allowed reason", "peak", lambda s, d: decay.fit_gate(summary(s, d)),

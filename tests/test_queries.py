@@ -1,6 +1,8 @@
 """Queries against their SQL on the smallest tables, and the driver's contract."""
 
 import math
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -36,6 +38,11 @@ def test_query_is_its_sql(spark, duck, name):
     assert own == sorted(plain([r[names.index(c)] for c in columns]) for r in want.fetchall())
 
 
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 90 and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=__spark_entry__.HERE, timeout=120).returncode == 0
+
+
 def test_contract(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
