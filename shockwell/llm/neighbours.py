@@ -180,6 +180,69 @@ def count_links(members: DataFrame, threshold: float, block: int, parts: int) ->
     return found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("nodes").alias("nodes"))
 
 
+def _paired(rows: DataFrame, by: str, block: int) -> DataFrame:
+    """`rows` of (by, key, ...) once for each pair of blocks of `by` that they belong to, with low, high and side (0, 1; 2:
+    the block itself)."""
+    sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = rows.join(sizes, by).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
+    return own.withColumns({"low": F.least("own", "with"), "high": F.greatest("own", "with"), "side": side}).drop("blocks", "own", "with")
+
+
+def _ball(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block's centre, and the largest angle from it."""
+    x = unit(rows["vec"].to_numpy())
+    centre = x.sum(axis=0)
+    norm = np.linalg.norm(centre)
+    centre = centre / norm if norm > 1e-9 else x[0]
+    angle = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+    return pd.DataFrame({"place": [rows["place"].iloc[0]], "key": [rows["key"].iloc[0]], "component": [rows["component"].iloc[0]], "vec": [centre], "angle": [angle]})
+
+
+def _near_balls(threshold: float):
+    def work(rows: pd.DataFrame) -> pd.DataFrame | None:
+        """Pairs of blocks, of different components, that may hold a link: centres within the link's angle and both radii."""
+        left, right = rows[rows["side"] != 1], rows[rows["side"] != 0]
+        if not len(left) or not len(right):
+            return None
+        angle = np.arccos(np.clip(unit(left["vec"].to_numpy()) @ unit(right["vec"].to_numpy()).T, -1, 1))
+        near = angle <= np.arccos(threshold) + left["angle"].to_numpy()[:, None] + right["angle"].to_numpy()[None, :] + 1e-6
+        a, b = np.nonzero(near & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]))
+        a, b = left["key"].to_numpy()[a], right["key"].to_numpy()[b]
+        once = (a < b) | (rows["side"] != 2).any()
+        return pd.DataFrame({"a": a[once], "b": b[once]}) if once.any() else None
+
+    return work
+
+
+def _first_link(threshold: float):
+    def work(rows: pd.DataFrame) -> pd.DataFrame | None:
+        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        if not len(left) or not len(right):
+            return None
+        near = unit(left["vec"].to_numpy()) @ unit(right["vec"].to_numpy()).T >= threshold
+        i, j = np.unravel_index(np.argmax(near), near.shape)
+        return pd.DataFrame({"node": [left["node"].iloc[i]], "other": [right["node"].iloc[j]]}) if near[i, j] else None
+
+    return work
+
+
+def cross_links(members: DataFrame, threshold: float, block: int, parts: int) -> DataFrame:
+    """(node, other): a link for each two blocks of `members` (component, node, label, vec) that have one, from different
+    components of a label, by exact comparison. Blocks hold members of one component; those too far apart, by the angle
+    between their centres and by their radii, aren't compared."""
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    key = F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = materialise(members.join(sizes, "component").select(F.xxhash64("label", F.size("vec")).alias("place"), key.alias("key"), "component", "node", "vec"), "dense")
+    balls = rows.repartition(parts, "place", "key").sortWithinPartitions("place", "key").mapInPandas(_by_group(["place", "key"], _ball), "place long, key long, component long, vec array<double>, angle double")
+    at = ["place", "low", "high"]
+    near = _paired(materialise(balls, "balls"), "place", block).repartition(parts, *at).sortWithinPartitions(*at)
+    pairs = materialise(near.mapInPandas(_by_group(at, _near_balls(threshold)), "a long, b long"), "pairs")
+    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("key")), F.struct(F.lit(1).alias("side"), F.col("b").alias("key")))).alias("s")).select("a", "b", "s.side", "s.key")
+    both = sides.join(rows.select("key", "node", "vec"), "key").repartition(parts, "a", "b").sortWithinPartitions("a", "b")
+    return materialise(both.mapInPandas(_by_group(["a", "b"], _first_link(threshold)), "node long, other long"), "cross")
+
+
 def audit_recall(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int = AUDITED) -> Audit:
     """At most `sample` nodes, in the order of a hash, compared with all nodes of their label; counts come back, no pairs."""
     rows = nodes.select("node", "label", "vec").orderBy(F.xxhash64("node"), "node").limit(sample).collect()
@@ -214,7 +277,10 @@ def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.93, seed: int
        closest. A list that is full of links is saturated and doubles. Rounds end when few lists change.
     3. Edges of at least `threshold` make components. Inside a component all links are counted exactly, in blocks: lists
        are bounded, and this is the exact way for what they can't hold.
-    4. The audit compares a bounded sample with all vectors. Under WANTED further orders and rounds follow, twice at most.
+       A list that was ever saturated may have lost links, and a link is lost only if both its ends' lists were: so all such
+       nodes of a label in different components are compared exactly first, in blocks that a bound on angles prunes.
+    4. The audit compares a bounded sample with all vectors. Under WANTED further orders and rounds follow, twice at most;
+       if they don't suffice, all nodes of a label are compared as those with saturated lists are.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows whose label or id is null, link
     with nothing: n_links 0, component_id the id itself. Vectors of different lengths don't link. Repeated ids are separate
@@ -234,6 +300,16 @@ def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.93, seed: int
         order = ["label", "turn", "signs", "node"]
         return dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(_neighbours_in_order, "node long, other long, cosine double")
 
+    def compared(dense: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, Audit]:
+        """The components once those with nodes of `dense` are compared with each other, their exact counts, and the audit."""
+        own = nodes.join(dense, "node", "left_semi").join(groups, "node", "left").select(F.coalesce("component", "node").alias("component"), "node", "label", "vec")
+        cross = cross_links(own, threshold, BLOCK, parts)
+        if not cross.isEmpty():
+            groups = materialise(connected_components(cross.union(groups.select("node", "component")), "node", "other"), "groups")
+        members = groups.join(nodes, "node").select("component", "node", "vec", "copies")
+        counts = materialise(count_links(members, threshold, BLOCK, parts).join(groups, "node"), "counts")
+        return groups, counts, audit_recall(nodes, counts.select("node", "nodes"), threshold)
+
     graph, states, turn = None, None, 0
     for attempt in range(3):
         first = start(attempt * ORDERS)
@@ -251,13 +327,15 @@ def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.93, seed: int
             graph, states, sizes = new, now, now.select("node", "size")
             if changed <= SETTLED * max(total, 1):
                 break
-        edges = graph.where(F.col("cosine") >= threshold)
+        edges = graph.where(F.col("cosine") >= threshold).select("node", "other")
         groups = materialise(connected_components(edges, "node", "other"), "groups")
-        members = groups.withColumnRenamed("component", "group").join(nodes, "node").select(F.col("group").alias("component"), "node", "vec", "copies", "first")
-        counts = materialise(count_links(members.drop("first"), threshold, BLOCK, parts).join(groups, "node"), "counts")
-        audit = audit_recall(nodes, counts.select("node", "nodes"), threshold)
+        ends = graph.groupBy("node").agg(F.count("*").alias("n"), F.min("cosine").alias("last"))
+        dense = ends.join(sizes, "node").where((F.col("size") > FIRST_LIST) | ((F.col("n") >= F.col("size")) & (F.col("last") >= threshold))).select("node")
+        groups, counts, audit = compared(dense, groups)
         if audit.recall >= WANTED:
             break
+    else:
+        groups, counts, audit = compared(nodes.select("node"), groups)
     named = nodes.select("name", "vec", "node", "copies", "first").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     whole = named.join(least, "component").select("name", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
