@@ -145,9 +145,18 @@ def with_folds(rows: DataFrame, by: list[str], folds: int, seed: int) -> DataFra
     return rows.join(events.withColumn("fold", turn % folds), [*by, "event_id"])
 
 
-def cross_validate_relaxation(paths: DataFrame, folds: int = 5, seed: int = 1729, value: str = "abnormal_excess_variance") -> DataFrame:
-    """Held-out error of each law: fitted to the median curve of the other events, compared with that of the fold's."""
-    by = ["asset", "direction"]
+def cross_validate_relaxation(paths: DataFrame, folds: int = 5, seed: int = 1729, value: str = "abnormal_excess_variance", gate: DataFrame | None = None) -> DataFrame:
+    """Held-out error of each law: fitted to the median curve of the other events, compared with that of the fold's.
+
+    With a gate only responses that it allows count, from fit_start to fit_end, by the events that have every offset there.
+    """
+    by, gated = ["asset", "direction"], gate is not None
+    if gated:
+        spans = gate.where("allowed").select(*by, "fit_start", "fit_end")
+        paths = paths.join(spans, by).where(F.col("offset").between(F.col("fit_start"), F.col("fit_end")))
+        offsets = paths.groupBy(*by).agg(F.count_distinct("offset").alias("_all"))
+        whole = paths.where(F.col(value).isNotNull()).groupBy(*by, "event_id").agg(F.count_distinct("offset").alias("_own")).join(offsets, by)
+        paths = paths.join(whole.where("_own = _all AND _all >= 5").select(*by, "event_id"), [*by, "event_id"], "left_semi")
     enough = paths.groupBy(*by).agg(F.count_distinct("event_id").alias("n")).where(F.col("n") >= max(10, 2 * folds)).select(*by)
     rows = with_folds(paths.join(enough, by), by, folds, seed)
     every = rows.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
@@ -159,6 +168,8 @@ def cross_validate_relaxation(paths: DataFrame, folds: int = 5, seed: int = 1729
         if len(part) >= 5:
             t = part["offset"].to_numpy(float) - part["offset"].min()
             for model in LAWS:
+                if gated and model == "double_exponential" and len(t) < 10:
+                    continue
                 p, _ = _fit(t, part["train"].to_numpy(), model)
                 out.append((part["asset"].iloc[0], part["direction"].iloc[0], int(part["held"].iloc[0]), model, float(np.sqrt(((curve(model, t, p) - part["test"].to_numpy()) ** 2).mean()))))
         return pd.DataFrame(out, columns=["asset", "direction", "held", "model", "rmse"])

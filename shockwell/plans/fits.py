@@ -22,9 +22,11 @@ def register(r: Registry) -> None:
           """SELECT *, reason = 'allowed' AS allowed FROM (SELECT *, CASE WHEN events < 20 THEN 'too few events' WHEN early = 0 THEN 'no early offsets' WHEN NOT coalesce(peak > 0, FALSE) THEN 'no early excess' WHEN NOT supported THEN 'no early support' WHEN fit_end - fit_start + 1 < 5 THEN 'segment too short' ELSE 'allowed' END AS reason FROM
           (SELECT asset, direction, min(count) AS events, count(*) FILTER ("offset" <= 5) AS early, max(median) FILTER ("offset" <= 5) AS peak, bool_or("offset" <= 5 AND bootstrap_ci_low > 0) AS supported, any_value(fit_start) AS fit_start, coalesce(min("offset") FILTER (median <= 0 AND m1 <= 0 AND m2 <= 0 AND "offset" >= fit_start + 5) - 1, max("offset")) AS fit_end
           FROM (SELECT *, lead(median, 1) OVER w AS m1, lead(median, 2) OVER w AS m2, arg_max("offset", CASE WHEN "offset" <= 5 THEN median END) OVER (PARTITION BY asset, direction) AS fit_start FROM median_summary WINDOW w AS (PARTITION BY asset, direction ORDER BY "offset")) GROUP BY ALL))""", digits=6)
-    r.add("d5_relaxation_fits", "asset direction model success fit_start fit_end sample_size", "sse aic bic", lambda s, d: decay.fit_relaxation(summary(s, d)), None, digits=3)
+    r.add("d5_relaxation_fits", "asset direction model success fit_start fit_end sample_size", "sse aic bic", lambda s, d: decay.fit_relaxation(m := summary(s, d), decay.fit_gate(m)), None, digits=3)
+    r.add("d5_ungated_fits", "asset direction model success fit_start fit_end sample_size", "sse aic bic", lambda s, d: decay.fit_relaxation(summary(s, d)), None, digits=3)
     paths = lambda s, d: own["r2_median_counterfactual"](s, d)
-    r.add("d8_relaxation_validation", "asset direction model successful_folds", "mean_held_out_rmse median_held_out_rmse rmse_std", lambda s, d: decay.cross_validate_relaxation(paths(s, d)), None, digits=4)
+    r.add("d8_relaxation_validation", "asset direction model successful_folds", "mean_held_out_rmse median_held_out_rmse rmse_std", lambda s, d: decay.cross_validate_relaxation(paths(s, d), gate=decay.fit_gate(summary(s, d))), None, digits=4)
+    r.add("d8_ungated_validation", "asset direction model successful_folds", "mean_held_out_rmse median_held_out_rmse rmse_std", lambda s, d: decay.cross_validate_relaxation(paths(s, d)), None, digits=4)
     r.add("d10_baseline_omori", "asset meaningful_decay reason", "baseline_rate scale shift exponent aic flat_rate flat_aic delta_aic_omori_minus_flat", lambda s, d: decay.fit_omori(own["r17_aftershock_excess"](s, d)), None, digits=3)
     r.add("d12_process_grid", "process_class direction model", "tau amplitude rmse", lambda s, d: decay.process_grid(own["h14_moment_summary"](s, d).where("offset between 1 and 24")), None, digits=4)
     moments = lambda s, d: decay.amplitude_sample(own["h13_matched_paths"](s, d).withColumn("event_id", F.concat_ws("-", "asset", "event_id"))).persist()
