@@ -39,13 +39,12 @@ def array_median(x: Column) -> Column:
 
 
 def with_history(df: DataFrame, variance: str) -> DataFrame:
-    """`df` with history: the last 22 non-null variances before each bar, null unless all are positive."""
-    there = F.col(variance).isNotNull()
+    """`df` with history: the last 22 positive variances before each bar, null with fewer; others count as missing."""
+    there = F.coalesce(F.col(variance) > 0, F.lit(False))
     recent = F.collect_list(variance).over(Window.partitionBy("asset", there).orderBy("pos").rowsBetween(-(MONTH - 1), 0))
     rows = df.withColumn("_recent", F.when(there, recent))
     rows = rows.withColumn("history", F.last("_recent", ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, -1))).drop("_recent")
-    good = (F.size("history") == MONTH) & F.forall("history", lambda x: x > 0)
-    return rows.withColumn("history", F.when(good, F.col("history")))
+    return rows.withColumn("history", F.when(F.size("history") == MONTH, F.col("history")))
 
 
 def _mean_last(history: Column, n: int) -> Column:
@@ -69,45 +68,52 @@ def recursive_path(history: Column, periods: int, smearing: bool = False) -> Col
 
 
 def _refit(initial: int, every: int, robust: bool):
-    names = ["asset", "fit_pos", *COEFFICIENTS]
+    names = ["asset", "block", "fit_pos", *COEFFICIENTS]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
         pos, y = rows["pos"].to_numpy(), rows["target"].to_numpy()
         x = np.column_stack([np.ones(len(rows)), rows[["log_daily", "log_weekly", "log_monthly"]].to_numpy()])
         out = []
-        for fit in range(initial, int(rows["last"].iloc[0]) + 1, every):
-            n = int(np.searchsorted(pos, fit))
-            if n < max(120, min(initial, fit // 2)):
+        last = int(rows["last"].iloc[0])
+        for block, begin in enumerate(range(initial, last + 1, every)):
+            tried = range(begin, min(begin + every, last + 1))
+            known = {p: int(np.searchsorted(pos, p)) for p in tried}
+            fit = next((p for p in tried if known[p] >= max(120, min(initial, p // 2))), None)
+            if fit is None:
                 continue
+            n = known[fit]
             beta = huber(x[:n], y[:n]) if robust else ols_hac(x[:n], y[:n], 0).beta
             smear = float(np.exp(np.clip(y[:n] - x[:n] @ beta, -20, 20)).mean())
-            out.append((rows["asset"].iloc[0], fit, *beta, smear if np.isfinite(smear) and smear > 0 else 1.0))
+            out.append((rows["asset"].iloc[0], block, fit, *beta, smear if np.isfinite(smear) and smear > 0 else 1.0))
         return pd.DataFrame(out, columns=names)
 
     return run
 
 
 def fit_coefficients(df: DataFrame, variance: str, initial: int = 252, every: int = 20, robust: bool = True) -> DataFrame:
-    """(asset, fit_pos, coefficients): fits on all bars before each refit position. Only design rows travel."""
+    """(asset, block, fit_pos, coefficients): fits on all bars before each refit position, one for each block of `every`
+    bars from `initial` on. Where too few bars are known at a block's first bar, the next one tries. Only design rows travel."""
     last = df.groupBy("asset").agg(F.max("pos").alias("last"))
     rows = har_design(df, variance).select("asset", "pos", "target", "log_daily", "log_weekly", "log_monthly").dropna().join(last, "asset")
-    return rows.groupBy("asset").applyInPandas(_refit(initial, every, robust), "asset string, fit_pos int, " + ", ".join(f"{c} double" for c in COEFFICIENTS))
+    return rows.groupBy("asset").applyInPandas(_refit(initial, every, robust), "asset string, block int, fit_pos int, " + ", ".join(f"{c} double" for c in COEFFICIENTS))
 
 
 def innovations(df: DataFrame, variance: str, initial: int = 252, every: int = 20, mad_window: int = 250, robust: bool = True, coefficients: dict[str, float] | None = None) -> DataFrame:
     """`df` with forecasts, innovations and shock scores. Nothing of a bar or after it enters its forecast or scale.
 
-    A bar uses the coefficients of the refit position at or before it, which follows from its own position: an equi-join.
+    A bar uses the coefficients of its block of bars, which follows from its own position: an equi-join. Variances that
+    aren't positive count as missing, here and in variance_proxy.
     With given `coefficients` (by name as in COEFFICIENTS) nothing is fitted. The score compares an innovation with the
     median and MAD of the `mad_window` innovations before it, 30 at least.
     """
     if initial < 120 or every < 1 or mad_window < LEAST_SCORED:
         raise ValueError("initial must be at least 120, every 1, mad_window 30")
-    rows = with_history(df, variance).withColumn("variance_proxy", F.col(variance)).withColumn("actual_log_variance", F.when(F.col(variance) > 0, F.ln(F.col(variance) + EPSILON)))
+    rows = with_history(df, variance).withColumn("variance_proxy", F.when(F.col(variance) > 0, F.col(variance))).withColumn("actual_log_variance", F.when(F.col(variance) > 0, F.ln(F.col(variance) + EPSILON)))
     if coefficients is None:
         fits = fit_coefficients(df, variance, initial, every, robust)
-        rows = rows.withColumn("fit_pos", (initial + every * F.floor((F.col("pos") - initial) / every)).cast("int")).join(fits, ["asset", "fit_pos"], "left").drop("fit_pos")
+        rows = rows.withColumn("block", F.floor((F.col("pos") - initial) / every).cast("int")).join(fits, ["asset", "block"], "left")
+        rows = rows.withColumns({c: F.when(F.col("pos") >= F.col("fit_pos"), F.col(c)) for c in COEFFICIENTS}).drop("block", "fit_pos")
     else:
         rows = rows.withColumns({c: F.lit(float(coefficients[c])) for c in COEFFICIENTS})
     ready = (F.col("pos") >= initial) & (F.col(variance) > 0) & F.col("history").isNotNull()

@@ -144,6 +144,31 @@ def affine_skewness(b: Column | float, horizon: Column | int) -> Column:
     return F.when((b if isinstance(b, Column) else F.lit(b)) > 1e-12, (g + 2) * F.sqrt(g - 1)).otherwise(0.0)
 
 
+def affine_horizon_test(rows: DataFrame, fits: DataFrame, horizons: tuple[int, ...] = (1, 2, 4, 6, 8), least: int = 50) -> DataFrame:
+    """(asset, horizon_hours, observations, predicted_affine_skewness, observed_skewness): skewness of price increments
+    over whole hours of a day in units of the affine law's conditional deviation, against the law's own.
+
+    `fits` holds each asset's affine a and b. Increments run from a regular bar's open to the close `horizon` - 1 bars on,
+    which must be the same day and as many hours later. Residuals are winsorised at half a percent.
+    """
+    work = rows.where("regular_session")
+    order = Window.partitionBy("asset").orderBy("begin")
+    ends = [F.struct(F.lit(h).alias("horizon_hours"), F.lead("close", h - 1).over(order).alias("end_close"), F.lead("begin", h - 1).over(order).alias("end")) for h in horizons]
+    each = work.select("asset", "begin", "open", "price", F.array(*ends).alias("ends")).select("asset", "begin", "open", "price", F.inline("ends"))
+    later = F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("begin").cast("timestamp"))
+    each = each.where((later == (F.col("horizon_hours") - 1) * F.lit(3_600_000_000).cast("long")) & (F.to_date("end") == F.to_date("begin")))
+    each = each.join(fits.where("model = 'affine'").select("asset", "a", "b"), "asset")
+    mobility, h = F.col("a") + F.col("b") * F.col("price"), F.col("horizon_hours")
+    spread = F.when(F.col("b") > 1e-12, mobility / F.col("b") * F.sqrt(F.exp(F.col("b") * F.col("b") * h) - 1)).otherwise(mobility * F.sqrt(h))
+    each = each.withColumn("r", divide(F.col("end_close") - F.col("open"), spread)).where(F.col("r").isNotNull() & ~F.isnan("r") & (F.abs("r") < float("inf")))
+    by = ["asset", "horizon_hours"]
+    ends = each.groupBy(*by).agg(quantile("r", 0.005).alias("low"), quantile("r", 0.995).alias("high"), F.count("*").alias("observations")).where(F.col("observations") >= least)
+    kept = each.join(ends, by).withColumn("w", F.least(F.greatest("r", "low"), "high"))
+    n = F.col("observations")
+    told = kept.groupBy(*by, "b", "observations").agg(F.skewness("w").alias("g")).withColumn("observed_skewness", F.col("g") * F.sqrt(n * (n - 1)) / (n - 2))
+    return told.select(*by, "observations", affine_skewness(F.col("b"), h).alias("predicted_affine_skewness"), "observed_skewness")
+
+
 def moment_shocks(rows: DataFrame, q: float = 0.99, cooldown: int = 12, before: int = 12, ahead: int = 24, synchrony: DataFrame | None = None, wide: float = 0.4, isolated: float = 0.2, least: int = 48) -> DataFrame:
     """Large standardised returns, taken in the order of time, by how hot the bars before were and how wide the market moved."""
     work = rows.where("regular_session").withColumn("pos", (F.row_number().over(Window.partitionBy("asset").orderBy("begin")) - 1).cast("int"))

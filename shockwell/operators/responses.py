@@ -51,20 +51,21 @@ def counterfactual_paths(diagnostics: DataFrame, events: DataFrame, window: int
     return _complete(_abnormal(rows, "har_conditional_mean" if smearing else "har_conditional_median"), len(range(1, post + 1, stride)))
 
 
-def event_features(diagnostics: DataFrame, returns: str = "close_return", window: int = 20) -> DataFrame:
-    """Forecast, lagged states and trend of each bar, all known before it."""
+def event_features(diagnostics: DataFrame, returns: str = "close_return", window: int = 20, energy: str = "variance_proxy") -> DataFrame:
+    """Forecast, lagged states and trend of each bar, all known before it; `energy` is the variance that scales the trend."""
     rows = har_design(diagnostics, "variance_proxy")
-    total, energy = rolling(F.sum, returns, -window, -1), rolling(F.sum, clip("variance_proxy", low=0.0), -window, -1)
+    total, energy = rolling(F.sum, returns, -window, -1), rolling(F.sum, clip(energy, low=0.0), -window, -1)
     return rows.withColumn("_t", total).withColumn("_e", energy).withColumn("pretrend", F.when(F.col("_e") > 0, F.col("_t") / F.sqrt("_e"))).drop("_t", "_e", "target")
 
 
-def matched_controls(diagnostics: DataFrame, events: DataFrame, window: int = 5, post: int = 30, controls: int = 10, trend: int = 20, reach: int = 504, cap: float = 1.0, radius: int = 10) -> DataFrame:
+def matched_controls(diagnostics: DataFrame, events: DataFrame, window: int = 5, post: int = 30, controls: int = 10, trend: int = 20, reach: int = 504, cap: float = 1.0, radius: int = 10, energy: str = "variance_proxy") -> DataFrame:
     """The `controls` calm bars nearest to each event in the features known before it, with a penalty for distance in time.
 
     Bars near any event never serve as controls. Bars within `reach` of the event are preferred; an event with fewer than
-    `controls` of them uses all. Events meet candidates of their own asset only.
+    `controls` of them uses all of its asset. Events meet the candidates of the stretches of `reach` bars around them; only
+    those short of controls meet the rest.
     """
-    rows = event_features(diagnostics, window=trend).join(_lengths(diagnostics), "asset")
+    rows = event_features(diagnostics, window=trend, energy=energy).join(_lengths(diagnostics), "asset")
     sound = rows.dropna(subset=FEATURES).where(F.col("pos") <= F.col("n") - post - window)
     pool = sound.where(F.col("shock_score").isNotNull() & (F.col("shock_score") <= cap)).join(near_events(rows, events, radius, radius), ["asset", "pos"], "left_anti")
     group = Window.partitionBy("asset")
@@ -74,13 +75,19 @@ def matched_controls(diagnostics: DataFrame, events: DataFrame, window: int = 5,
     scales = mids.join(mads, "asset").select("asset", *[F.when(F.col(f"mad_{f}") > 0, F.col(f"mad_{f}")).when(F.col(f"std_{f}") > 0, F.col(f"std_{f}")).otherwise(1.0).alias(f"scale_{f}") for f in FEATURES])
     left = events.select("asset", "pos", "event_id", "direction").join(sound.select("asset", "pos", F.col("begin").alias("event_timestamp"), *[F.col(f).alias(f"event_{f}") for f in FEATURES]), ["asset", "pos"]).withColumnRenamed("pos", "event_position")
     right = pool.select("asset", F.col("pos").alias("control_position"), F.col("begin").alias("control_timestamp"), *[F.col(f).alias(f"control_{f}") for f in FEATURES])
-    both = left.join(scales, "asset").join(right, "asset")
+    left = left.join(scales, "asset")
+    span = max(reach, 1)
+    stretch = F.floor(F.col("event_position") / span)
+    near = left.withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1))).join(right.withColumn("stretch", F.floor(F.col("control_position") / span)), ["asset", "stretch"]).drop("stretch")
+    near = near.where(F.abs(F.col("event_position") - F.col("control_position")) <= reach)
+    event = Window.partitionBy("asset", "event_id")
+    near = near.withColumn("_local", F.count("*").over(event)).where(F.col("_local") >= controls).drop("_local")
+    short = left.join(near.select("asset", "event_id").distinct(), ["asset", "event_id"], "left_anti").join(right, "asset")
+    both = near.unionByName(short)
     square = sum((F.pow((F.col(f"event_{f}") - F.col(f"control_{f}")) / F.col(f"scale_{f}"), F.lit(2.0)) for f in FEATURES), F.lit(0.0))
     away = F.abs(F.col("event_position") - F.col("control_position"))
-    both = both.withColumn("distance", F.sqrt(square) + 0.25 * away / max(reach, 1)).withColumn("_near", away <= reach)
-    event = Window.partitionBy("asset", "event_id")
-    both = both.withColumn("_local", F.count_if("_near").over(event)).where(F.col("_near") | (F.col("_local") < controls))
-    ranked = both.withColumn("control_rank", F.row_number().over(event.orderBy("distance", "control_position"))).where(F.col("control_rank") <= controls)
+    ranked = both.withColumn("distance", F.sqrt(square) + 0.25 * away / max(reach, 1))
+    ranked = ranked.withColumn("control_rank", F.row_number().over(event.orderBy("distance", "control_position"))).where(F.col("control_rank") <= controls)
     names = [f"{side}_{f}" for side in ("event", "control") for f in FEATURES]
     return ranked.select("asset", "event_id", "event_timestamp", "event_position", "direction", "control_rank", "control_position", "control_timestamp", "distance", *names)
 
@@ -131,11 +138,11 @@ def _project(window: int, least: int, years: bool, each: int = 8):
     return run
 
 
-def local_projections(diagnostics: DataFrame, events: DataFrame, window: int = 5, post: int = 30, stride: int = 1, trend: int = 20, radius: int = 10, year_effects: bool = True, least: int = 400) -> DataFrame:
+def local_projections(diagnostics: DataFrame, events: DataFrame, window: int = 5, post: int = 30, stride: int = 1, trend: int = 20, radius: int = 10, year_effects: bool = True, least: int = 400, energy: str = "variance_proxy") -> DataFrame:
     """For each horizon a regression of ln future variance on shock indicators and what was known before, with Newey-West
     errors. Bars near an event and unselected exceedances take no part. Horizons are fitted side by side."""
     bars = events.groupBy("asset").agg(F.first("threshold").alias("_bar"))
-    rows = indicators(event_features(diagnostics, window=trend), events).join(bars, "asset")
+    rows = indicators(event_features(diagnostics, window=trend, energy=energy), events).join(bars, "asset")
     event = F.col("negative_event") + F.col("positive_event") > 0
     chosen = events.select("asset", "pos", F.lit(True).alias("_event"))
     near = near_events(rows, events, radius, radius).withColumn("_close", F.lit(True))

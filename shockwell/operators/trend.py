@@ -52,6 +52,13 @@ def realized_volatility(df: DataFrame, returns: str, window: int, horizon: int,
     return df.withColumns({"current_volatility": F.sqrt(annual * trailing(F.avg, r2, window)), "future_volatility": F.sqrt(annual * rolling(F.avg, r2, 1, horizon))})
 
 
+def trend_volatility_frame(df: DataFrame, returns: str, window: int, horizon: int, current: int | None = None, annual: float = ANNUAL) -> DataFrame:
+    """`trend_frame` with squared returns as the variance, and the volatility of the `current` bars up to each."""
+    squares = df.withColumn("_r2", F.col(returns) * F.col(returns))
+    now = squares.select("asset", "pos", F.sqrt(annual * trailing(F.avg, "_r2", current or window)).alias("current_volatility"))
+    return trend_frame(squares, returns, "_r2", window, horizon).join(now, ["asset", "pos"]).dropna(subset=["current_volatility"])
+
+
 def correlations(frame: DataFrame, x: str = "normalized_trend", y: str = "future_volatility", by: str = "asset") -> DataFrame:
     ranked = frame.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_a", average_rank(x, by)).withColumn("_b", average_rank(y, by))
     n = F.count("*")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from shockwell.functions.storage import shared_dir
 from shockwell.operators import decay
 from shockwell.plans.registry import Registry
 from shockwell.streaming.ohlc import stream_candles
@@ -15,6 +16,12 @@ def register(r: Registry) -> None:
     own = r.queries
     point = {"amplitude": 0.8, "tau": 9.0, "theta": 1.4, "beta": 0.7, "amplitude_fast": 0.5, "tau_fast": 2.0, "amplitude_slow": 0.2, "tau_slow": 20.0, "shift": 1.5, "exponent": 0.9, "scale": 0.3}
     laws = [*decay.LAWS, "omori"]
+
+    def given(s, models):
+        """Every law with the same given parameters."""
+        values = F.create_map(*[x for k, v in {**point, "floor": 0.05, "q": 0.4, "fast_weight": 0.3}.items() for x in (F.lit(k), F.lit(float(v)))])
+        return s.range(1).select(F.lit(1).alias("g"), F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), values.alias("parameters"))
+
     r.add("d1_curves", "t", " ".join(laws), lambda s, d: s.range(1, 31).select(F.col("id").alias("t"), *[decay.curve_column(m, F.col("id"), {k: F.lit(v) for k, v in point.items()}).alias(m) for m in laws]),
           "SELECT t, 0.8 * exp(-t / 9.0) AS exponential, 0.8 * exp(-t / 9.0) / sqrt(1 + 1.4 * 0.64 * (1 - exp(-2 * t / 9.0))) AS landau, 0.8 * exp(-pow(t / 9.0, 0.7)) AS stretched_exponential, 0.5 * exp(-t / 2.0) + 0.2 * exp(-t / 20.0) AS double_exponential, 0.8 * pow(t + 1.5, -0.9) AS shifted_power, 0.3 / pow(t + 1.5, 0.9) AS omori FROM (SELECT unnest(range(1, 31)) AS t)")
     summary = lambda s, d: own["r11_median_summary"](s, d).persist()
@@ -28,19 +35,35 @@ def register(r: Registry) -> None:
     r.add("d8_relaxation_validation", "asset direction model successful_folds", "mean_held_out_rmse median_held_out_rmse rmse_std", lambda s, d: decay.cross_validate_relaxation(paths(s, d), gate=decay.fit_gate(summary(s, d))), None, digits=4)
     r.add("d8_ungated_validation", "asset direction model successful_folds", "mean_held_out_rmse median_held_out_rmse rmse_std", lambda s, d: decay.cross_validate_relaxation(paths(s, d)), None, digits=4)
     r.add("d10_baseline_omori", "asset meaningful_decay reason", "baseline_rate scale shift exponent aic flat_rate flat_aic delta_aic_omori_minus_flat", lambda s, d: decay.fit_omori(own["r17_aftershock_excess"](s, d)), None, digits=3)
-    r.add("d12_process_grid", "process_class direction model", "tau amplitude rmse", lambda s, d: decay.process_grid(own["h14_moment_summary"](s, d).where("offset between 1 and 24")), None, digits=4)
-    moments = lambda s, d: decay.amplitude_sample(own["h13_matched_paths"](s, d).withColumn("event_id", F.concat_ws("-", "asset", "event_id"))).persist()
-    r.add("d18_amplitude_sample", "process_class direction event_id offset", "x y", moments, None, digits=6)
-    r.add("d20_amplitude_fits", "process_class direction model events", "rmse", lambda s, d: decay.amplitude_fits(moments(s, d), least=3), None, digits=3)
-    r.add("d21_amplitude_validation", "process_class direction model events winner", "mean median std burden_mae_12", lambda s, d: decay.amplitude_validation(decay.amplitude_fits(moments(s, d), folds=3, least=6)), None, digits=3)
+    r.add("d7_omori_rate", "asset fit_start fit_end sample_size", "scale shift exponent sse aic bic", lambda s, d: decay.fit_omori_rate(own["r16_aftershock_rates"](s, d)), None, digits=3)
+    r.add("d11_omori_probability", "t", "p", lambda s, d: s.range(1, 31).select(F.col("id").alias("t"), decay.omori_probability(F.col("id"), {k: F.lit(v) for k, v in {"baseline_rate": 0.1, "scale": 0.3, "shift": 1.5, "exponent": 0.9}.items()}).alias("p")),
+          "SELECT t, 0.1 + 0.3 / pow(t + 1.5, 0.9) AS p FROM (SELECT unnest(range(1, 31)) AS t)")
+    r.add("d6_relaxation_predictions", "model t", "predicted", lambda s, d: decay.predict_relaxation(s.range(0, 30).select(F.lit(1).alias("g"), F.col("id").alias("t")), given(s, decay.LAWS), ["g"]),
+          "SELECT model, t, CASE model WHEN 'exponential' THEN 0.8 * exp(-t / 9.0) WHEN 'landau' THEN 0.8 * exp(-t / 9.0) / sqrt(1 + 1.4 * 0.64 * (1 - exp(-2 * t / 9.0))) WHEN 'stretched_exponential' THEN 0.8 * exp(-pow(t / 9.0, 0.7)) WHEN 'double_exponential' THEN 0.5 * exp(-t / 2.0) + 0.2 * exp(-t / 20.0) ELSE 0.8 * pow(t + 1.5, -0.9) END AS predicted FROM (SELECT unnest(range(0, 30)) AS t) CROSS JOIN (SELECT unnest(['exponential', 'landau', 'stretched_exponential', 'double_exponential', 'shifted_power']) AS model)")
+    curves = lambda s, d: own["h14_moment_summary"](s, d)
+    kind = ["process_class", "direction"]
+    r.add("d12_process_grid", "process_class direction model sample_size", "rmse", lambda s, d: decay.fit_process_models(curves(s, d), kind, least=1), None, digits=4)
+    r.add("d13_process_predictions", "model t", "predicted", lambda s, d: decay.predict_process(s.range(1, 25).select(F.lit(1).alias("g"), F.col("id").alias("t")), given(s, decay.PROCESS_LAWS), ["g"]),
+          "SELECT model, t, 0.05 + CASE model WHEN 'exponential' THEN 0.8 * exp(-t / 9.0) WHEN 'constrained_mobility' THEN 0.8 * exp(-t / 9.0) + 0.16 * exp(-2 * t / 9.0) WHEN 'stress_fed' THEN 0.5 * exp(-t / 2.0) + 0.2 * exp(-t / 20.0) ELSE 0.8 * pow(1 + t / 9.0, -0.9) END AS predicted FROM (SELECT unnest(range(1, 25)) AS t) CROSS JOIN (SELECT unnest(['exponential', 'constrained_mobility', 'stress_fed', 'shifted_power']) AS model)")
+    r.add("d14_process_fits", "process_class direction model sample_size", "rmse sse", lambda s, d: decay.fit_process_models(curves(s, d), kind), None, digits=4)
+    named = lambda s, d: own["h13_matched_paths"](s, d).withColumn("event_id", F.concat_ws("-", "asset", "event_id"))
+    r.add("d15_process_validation", "process_class direction model folds", "mean median std", lambda s, d: decay.cross_validate_process_models(named(s, d)), None, digits=4)
+    r.add("d16_amplitude_predictions", "model t", "predicted", lambda s, d: decay.predict_amplitude(s.range(1, 22).select(F.lit(1).alias("g"), F.col("id").alias("t"), F.lit(0.6).alias("x")), given(s, decay.AMPLITUDE_LAWS), ["g"]),
+          "SELECT model, t, CASE model WHEN 'exponential' THEN 0.6 * exp(-t / 9.0) WHEN 'constrained_mobility' THEN 2 * (sqrt(1.6) - 1) * exp(-t / 9.0) + pow(sqrt(1.6) - 1, 2) * exp(-2 * t / 9.0) WHEN 'landau' THEN 0.6 * exp(-t / 9.0) / sqrt(1 + 1.4 * 0.36 * (1 - exp(-2 * t / 9.0))) WHEN 'double_exponential' THEN 0.6 * (0.3 * exp(-t / 2.0) + 0.7 * exp(-t / 20.0)) ELSE 0.6 * pow(1 + t / 1.5, -0.9) END AS predicted FROM (SELECT unnest(range(1, 22)) AS t) CROSS JOIN (SELECT unnest(['exponential', 'constrained_mobility', 'landau', 'double_exponential', 'shifted_power']) AS model)")
+    moments = lambda s, d: decay.amplitude_sample(named(s, d))
+    r.add("d18_amplitude_sample", "process_class direction event_id offset t", "x y", moments,
+          """SELECT process_class, direction, event_id, "offset", "offset" - 3 AS t, x, abnormal_m2 AS y FROM (SELECT process_class, direction, asset || '-' || event_id AS event_id, "offset", abnormal_m2, count(abnormal_m2) FILTER ("offset" BETWEEN 1 AND 24) OVER e AS n, greatest(median(abnormal_m2) FILTER ("offset" BETWEEN 1 AND 3) OVER e, 0) AS x FROM hour_paths WINDOW e AS (PARTITION BY asset, event_id))
+          WHERE n = 24 AND x > 0.02 AND "offset" BETWEEN 4 AND 24""", digits=6)
+    r.add("d20_amplitude_fits", "process_class direction model events sample_size", "rmse", lambda s, d: decay.amplitude_summary(m := moments(s, d), decay.amplitude_fits(m)), None, digits=3)
+    r.add("d21_amplitude_validation", "process_class direction model events winner", "mean median std burden_mae_12", lambda s, d: decay.amplitude_validation(moments(s, d)), None, digits=3)
 
     def streamed(s, d):
-        """All bars of the events stream, run to the end of the input (complete mode also shows the open bars)."""
-        table = f"ohlc_{uuid.uuid4().hex}"
+        """The closed bars of the events stream, appended to Parquet in the shared folder until the input ends."""
+        path = f"{shared_dir(s)}/ohlc-{uuid.uuid4().hex}"
         schema = s.read.parquet(f"{d}/events.parquet").schema
         ticks = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).where("value > 0").select(F.col("event_type").alias("asset"), "ts", F.col("value").alias("price"), F.lit(1.0).alias("quantity"), F.col("event_id").alias("turn"))
-        query = stream_candles(ticks).writeStream.outputMode("complete").format("memory").queryName(table).trigger(availableNow=True).start()
-        query.awaitTermination()
-        return s.table(table)
+        bars = stream_candles(ticks)
+        bars.writeStream.outputMode("append").format("parquet").option("path", f"{path}/bars").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+        return s.read.schema(bars.schema).parquet(f"{path}/bars")
 
-    r.add("st1_streamed_candles", "asset begin", "open high low close volume", streamed, "SELECT * FROM hourly")
+    r.add("st1_streamed_candles", "asset begin", "open high low close volume", streamed, "SELECT * FROM hourly WHERE begin + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events WHERE value > 0)")

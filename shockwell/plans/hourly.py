@@ -12,7 +12,7 @@ from shockwell.plans.registry import Registry
 from shockwell.sources import candles
 
 #: A month of hours: windows are short, so that every clock hour has enough bars.
-WINDOW, LEAST, SAMPLES = 20, 8, 100
+WINDOW, LEAST, SAMPLES = 20, 8, 300
 
 
 def hour_full(fn: str, x: str, low: int, high: int, least: int) -> str:
@@ -75,6 +75,15 @@ def register(r: Registry) -> None:
     r.add("h9_mobility_validation", "asset model years winner", "mean median std", lambda s, d: hourly.cross_validate_mobility(bins(s, d)),
           "SELECT *, row_number() OVER (PARTITION BY asset ORDER BY round(mean, 9), model) = 1 AS winner FROM (SELECT asset, model, avg(error) AS mean, median(error) AS median, stddev_samp(error) AS std, count(*) AS years FROM (SELECT asset, year, model, sqrt(sum(observations * pow(mobility - a - b * price, 2)) / sum(observations)) / (sum(observations * mobility) / sum(observations)) AS error FROM bins JOIN year_fits USING (asset, year) GROUP BY ALL) GROUP BY ALL)", digits=6)
     r.add("h10_affine_skewness", "h", "skewness", lambda s, d: s.range(1, 9).select(F.col("id").alias("h"), hourly.affine_skewness(0.03, F.col("id")).alias("skewness")), "SELECT h, (exp(0.0009 * h) + 2) * sqrt(exp(0.0009 * h) - 1) AS skewness FROM (SELECT unnest(range(1, 9)) AS h)")
+    r.cte("steps", " UNION ALL ".join(f"SELECT asset, {h} AS horizon_hours, begin, open, price, lead(close, {h - 1}) OVER w AS end_close, lead(begin, {h - 1}) OVER w AS end_begin FROM prepared WINDOW w AS (PARTITION BY asset ORDER BY begin)" for h in (1, 2, 4, 6, 8)))
+    r.cte("hourly_law", "SELECT asset, 0.4 AS a, 0.03 AS b FROM prepared GROUP BY 1")
+    law = lambda s, d: prepared(s, d).select("asset").distinct().select("asset", F.lit("affine").alias("model"), F.lit(0.4).alias("a"), F.lit(0.03).alias("b"))
+    r.cte("residuals", """SELECT *, quantile_cont(r, 0.005) OVER g AS lo, quantile_cont(r, 0.995) OVER g AS hi, count(*) OVER g AS observations FROM (SELECT *, (end_close - open) / ((a + b * price) / b * sqrt(exp(b * b * horizon_hours) - 1)) AS r
+      FROM steps JOIN hourly_law USING (asset) WHERE epoch_us(end_begin) - epoch_us(begin) = (horizon_hours - 1) * 3600000000 AND CAST(end_begin AS DATE) = CAST(begin AS DATE)) WHERE isfinite(r) WINDOW g AS (PARTITION BY asset, horizon_hours)""")
+    r.add("h11_affine_horizons", "asset horizon_hours observations", "predicted_affine_skewness observed_skewness", lambda s, d: hourly.affine_horizon_test(prepared(s, d), law(s, d)),
+          """SELECT asset, CAST(horizon_hours AS INTEGER) AS horizon_hours, observations, (exp(0.0009 * horizon_hours) + 2) * sqrt(exp(0.0009 * horizon_hours) - 1) AS predicted_affine_skewness, avg(e * e * e) / pow(avg(e * e), 1.5) * sqrt(observations * (observations - 1)) / (observations - 2) AS observed_skewness
+      FROM (SELECT *, w - avg(w) OVER (PARTITION BY asset, horizon_hours) AS e FROM (SELECT *, least(greatest(r, lo), hi) AS w FROM residuals WHERE observations >= 50)) GROUP BY asset, horizon_hours, observations""", digits=6)
+    r.add("h11_fitted_horizons", "asset horizon_hours observations", "predicted_affine_skewness observed_skewness", lambda s, d: hourly.affine_horizon_test(prepared(s, d), hourly.fit_mobility(bins(s, d))), None, digits=4)
     # Moment shocks
     r.cte("synchrony", "SELECT begin, count(*) FILTER (abs(z_return) > bar) / (SELECT count(DISTINCT asset) FROM z) AS synchrony FROM z JOIN (SELECT asset, quantile_cont(abs(z_return), 0.95) AS bar FROM z GROUP BY 1) USING (asset) GROUP BY 1")
     r.add("h15_panel_synchrony", "begin", "synchrony", lambda s, d: hourly.panel_synchrony(z(s, d)), "SELECT * FROM synchrony")
@@ -95,8 +104,20 @@ def register(r: Registry) -> None:
 
     r.add("h12_moment_shocks", "asset event_id pos begin direction heating_class synchrony_class process_class", "z_return precursor_m2 far_m2 synchrony threshold precursor_rank", shocks, "SELECT * FROM moment_shocks", digits=7)
     paths = lambda s, d: hourly.matched_moments(z(s, d), shocks(s, d))[0].persist()
-    r.add("h13_matched_paths", "asset event_id direction process_class offset", "abnormal_m2 abnormal_m3", paths, None, digits=6)
-    r.add("h13_matches", "asset event_id controls", "mean_distance baseline", lambda s, d: hourly.matched_moments(z(s, d), shocks(s, d))[1], None, digits=6)
+    r.cte("hour_bars", f"""SELECT *, ln(1 + greatest(p12, 0)) AS f1, ln(1 + greatest(far, 0)) AS f2, s12 / sqrt(greatest(far, 0.1)) AS f3, quantile_cont(abs(z_return), 0.95) OVER (PARTITION BY asset) AS cap FROM (SELECT *, {full('avg', 'm2_clipped', -12, -1, 8)} AS p12, {full('avg', 'm2_clipped', -48, -25, 16)} AS far, {full('sum', 'log_return_oc', -12, -1, 8)} AS s12,
+      {full('avg', 'm2_clipped', -12, -1, 1)} AS base, count(m2_clipped) OVER (PARTITION BY asset ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS filled, count(*) OVER (PARTITION BY asset) AS n FROM z)""")
+    r.cte("hour_pool", "SELECT * FROM hour_bars b WHERE abs(z_return) < cap AND pos >= 48 AND pos < n - 24 AND f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM moment_shocks e WHERE e.asset = b.asset AND b.pos BETWEEN e.pos - 24 AND e.pos + 24)")
+    r.cte("hour_mids", "SELECT asset, median(f1) AS k1, median(f2) AS k2, median(f3) AS k3 FROM hour_pool GROUP BY 1")
+    r.cte("hour_mads", "SELECT p.asset, median(abs(f1 - k1)) AS d1, median(abs(f2 - k2)) AS d2, median(abs(f3 - k3)) AS d3 FROM hour_pool p JOIN hour_mids USING (asset) GROUP BY 1")
+    r.cte("hour_matches", """SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY asset, event_id) AS k FROM (SELECT e.asset, e.event_id, e.pos AS event_position, e.direction, e.process_class, p.pos AS control_position, p.base, p.filled,
+      pow((b.f1 - p.f1) / CASE WHEN d1 <> 0 THEN d1 ELSE 1 END, 2) + pow((b.f2 - p.f2) / CASE WHEN d2 <> 0 THEN d2 ELSE 1 END, 2) + pow((b.f3 - p.f3) / CASE WHEN d3 <> 0 THEN d3 ELSE 1 END, 2) + 0.03 * abs(epoch_us(p.begin) - epoch_us(b.begin)) / 86400000000.0 / 365 AS distance
+      FROM moment_shocks e JOIN hour_bars b ON b.asset = e.asset AND b.pos = e.pos AND b.f1 IS NOT NULL AND b.f2 IS NOT NULL AND b.f3 IS NOT NULL JOIN hour_pool p ON p.asset = b.asset AND p.hour = b.hour JOIN hour_mads m ON m.asset = e.asset
+      QUALIFY row_number() OVER (PARTITION BY e.asset, e.event_id ORDER BY distance, p.pos) <= 8)) WHERE k >= 4""")
+    r.cte("hour_events", "SELECT asset, event_id, event_position, direction, process_class, count(*) AS controls, avg(distance) AS mean_distance, greatest(sum(base * filled) / sum(filled), 0.2) AS baseline FROM hour_matches GROUP BY ALL")
+    r.cte("hour_paths", """SELECT e.asset, e.event_id, e.direction, e.process_class, o.k AS "offset", (v.m2_clipped - c.c2) / e.baseline AS abnormal_m2, (v.m3_instant - c.c3) / pow(e.baseline, 1.5) AS abnormal_m3 FROM hour_events e CROSS JOIN (SELECT CAST(unnest(range(-12, 25)) AS INTEGER) AS k) o JOIN z v ON v.asset = e.asset AND v.pos = e.event_position + o.k
+      JOIN (SELECT m.asset, m.event_id, o.k, median(v.m2_clipped) AS c2, avg(v.m3_instant) AS c3 FROM hour_matches m CROSS JOIN (SELECT CAST(unnest(range(-12, 25)) AS INTEGER) AS k) o JOIN z v ON v.asset = m.asset AND v.pos = m.control_position + o.k GROUP BY ALL) c ON c.asset = e.asset AND c.event_id = e.event_id AND c.k = o.k""")
+    r.add("h13_matched_paths", "asset event_id direction process_class offset", "abnormal_m2 abnormal_m3", paths, "SELECT * FROM hour_paths", digits=6)
+    r.add("h13_matches", "asset event_id controls", "mean_distance baseline", lambda s, d: hourly.matched_moments(z(s, d), shocks(s, d))[1], "SELECT * FROM hour_events", digits=6)
 
     def aggregate(s, d):
         rows = paths(s, d)
@@ -120,6 +141,8 @@ def register(r: Registry) -> None:
 
         return Window.partitionBy("asset").orderBy("begin")
 
+    r.cte("ahead_market", f"SELECT * FROM (SELECT *, {full('avg', 'market_m3', -5, 0, 3)} AS past_m3, {full('avg', 'market_m2', 1, 6, 1)} AS future_m2 FROM (SELECT *, 'market' AS asset, row_number() OVER (ORDER BY begin) - 1 AS pos FROM market)) WHERE past_m3 IS NOT NULL AND future_m2 IS NOT NULL")
     r.add("h19_future_market_m2", "asset observations", "pearson spearman", lambda s, d: trend.correlations(diagnostic(s, d), "past_m3", "future_m2"),
           f"""SELECT asset, count(*) AS observations, corr(past_m3, future_m2) AS pearson, corr(ra, rb) AS spearman FROM (SELECT *, rank() OVER (ORDER BY past_m3) + (count(*) OVER (PARTITION BY past_m3) - 1) / 2.0 AS ra, rank() OVER (ORDER BY future_m2) + (count(*) OVER (PARTITION BY future_m2) - 1) / 2.0 AS rb FROM (SELECT *, {full('avg', 'market_m3', -5, 0, 3)} AS past_m3, {full('avg', 'market_m2', 1, 6, 1)} AS future_m2 FROM (SELECT *, 'market' AS asset, row_number() OVER (ORDER BY begin) - 1 AS pos FROM market)) WHERE past_m3 IS NOT NULL AND future_m2 IS NOT NULL) GROUP BY 1""", digits=7)
-    r.add("h19_market_deciles", "bucket observations", "mean_past mean_future", lambda s, d: diagnostic(s, d).withColumn("bucket", quantile_bucket("past_m3", 10, "asset")).groupBy("bucket").agg(F.count("*").alias("observations"), F.avg("past_m3").alias("mean_past"), F.avg("future_m2").alias("mean_future")), None, digits=6)
+    r.add("h19_market_deciles", "bucket observations", "mean_past mean_future", lambda s, d: diagnostic(s, d).withColumn("bucket", quantile_bucket("past_m3", 10, "asset")).groupBy("bucket").agg(F.count("*").alias("observations"), F.avg("past_m3").alias("mean_past"), F.avg("future_m2").alias("mean_future")),
+          f"SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS observations, avg(past_m3) AS mean_past, avg(future_m2) AS mean_future FROM ({bucket_sql('past_m3', 10, 'asset', 'ahead_market')}) GROUP BY ALL", digits=6)

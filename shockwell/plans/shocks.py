@@ -12,7 +12,8 @@ from shockwell.sources import candles
 #: Coefficients for queries that SQL checks; the fitted ones are tested against least squares in numpy.
 FIXED = {"har_const": -0.5, "har_daily": 0.2, "har_weekly": 0.3, "har_monthly": 0.4, "har_smearing": 1.3}
 FORECAST = "-0.5 + 0.2 * ln({h}[-1]) + 0.3 * ln(list_avg({h}[-5:])) + 0.4 * ln(list_avg({h}[-22:]))"
-SAMPLES = 100
+#: The operators' own numbers of bootstrap draws.
+SAMPLES, HORIZON_SAMPLES = 500, 2000
 
 
 def greedy(group: str) -> str:
@@ -44,7 +45,8 @@ def register(r: Registry) -> None:
     r.cte("lagged", f"""SELECT *, CASE WHEN q > 0 THEN ln(q + 1e-12) END AS target, ln({full('avg', 'qp', -1, -1)} + 1e-12) AS h_daily, ln({full('avg', 'qp', -5, -1)} + 1e-12) AS h_weekly, ln({full('avg', 'qp', -22, -1)} + 1e-12) AS h_monthly,
       {full('sum', 'close_return', -20, -1)} AS past_total, {full('sum', 'q', -20, -1)} AS past_energy
       FROM (SELECT *, gap_rogers_satchell AS q, CASE WHEN gap_rogers_satchell > 0 THEN gap_rogers_satchell END AS qp FROM prox)""")
-    r.cte("histories", """SELECT *, CASE WHEN len(h) = 22 AND list_min(h) > 0 THEN h END AS history FROM (SELECT *, list(q) FILTER (q IS NOT NULL) OVER (PARTITION BY asset ORDER BY pos ROWS BETWEEN 22 PRECEDING AND 1 PRECEDING) AS h FROM lagged)""")
+    r.cte("recents", "SELECT *, CASE WHEN qp IS NOT NULL THEN list(qp) OVER (PARTITION BY asset, qp IS NOT NULL ORDER BY pos ROWS BETWEEN 21 PRECEDING AND CURRENT ROW) END AS recent FROM lagged")
+    r.cte("histories", "SELECT *, CASE WHEN len(h) = 22 THEN h END AS history FROM (SELECT *, last_value(recent IGNORE NULLS) OVER (PARTITION BY asset ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM recents)")
     r.cte("forecasts", f"""SELECT *, ln(forecast_variance + 1e-12) AS forecast_log_variance, target - ln(forecast_variance + 1e-12) AS innovation FROM (SELECT *, CASE WHEN pos >= 252 AND q > 0 AND history IS NOT NULL THEN exp({FORECAST.format(h='history')}) * 1.3 END AS forecast_variance FROM histories)""")
     r.cte("mids", "SELECT *, list_median(past) AS mid FROM (SELECT asset, pos, innovation, list(innovation) OVER (PARTITION BY asset ORDER BY pos ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING) AS past FROM forecasts WHERE innovation IS NOT NULL) WHERE len(past) >= 30")
     r.cte("scores", "SELECT asset, pos, s AS innovation_scale, (innovation - mid) / s AS shock_score FROM (SELECT *, 1.4826 * list_median(list_transform(past, lambda x: abs(x - mid))) AS s FROM mids) WHERE s > 1e-8")
@@ -52,7 +54,7 @@ def register(r: Registry) -> None:
     r.cte("shocks", f"""SELECT *, CASE WHEN close_return < 0 THEN 'negative' WHEN close_return > 0 THEN 'positive' ELSE 'zero' END AS direction, CASE WHEN gap_share >= 0.67 THEN 'overnight-dominated' WHEN gap_share <= 0.33 THEN 'intraday-dominated' ELSE 'mixed' END AS source
       FROM (SELECT *, CASE WHEN overnight_gap_squared + intraday_rs > 0 THEN overnight_gap_squared / (overnight_gap_squared + intraday_rs) END AS gap_share FROM ({event_sql('diag', 'shock_score')}))""")
     r.cte("lengths", "SELECT asset, max(pos) + 1 AS n FROM diag GROUP BY 1")
-    r.cte("ahead", f"SELECT asset, pos, {full('avg', 'q', 0, 4)} AS v FROM diag")
+    r.cte("ahead", f"SELECT asset, pos, {full('avg', 'qp', 0, 4)} AS v FROM diag")
     r.cte("paths", f"""SELECT e.asset, e.event_id, e.pos, e.direction, e.shock_score, list_reduce(list_concat([e.history], list_transform(range(36), lambda i: [0.0])), lambda acc, x: list_append(acc, exp({FORECAST.format(h='acc')}))) AS path
       FROM shocks e JOIN lengths l USING (asset) WHERE e.pos >= 22 AND e.pos + 35 < n AND e.history IS NOT NULL""")
     smear = f"exp({FORECAST.format(h='acc')}) * 1.3"
@@ -117,15 +119,15 @@ def register(r: Registry) -> None:
     median_paths = with_events(responses.counterfactual_paths)
     r.add("r1_mean_counterfactual", rk, resp, with_events(lambda a, e: responses.counterfactual_paths(a, e, smearing=True)), "SELECT * FROM mean_response", digits=7)
     r.add("r2_median_counterfactual", rk, resp, median_paths, "SELECT * FROM median_response", digits=7)
-    r.add("r3_event_features", key, " ".join(feats), lambda s, d: responses.event_features(diag(s, d)), "SELECT * FROM features", digits=7)
-    match = with_events(responses.matched_controls)
+    r.add("r3_event_features", key, " ".join(feats), lambda s, d: responses.event_features(diag(s, d), energy=q), "SELECT * FROM features", digits=7)
+    match = with_events(lambda a, e: responses.matched_controls(a, e, energy=q))
     r.add("r5_matched_controls", "asset event_id event_position direction control_rank control_position", "distance " + " ".join(f"{a}_{f}" for a in ("event", "control") for f in feats), match, "SELECT * FROM matches", digits=7)
     r.add("r6_matching_balance", "asset feature", "event_mean control_mean standardized_mean_difference mean_absolute_pair_difference", lambda s, d: responses.matching_balance(match(s, d)),
           "SELECT asset, feature, em AS event_mean, cm AS control_mean, CASE WHEN pooled > 0 THEN (em - cm) / pooled ELSE 0 END AS standardized_mean_difference, ad AS mean_absolute_pair_difference FROM (" + " UNION ALL ".join(f"SELECT asset, '{f}' AS feature, avg(event_{f}) AS em, avg(control_{f}) AS cm, sqrt((var_samp(event_{f}) + var_samp(control_{f})) / 2) AS pooled, avg(abs(event_{f} - control_{f})) AS ad FROM matches GROUP BY 1" for f in feats) + ")", digits=7)
-    matched = with_events(lambda a, e: responses.matched_paths(a, e, responses.matched_controls(a, e)))
+    matched = with_events(lambda a, e: responses.matched_paths(a, e, responses.matched_controls(a, e, energy=q)))
     r.add("r7_matched_paths", rk + " control_count", resp, matched, "SELECT * FROM matched_response", digits=7)
     r.add("r8_forward_mean", key, "forward", lambda s, d: prox(s, d).withColumn("forward", responses.forward_mean(q, 3, 5)), f"SELECT asset, pos, {full('avg', q, 3, 7)} AS forward FROM prox", digits=10)
-    lp = with_events(responses.local_projections)
+    lp = with_events(lambda a, e: responses.local_projections(a, e, energy=q))
     r.add("r9_local_projections", "asset offset nobs negative_events positive_events", "negative_estimate negative_std_error positive_estimate positive_std_error difference difference_p_value r_squared", lp, None, digits=6)
     r.add("r10_projection_summary", "asset direction offset", "median q25 q75", lambda s, d: responses.projection_summary(lp(s, d)), None, digits=6)
     sm = "mean median q25 q75 bootstrap_ci_low bootstrap_ci_high"
@@ -138,8 +140,8 @@ def register(r: Registry) -> None:
         parts.append(f"""SELECT '{a}-{b}' AS horizon, s.*, negative_median_excess - positive_median_excess AS negative_minus_positive, difference_ci_low, difference_ci_high, bootstrap_p_value FROM
           (SELECT asset, median(value) FILTER (direction = 'negative') AS negative_median_excess, median(value) FILTER (direction = 'positive') AS positive_median_excess, count(*) FILTER (direction = 'negative') AS negative_events, count(*) FILTER (direction = 'positive') AS positive_events FROM values_{a} GROUP BY 1) s
           JOIN (SELECT asset, quantile_cont(d, 0.025) AS difference_ci_low, quantile_cont(d, 0.975) AS difference_ci_high, least(1, 2 * least(avg(CAST(d <= 0 AS INTEGER)), avg(CAST(d >= 0 AS INTEGER)))) AS bootstrap_p_value FROM
-            (SELECT w.asset, sample, median(value) FILTER (w.direction = 'negative') - median(value) FILTER (w.direction = 'positive') AS d FROM ({draws(f'values_{a}', 31415, 'asset, direction')}) w JOIN values_{a} v ON v.asset = w.asset AND v.direction = w.direction AND v.event_id = w.event_id GROUP BY ALL) GROUP BY 1) USING (asset) WHERE negative_events >= 3 AND positive_events >= 3""")
-    r.add("r13_horizon_comparisons", "asset horizon negative_events positive_events", "negative_median_excess positive_median_excess negative_minus_positive difference_ci_low difference_ci_high bootstrap_p_value", lambda s, d: responses.horizon_comparisons(median_paths(s, d), samples=SAMPLES), " UNION ALL BY NAME ".join(parts), digits=7)
+            (SELECT w.asset, sample, median(value) FILTER (w.direction = 'negative') - median(value) FILTER (w.direction = 'positive') AS d FROM ({draws(f'values_{a}', 31415, 'asset, direction', HORIZON_SAMPLES)}) w JOIN values_{a} v ON v.asset = w.asset AND v.direction = w.direction AND v.event_id = w.event_id GROUP BY ALL) GROUP BY 1) USING (asset) WHERE negative_events >= 3 AND positive_events >= 3""")
+    r.add("r13_horizon_comparisons", "asset horizon negative_events positive_events", "negative_median_excess positive_median_excess negative_minus_positive difference_ci_low difference_ci_high bootstrap_p_value", lambda s, d: responses.horizon_comparisons(median_paths(s, d), samples=HORIZON_SAMPLES), " UNION ALL BY NAME ".join(parts), digits=7)
     both = lambda s, d: responses.response_summary(median_paths(s, d), SAMPLES).unionByName(responses.response_summary(matched(s, d), SAMPLES))
     r.add("r14_early_summary", "asset method direction positive_support minimum_events", "early_mean_excess", lambda s, d: responses.early_summary(both(s, d)),
           """SELECT asset, method, direction, avg(median) AS early_mean_excess, bool_or(bootstrap_ci_low > 0) AS positive_support, min(count) AS minimum_events FROM (SELECT asset, method, direction, "offset", median, bootstrap_ci_low, count FROM median_summary UNION ALL BY NAME SELECT asset, method, direction, "offset", median, bootstrap_ci_low, count FROM matched_summary) WHERE "offset" <= 5 GROUP BY ALL""", digits=7)
