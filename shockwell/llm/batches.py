@@ -5,12 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Rows of a batch that are Python objects at a time.
 ROWS = 512
-ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+
+
+def local_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A DataFrame of the driver's rows, sent as Arrow: unlike rows of Python objects it starts no Python workers."""
+    fields = [f.strip().split() for f in schema.split(",")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    table = pa.table({name: pa.array(list(values), ARROW[kind]) for (name, kind), values in zip(fields, columns, strict=True)})
+    return spark.createDataFrame(table, schema)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before each as it takes not to be a column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def append_columns(df: DataFrame, new: dict[str, str], make: Callable[[], Callable[..., list]], inputs: list[str], without: tuple[str, ...] = ()) -> DataFrame:

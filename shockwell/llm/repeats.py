@@ -9,38 +9,30 @@ meet in one task, where a suffix array over their bytes shows the repeats; ancho
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from shockwell.llm.hot import MOST_HOT, join_hot
 from shockwell.llm.mph import mixed
 from shockwell.llm.scratch import discard, materialise
 from shockwell.llm.suffixes import SuffixArray
+from shockwell.llm.words import BASE, string_hashes, symbols
 
 #: Bytes of text hashed at once; bytes of segments under one suffix array; a larger group of one anchor goes by hashes of its strings.
 SLICE_BYTES, ARRAY_BYTES, GROUP_BYTES = 1 << 20, 1 << 20, 8 << 20
-#: Odd multiplier of the polynomial hashes.
-BASE = 0x9E3779B97F4A7C15
+#: Bytes of text hashed at once; bytes of segments under one suffix array; a larger group of one anchor goes by hashes of its strings.
+SLICE_BYTES, ARRAY_BYTES, GROUP_BYTES = 1 << 20, 1 << 20, 8 << 20
+#: One in SAMPLED documents shows which anchors are so frequent that their segments are dealt by their bytes too: those
+#: seen over LEAST_SEEN times and in over a MOST_HOT-th of the sample's segments.
+SAMPLED, LEAST_SEEN = 64, 20
 #: A segment's place: start * RUNS + number of strings in it.
 RUNS = 1 << 12
 
 
-@lru_cache(maxsize=4)
-def _symbols(seed: int) -> np.ndarray:
-    return mixed(np.arange(256, dtype=np.uint64), seed)
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
 def gram_size(least: int) -> int:
     """The largest power of two up to a third of a string."""
     return 1 << (max(least // 3, 1).bit_length() - 1)
@@ -48,20 +40,13 @@ def gram_size(least: int) -> int:
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Hash of the `size` bytes (a power of two) from each place on, from two halves each time."""
-    out, step, factor = _symbols(31)[data], 1, BASE
+    out, step, factor = symbols(31)[data], 1, BASE
     while step < size:
         out = out[:-step] * np.uint64(factor) + out[step:]
         step, factor = 2 * step, factor * factor & (1 << 64) - 1
     return mixed(out, 32)
 
 
-def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end] for each pair, from sums of powers."""
-    up, down = _powers(1 << max(21, int(len(data) + 1).bit_length()))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_symbols(33)[data] * up[: len(data)], dtype=np.uint64)))
-    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64), 34)
-
-
 def smallest(values: np.ndarray, spread: int) -> np.ndarray:
     """Place of the first smallest value among `spread` values from each place on."""
     at = np.arange(len(values), dtype=np.int32)
@@ -78,22 +63,33 @@ def smallest(values: np.ndarray, spread: int) -> np.ndarray:
     return merge(value, at, spread - step)[1]
 
 
-def segments(data: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, strings, anchor, hash) of the segments in texts that stand one after another in `data`."""
+def other_hashes(values: np.ndarray, gram: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A second hash of each text[start:end], from the hashes of grams that lie evenly in it, the last one at its end."""
+    out = np.zeros(len(start), np.uint64)
+    steps = -(-(end - start - gram) // gram)
+    for k in range(int(steps.max(initial=0)) + 1):
+        there = k <= steps
+        out[there] = mixed(out[there] ^ values[np.minimum(start[there] + k * gram, end[there] - gram)], 36)
+    return out
+
+
+def segments(data: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, strings, anchor, hash, second hash) of the segments in texts that stand one after another in `data`."""
     gram = gram_size(least)
     ends = np.repeat(np.cumsum(sizes), sizes)
     start = np.flatnonzero(ends - np.arange(len(data)) >= least)
     if not len(start):
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     values = gram_hashes(data, gram)
     anchor = smallest(values, least - gram + 1)[start]
     new = np.concatenate(([True], (np.diff(start) != 1) | (np.diff(anchor) != 0) | (ends[start][1:] != ends[start][:-1])))
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(start)))
     begin = start[first]
-    whole = string_hashes(data, begin, begin + count - 1 + least)
-    return begin, count, values[anchor[first]].view(np.int64), whole.view(np.int64)
+    end = begin + count - 1 + least
+    whole, check = string_hashes(data, begin, end), other_hashes(values, gram, begin, end)
+    return begin, count, values[anchor[first]].view(np.int64), whole.view(np.int64), (check >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _slices(ids: list, texts: list, least: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -118,39 +114,45 @@ def _segments(least: int):
         for batch in batches:
             for owner, base, parts in _slices(batch["doc"].tolist(), batch["text"].tolist(), least):
                 sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-                begin, count, anchor, whole = segments(np.frombuffer(b"".join(parts), np.uint8), sizes, least)
+                begin, count, anchor, whole, check = segments(np.frombuffer(b"".join(parts), np.uint8), sizes, least)
                 firsts = np.cumsum(sizes) - sizes
                 part = np.searchsorted(firsts, begin, side="right") - 1
                 place = (begin - firsts[part] + np.array(base)[part]) * RUNS + count
-                yield pd.DataFrame({"anchor": anchor, "whole": whole, "doc": np.array(owner, np.int64)[part], "place": place})
+                yield pd.DataFrame({"anchor": anchor, "whole": whole, "check": check, "doc": np.array(owner, np.int64)[part], "place": place})
 
     return run
 
 
-def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by anchor, whole, doc and place. A segment equal to an earlier one is put out without its anchor:
-    all of it occurs before. The first of each kind is put out with the anchor if the anchor has several kinds. What
-    is carried to the next batch are two rows: the last anchor's first segment and the last kind's first."""
-    held, told = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("anchor", "whole", "doc", "place")}), np.zeros(0, bool)
-    for batch in batches:
-        if not len(batch):
-            continue
-        old = np.concatenate((np.ones(len(held), bool), np.zeros(len(batch), bool)))
-        done = np.concatenate((told, np.zeros(len(batch), bool)))
-        anchor, whole, doc, place = (np.concatenate((held[c], batch[c])) for c in ("anchor", "whole", "doc", "place"))
-        index = np.arange(len(anchor))
-        group = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-        kind = group | np.concatenate(([True], whole[1:] != whole[:-1]))
-        number = np.cumsum(group) - 1
-        several = np.bincount(number, kind & ~group) > 0
-        meets = kind & several[number] & ~done
-        first = np.maximum.accumulate(np.where(kind, index, 0))
-        again = ~kind & ~old & ((doc != doc[first]) | (place != place[first]))
-        out = np.flatnonzero(meets | again)
-        if len(out):
-            yield pd.DataFrame({"doc": doc[out], "place": place[out], "anchor": pd.Series(anchor[out], dtype="Int64").mask(again[out])})
-        keep = np.unique([np.flatnonzero(group)[-1], first[-1]])
-        held, told = pd.DataFrame({"anchor": anchor[keep], "whole": whole[keep], "doc": doc[keep], "place": place[keep]}), (done | meets)[keep]
+def _meetings(hot: np.ndarray):
+    """Rows come sorted by anchor, whole, check, doc and place. A segment equal to an earlier one is put out without its
+    anchor: all of it occurs before. The first of each kind is put out with the anchor if the anchor has several kinds, or
+    is one of the `hot` ones, whose kinds are in several tasks. What is carried to the next batch are two rows: the last
+    anchor's first segment and the last kind's first."""
+    columns = ("anchor", "whole", "check", "doc", "place")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, told = pd.DataFrame({c: np.zeros(0, np.int64) for c in columns}), np.zeros(0, bool)
+        for batch in batches:
+            if not len(batch):
+                continue
+            old = np.concatenate((np.ones(len(held), bool), np.zeros(len(batch), bool)))
+            done = np.concatenate((told, np.zeros(len(batch), bool)))
+            anchor, whole, check, doc, place = (np.concatenate((held[c], batch[c])) for c in columns)
+            index = np.arange(len(anchor))
+            group = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+            kind = group | np.concatenate(([True], (whole[1:] != whole[:-1]) | (check[1:] != check[:-1])))
+            number = np.cumsum(group) - 1
+            several = (np.bincount(number, kind & ~group) > 0) | np.isin(anchor[group], hot)
+            meets = kind & several[number] & ~done
+            first = np.maximum.accumulate(np.where(kind, index, 0))
+            again = ~kind & ~old & ((doc != doc[first]) | (place != place[first]))
+            out = np.flatnonzero(meets | again)
+            if len(out):
+                yield pd.DataFrame({"doc": doc[out], "place": place[out], "anchor": pd.Series(anchor[out], dtype="Int64").mask(again[out])})
+            keep = np.unique([np.flatnonzero(group)[-1], first[-1]])
+            held, told = pd.DataFrame({c: x[keep] for c, x in zip(columns, (anchor, whole, check, doc, place), strict=True)}), (done | meets)[keep]
+
+    return run
 
 
 def _cut(least: int):
@@ -193,7 +195,7 @@ def covered(text: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray
 
 
 def _arrays(least: int, array_bytes: int, group_bytes: int):
-    schema = ["doc", "start", "end", "anchor", "string"]
+    schema = ["doc", "start", "end", "anchor", "string", "other"]
 
     def emit(rows: list[tuple]) -> pd.DataFrame:
         sizes = np.fromiter((len(r[3]) for r in rows), np.int64, len(rows))
@@ -202,7 +204,7 @@ def _arrays(least: int, array_bytes: int, group_bytes: int):
         own = np.searchsorted(firsts, start, side="right") - 1
         shift = np.array([r[2] for r in rows], np.int64)[own] - firsts[own]
         none = pd.Series([None] * len(start), dtype="Int64")
-        return pd.DataFrame({"doc": np.array([r[1] for r in rows], np.int64)[own], "start": start + shift, "end": end + shift, "anchor": none, "string": none})
+        return pd.DataFrame({"doc": np.array([r[1] for r in rows], np.int64)[own], "start": start + shift, "end": end + shift, "anchor": none, "string": none, "other": none})
 
     def strings(rows: list[tuple]) -> pd.DataFrame:
         sizes = np.fromiter((len(r[3]) for r in rows), np.int64, len(rows))
@@ -212,7 +214,8 @@ def _arrays(least: int, array_bytes: int, group_bytes: int):
         at = (np.cumsum(sizes) - sizes)[own] + within
         start = np.array([r[2] for r in rows], np.int64)[own] + within
         found = string_hashes(data, at, at + least).view(np.int64)
-        return pd.DataFrame({"doc": np.array([r[1] for r in rows], np.int64)[own], "start": start, "end": start + least, "anchor": rows[0][0], "string": found})
+        other = other_hashes(gram_hashes(data, gram_size(least)), gram_size(least), at, at + least).view(np.int64)
+        return pd.DataFrame({"doc": np.array([r[1] for r in rows], np.int64)[own], "start": start, "end": start + least, "anchor": rows[0][0], "string": found, "other": other})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by anchor, document and place."""
@@ -287,37 +290,43 @@ def remove_repeats(docs: DataFrame, least: int = 100, array_bytes: int = ARRAY_B
        Segments equal to an earlier one are removed outright; other anchors that occur more than once go on.
     2. The bytes of those segments, cut from the texts, are dealt by anchor again. Groups are gathered to about
        `array_bytes` and a suffix array over them gives maximal repeats with all occurrences; all but the first go.
-    3. A group of over `group_bytes` leaves as hashes of its strings, which are grouped by hash instead.
+    3. A group of over `group_bytes` fits no task. It leaves as two 64-bit hashes of each of its strings, and the first
+       of each string is found by a combined minimum.
     4. Spans return to their texts.
 
-    Equal bytes are told by two 64-bit hashes in steps 1 and 3, by comparison in step 2. No task holds a group: steps 1
-    and 3 read it as a stream. Null text: no bytes. Null ids sort first; different texts with one id are different
-    documents, in the order of their digests; rows alike in id and text are one document, and each gets its answer.
-    Texts shorter than `least` lose nothing. An empty table gives no rows; other columns are ignored.
+    Equal bytes are told by comparison in step 2; in steps 1 and 3 by two hashes of different make, of 160 bits with the
+    anchor's in step 1 and 128 in step 3. No task holds a group: steps 1 and 3 read it as a stream. Anchors that show often
+    in one of SAMPLED documents (at most 4000 can) are dealt by the segment's hash too, so that none fills a task; which
+    are depends on the sample, the result doesn't. Null text: no bytes. Null ids sort first; different texts with one id
+    are different documents, in the order of their digests; rows alike in id and text are one document, and each gets its
+    answer. Texts shorter than `least` lose nothing, longer ones are read whole. An empty table gives no rows; other
+    columns are ignored.
     """
     if least < 8 or least >= RUNS:
         raise ValueError(f"least must be 8 to {RUNS - 1}")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
     texts = _numbered(rows)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = (
-        texts.select("doc", "text")
-        .mapInPandas(_segments(least), "anchor long, whole long, doc long, place long")
-        .repartition(parts, "anchor")
-        .sortWithinPartitions("anchor", "whole", "doc", "place")
-    )
-    met = materialise(dealt.mapInPandas(_meetings, "doc long, place long, anchor long"), "meetings")
+    names = "anchor long, whole long, check int, doc long, place long"
+    sample = texts.where(F.pmod(F.xxhash64("doc", F.lit(6)), F.lit(SAMPLED)) == 0).select("doc", "text").mapInPandas(_segments(least), names)
+    seen = materialise(sample.groupBy("anchor").agg(F.count("*").alias("n")), "anchors")
+    often = max(LEAST_SEEN, int(seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // MOST_HOT)
+    hot = sorted(r["anchor"] for r in seen.where(F.col("n") > often).collect())
+    discard(seen)
+    deal = F.when(F.col("anchor").isin(hot), F.xxhash64("anchor", "whole")).otherwise(F.col("anchor")) if hot else F.col("anchor")
+    dealt = texts.select("doc", "text").mapInPandas(_segments(least), names).repartition(deal).sortWithinPartitions("anchor", "whole", "check", "doc", "place")
+    met = materialise(dealt.mapInPandas(_meetings(np.array(hot, np.int64)), "doc long, place long, anchor long"), "meetings")
     several = met.where("anchor is not null").groupBy("doc").agg(F.collect_set(F.struct("anchor", "place")).alias("meets"))
     cut = texts.select("doc", "text").join(several, "doc").mapInPandas(_cut(least), "anchor long, doc long, start long, data binary")
-    arrays = cut.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc", "start")
-    found = materialise(arrays.mapInPandas(_arrays(least, array_bytes, group_bytes), "doc long, start long, end long, anchor long, string long"), "repeats")
-    again = F.row_number().over(Window.partitionBy("anchor", "string").orderBy("doc", "start"))
+    arrays = cut.repartition("anchor").sortWithinPartitions("anchor", "doc", "start")
+    found = materialise(arrays.mapInPandas(_arrays(least, array_bytes, group_bytes), "doc long, start long, end long, anchor long, string long, other long"), "repeats")
+    strings = found.where("anchor is not null").withColumn("key", F.struct("anchor", "string", "other")).select("key", "doc", "start", "end")
+    firsts = strings.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     spans = reduce(
         DataFrame.union,
         [
             met.where("anchor is null").select("doc", F.floor(F.col("place") / RUNS).alias("start"), (F.floor(F.col("place") / RUNS) + F.col("place") % RUNS - 1 + least).alias("end")),
             found.where("anchor is null").select("doc", "start", "end"),
-            found.where("anchor is not null").withColumn("n", again).where("n > 1").select("doc", "start", "end"),
+            join_hot(strings, firsts, "key", "n", strings.count()).where(F.struct("doc", "start") != F.col("first")).select("doc", "start", "end"),
         ],
     )
     each = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
