@@ -17,10 +17,11 @@ def fold(id_col: str, folds: int) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int = MOST_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, label) of at most `most` labelled rows outside the held-out fold.
 
-    Rows without id, label or text take no part; an id labelled twice takes its larger label.
+    Rows without id, label or text take no part; an id labelled twice takes its larger label; of an id's several texts
+    the one with the smallest hash is taken, so an id that half of the rows share adds one row.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, folds) != held_out))
     one = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label"))
     sample = one.orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(sample), "id")
+    return texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("label").alias("label"))

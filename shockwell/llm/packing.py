@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shockwell.llm.batches import ARROW, ROWS
+from shockwell.llm.batches import ARROW, ROWS, local_table
 from shockwell.llm.scratch import materialise
 from shockwell.llm.tokens import default_tokenizer, encoder
 
@@ -88,7 +88,7 @@ def pack_documents(docs: DataFrame, room: int = 2048, end_id: int = 1, tokenizer
             used[length] += times
             offset += length
         first += times
-    spots = spark.createDataFrame(places, "length long, low long, high long, first_sequence long, offset long")
+    spots = local_table(spark, "length long, low long, high long, first_sequence long, offset long", places)
     buckets = max(1, -(-sum(counts.values()) // 100_000))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start"), F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))

@@ -8,12 +8,12 @@ from functools import lru_cache
 
 import numpy as np
 
-from shockwell.llm.repeats import string_hashes
+from shockwell.llm.words import Memory, distinct, parts_of
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words and ids that a worker remembers at most, then it starts anew. Words encoded at once; bytes of text looked up at once.
-MOST_WORDS, MOST_IDS, AT_ONCE, CHUNK = 800_000, 4_000_000, 4000, 1 << 19
+#: Words, their bytes and ids that a worker remembers at most, then it starts anew. Words encoded at once; bytes of text looked up at once.
+MOST_WORDS, MOST_BYTES, MOST_IDS, AT_ONCE, CHUNK = 800_000, 8 << 20, 4_000_000, 4000, 1 << 19
 #: What keeps a text from being cut into words: white space but single spaces and newlines, and white space at the end.
 ODD = re.compile(r"[^\S \n]|[ \n](?:[ \n]|\Z)")
 
@@ -23,8 +23,8 @@ class Encoder:
 
     Byte-level BPE cuts a text into words before it merges, and always before a single space, and around a single
     newline, between two other characters. So words cut there have the ids they have in the whole text; each different
-    word is encoded once and remembered by the 64-bit hash of its bytes. Other texts are encoded as a whole. A test
-    holds this against encoding whole texts.
+    word is encoded once and remembered: it is found by a hash and verified by its bytes. Other texts, and those with a
+    run of over CHUNK characters without a space, are encoded as a whole. A test holds this against encoding whole texts.
     """
 
     def __init__(self, path: str):
@@ -37,11 +37,12 @@ class Encoder:
         self.dtype = f"<u{self.width}"
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space or a newline
         self.begins[[i for word, i in vocabulary.items() if word[:1] in "ĠĊ"]] = True
-        self._forget()
+        self.memory = Memory(MOST_WORDS, MOST_BYTES)
+        self.forget()
 
-    def _forget(self) -> None:
-        self.hashes, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, self.dtype)
+    def forget(self) -> None:
+        self.memory.forget()
+        self.first, self.count, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.dtype)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -56,15 +57,6 @@ class Encoder:
         ends = np.append(starts[1:], len(ids)).tolist()
         return [ids[a:b] for a, b in zip((starts + lent).tolist(), ends, strict=True)]
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Remembers words by their hashes, which come sorted."""
-        found = [x for k in range(0, len(words), AT_ONCE) for x in self._words(words[k : k + AT_ONCE])]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        first = len(self.ids) + np.cumsum(count) - count
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.first, self.count = (np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.first, first), (self.count, count)))
-        self.ids = np.concatenate([self.ids, *found])
-
     def _looked_up(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts of words, a chunk's worth."""
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -73,39 +65,43 @@ class Encoder:
         new = (data == 32) | (data == 10)
         new[begin[sizes > 0]] = True
         start = np.flatnonzero(new)
-        end = np.append(start[1:], len(data))
-        each, where, inverse = np.unique(string_hashes(data, start, end), return_index=True, return_inverse=True)
-        if len(self.hashes) > MOST_WORDS or len(self.ids) > MOST_IDS:
-            self._forget()
-        at = np.searchsorted(self.hashes, each)
-        known = at < len(self.hashes)
-        known[known] = self.hashes[at[known]] == each[known]
-        if not known.all():
+        end = np.append(start[1:], len(data))[: len(start)]
+        each, where, inverse = distinct(data, start, end)
+        a, b = start[where], end[where]
+        number = self.memory.find(data, a, b, each)
+        unknown = number < 0
+        if unknown.any() and (self.memory.full(int(unknown.sum()), int((b - a)[unknown].sum())) or len(self.ids) > MOST_IDS):
+            self.forget()
+            number, unknown = np.full(len(each), -1), np.ones(len(each), bool)
+        if unknown.any():
             raw = data.tobytes()
-            self._learn(each[~known], [raw[a:b].decode() for a, b in zip(start[where[~known]].tolist(), end[where[~known]].tolist(), strict=True)])
-            at = np.searchsorted(self.hashes, each)
-        first, count = self.first[at][inverse], self.count[at][inverse]
+            words = [raw[x:y].decode() for x, y in zip(a[unknown].tolist(), b[unknown].tolist(), strict=True)]
+            found = [x for k in range(0, len(words), AT_ONCE) for x in self._words(words[k : k + AT_ONCE])]
+            count = np.fromiter(map(len, found), np.int64, len(found))
+            number[unknown] = len(self.first) + np.arange(len(found))
+            self.first = np.concatenate((self.first, (len(self.ids) + np.cumsum(count) - count).astype(np.int32)))
+            self.count, self.ids = np.concatenate((self.count, count.astype(np.int32))), np.concatenate([self.ids, *found])
+            self.memory.add(data, a[unknown], b[unknown], each[unknown], number[unknown])
+        first, count = (x[number][inverse].astype(np.int64) for x in (self.first, self.count))
         ends = np.cumsum(count)
         ids = self.ids[np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
         token = np.concatenate((np.zeros(1, np.int64), ends))
         cut = token[np.searchsorted(start, np.append(begin, len(data)))] * self.width
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
-    def _parts(self, text: str) -> list[bytes]:
-        """A text of words in parts of about a chunk that begin at a space."""
-        out, first = [], 0
-        while len(text) - first > CHUNK and (at := text.find(" ", first + CHUNK // 2)) > 0:
-            out.append(text[first:at].encode())
-            first = at
-        return [*out, text[first:].encode()]
+    @staticmethod
+    def _parts(text: str) -> list[bytes] | None:
+        """A text of words in parts of at most a chunk that begin at a space; None if it must be encoded as a whole."""
+        if ODD.search(text):
+            return None
+        parts = list(parts_of(text, CHUNK, None))
+        return [p.encode() for p in parts] if max(map(len, parts)) <= CHUNK else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, self.width bytes each."""
-        odd = [bool(ODD.search(t)) for t in texts]
-        whole = iter(self._whole([t for t, x in zip(texts, odd, strict=True) if x]))
-        parts = [[] if x else self._parts(t) for t, x in zip(texts, odd, strict=True)]
+        parts = [self._parts(t) for t in texts]
         queue, held, found = [], 0, []
-        for part in (p for own in parts for p in own):
+        for part in (p for own in parts for p in own or ()):
             queue.append(part)
             held += len(part)
             if held >= CHUNK:
@@ -113,7 +109,7 @@ class Encoder:
                 queue, held = [], 0
         found += self._looked_up(queue) if queue else []
         ids = iter(found)
-        return [next(whole).tobytes() if x else b"".join(next(ids) for _ in own) for x, own in zip(odd, parts, strict=True)]
+        return [self._whole([t])[0].tobytes() if own is None else b"".join(next(ids) for _ in own) for t, own in zip(texts, parts, strict=True)]
 
 
 @lru_cache(maxsize=2)
