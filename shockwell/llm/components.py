@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shockwell.llm.hot import join_hot
 from shockwell.llm.scratch import discard, materialise
 
 
-def _to_minimum(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): every pair with the smallest of u and all its partners. The minimum is combined before the shuffle."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+def _to_minimum(pairs: DataFrame, total: int) -> DataFrame:
+    """(u, v, m): every pair with the smallest of u and all its partners. The minimum is combined before the shuffle, and
+    pairs of a node with very many partners stay where they are."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_hot(pairs, least, "u", "n", total)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _to_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _to_minimum(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    own = _to_minimum(down)
+    own = _to_minimum(down, total)
     return own.select("v", "m").union(own.select("u", "m")).toDF("u", "v").where("u != v").distinct()
 
 
@@ -38,13 +40,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         .distinct(),
         "edges",
     )
-    mark = None
-    while True:
-        after = materialise(_small_star(_large_star(now)), "edges")
+    mark = _mark(now)
+    while mark[0]:
+        large = materialise(_large_star(now, mark[0]), "edges")
+        after = materialise(_small_star(large, mark[0]), "edges")
         discard(now)
-        now, seen = after, after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark or not seen[0]:
+        discard(large)
+        now, last, mark = after, mark, _mark(after)
+        if mark == last:
             break
-        mark = tuple(seen)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """The number of edges and a sum of their hashes, which stay when a round changes nothing."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -9,7 +9,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockwell.llm.batches import append_columns
+from shockwell.llm.batches import append_columns, fresh
+from shockwell.llm.hot import join_hot
+from shockwell.llm.scratch import materialise
 
 #: White space that is stripped from both ends of a line.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -26,12 +28,11 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 def _keys(min_chars: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, keys = [], []
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                own = {line_key(x, min_chars) for x in text.encode().split(b"\n")} - {None} if isinstance(text, str) else ()
-                ids += [i] * len(own)
-                keys += own
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="Int64"), "key": keys})
+            for k in range(0, len(batch), 512):
+                part = batch.iloc[k : k + 512]
+                own = [{line_key(x, min_chars) for x in t.encode().split(b"\n")} - {None} if isinstance(t, str) else () for t in part["text"]]
+                times = [len(x) for x in own]
+                yield pd.DataFrame({"id": part["id"].astype("Int64").repeat(times).array, "mark": part["mark"].repeat(times).array, "key": [x for keys in own for x in keys]})
 
     return run
 
@@ -58,20 +59,24 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, i
 
     Lines are split at \\n. A line's key is the line stripped of ASCII white space and with A-Z lower-cased. Keys of at
     least `min_chars` code points that at least `min_docs` distinct ids hold lose all their lines, except in the largest
-    id that holds them. Counting combines before the shuffle, so a line in every third document is no hot key.
+    id that holds them. Counting combines before the shuffle, and the rows of keys that very many texts hold stay where
+    they are, so a line in every third document is no hot key.
 
-    Null text: one empty line, kept_text null. Empty text: one empty line. Null id: its rows count as one document, smaller
-    than any other. Rows that share an id count as one document. An empty table gives no rows.
+    Null text: one empty line, kept_text null. Empty text: one empty line. Texts of any length are read whole. Null id:
+    its rows count as one document, smaller than any other. Rows that share an id count as one document. An empty table
+    gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = rows.mapInPandas(_keys(min_chars), "id long, key binary")
+    own_id, own_mark, own_drops = fresh(docs, "own_id", "own_mark", "own_drops")
+    keyed = docs.withColumns({own_id: F.col(id_col).cast("long"), own_mark: F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))})
+    rows = keyed.select(F.col(own_id).alias("id"), F.col(own_mark).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    keys = materialise(rows.mapInPandas(_keys(min_chars), "id long, mark long, key binary"), "lines")
     often = (
         keys.groupBy("key")
-        .agg(F.count_distinct(F.struct("id")).alias("n"), F.max("id").alias("keeper"))
+        .agg(F.count_distinct(F.struct("id")).alias("n"), F.count("*").alias("rows"), F.max("id").alias("keeper"))
         .where(F.col("n") >= min_docs)
-        .select("key", "keeper")
+        .select("key", "keeper", "rows")
     )
-    drops = keys.join(often, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("key").alias("drops"))
-    found = drops.withColumnsRenamed({"id": "_own_id", "drops": "_own_drops"})
-    both = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_own_id")), "left").drop("_own_id")
-    return append_columns(both, {"n_lines": "long", "n_dropped": "long", "kept_text": "string"}, _rebuild(min_chars), [text_col, "_own_drops"], without=("_own_drops",))
+    drops = join_hot(keys, materialise(often, "shared"), "key", "rows", keys.count()).where(~F.col("id").eqNullSafe(F.col("keeper")))
+    found = drops.groupBy(F.coalesce("id", F.lit(0)).alias(own_id), F.col("mark").alias(own_mark)).agg(F.collect_set("key").alias(own_drops))
+    both = keyed.withColumn(own_id, F.coalesce(own_id, F.lit(0))).join(found, [own_id, own_mark], "left").drop(own_id, own_mark)
+    return append_columns(both, {"n_lines": "long", "n_dropped": "long", "kept_text": "string"}, _rebuild(min_chars), [text_col, own_drops], without=(own_drops,))
