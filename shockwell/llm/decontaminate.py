@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shockwell.llm.batches import ARROW, append_columns
+from shockwell.llm.batches import ARROW, append_columns, fresh
 from shockwell.llm.fmindex import FMIndex
+from shockwell.llm.scratch import materialise
 
 #: Fixed value: a word is a run of ASCII letters and digits and of all characters beyond ASCII.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Words that one FM-index holds at least; a shard is closed once it has so many. Bytes of benchmark text searched in one pass.
 SHARD_WORDS = 400_000
-PASS_BYTES = 8 << 20
+PASS_BYTES = 4 << 20
+#: Words of an item that travel together; longer items are cut, with windows that overlap the cut on both sides.
+PIECE_WORDS = 20_000
 #: Columns that the search adds.
 FOUND = {"n_words": "long", "starts": "array<int>", "ends": "array<int>", "items": "array<string>"}
 TYPES = [ARROW[t] for t in FOUND.values()]
@@ -33,6 +37,17 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(lower_ascii(text)) if isinstance(text, str) else []
 
 
+def merge(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """Spans in order, those that touch joined."""
+    merged: list[list[int]] = []
+    for a, b in sorted(set(spans)):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    return merged
+
+
 class Phrases:
     """The windows of benchmark items as word ids, grouped by length."""
 
@@ -50,17 +65,22 @@ class Phrases:
         groups = defaultdict(list)
         for phrase, who in owners.items():
             groups[len(phrase)].append((phrase, sorted(who)))
-        self.by_length = {n: (np.array([p for p, _ in g], np.int64), [w for _, w in g]) for n, g in sorted(groups.items())}
+        #: length: (phrases, first owner of each, owners), in arrays, as they travel with the tasks.
+        self.by_length = {}
+        for n, g in sorted(groups.items()):
+            first = np.cumsum([0] + [len(w) for _, w in g])
+            self.by_length[n] = (np.array([p for p, _ in g], np.int32), first, np.array([i for _, w in g for i in w], np.int32))
         self.shortest = min(self.by_length, default=1)
 
-    def hits(self, index: FMIndex) -> Iterator[tuple[np.ndarray, int, list[list[int]], np.ndarray]]:
+    def hits(self, index: FMIndex) -> Iterator[tuple[np.ndarray, int, dict[int, list[int]], np.ndarray]]:
         """(positions, length, items of each phrase, number of the phrase of each position)."""
-        for length, (phrases, owners) in self.by_length.items():
-            low, high = index.search(phrases)
+        for length, (phrases, first, owner) in self.by_length.items():
+            low, high = index.search(phrases.astype(np.int64))
             times = high - low
             if times.any():
                 which = np.repeat(np.arange(len(phrases)), times)
                 rows = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + low[which]
+                owners = {p: owner[first[p] : first[p + 1]].tolist() for p in np.unique(which).tolist()}
                 yield index.locate(rows), length, owners, which
 
 
@@ -96,25 +116,30 @@ class Shard:
                     items[r].update(owners[p])
         out = []
         for k, (key, n) in enumerate(self.rows):
-            merged: list[list[int]] = []
-            for a, b in sorted(set(spans[k])) if k in spans else ():
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
+            merged = merge(spans[k]) if k in spans else []
             names = sorted({self.phrases.names[i] for i in items[k]}) if k in items else []
             out.append((key, n, [x[0] for x in merged], [x[1] for x in merged], names))
         return out
 
 
-def _search(phrases: Phrases, shard_words: int, text_at: int):
+def _search(phrases: Phrases, shard_words: int, text_at: int, clean: bool):
+    """Adds the columns FOUND, or with `clean` puts the text without its spans in the text's place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, kept = Shard(phrases), 0, []
 
         def emit() -> pa.RecordBatch:
+            own = pa.concat_batches(kept)
             _, n_words, starts, ends, items = zip(*shard.found(), strict=True)
+            if clean:
+                hit = [k for k, x in enumerate(starts) if x]
+                if hit:
+                    texts = own.column(text_at).to_pylist()
+                    for k in hit:
+                        texts[k] = without_spans(texts[k], starts[k], ends[k])
+                    own = own.set_column(text_at, own.schema.field(text_at), pa.array(texts, own.schema.field(text_at).type))
+                return own
             new = [pa.array(x, t) for x, t in zip((n_words, starts, ends, items), TYPES, strict=True)]
-            own = pa.concat_batches(kept)
             return pa.RecordBatch.from_arrays([*own.columns, *new], [*own.schema.names, *FOUND])
 
         for batch in batches:
@@ -146,12 +171,49 @@ def without_spans(text: str | None, starts: list[int], ends: list[int]) -> str |
     return "".join([*out, text[last:]])
 
 
-def _passes(benchmark: DataFrame, pass_bytes: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of a bounded size; normally one."""
-    size = benchmark.agg(F.coalesce(F.sum(F.length("text").cast("long") * 4), F.lit(0))).first()[0]
-    n = int(size // pass_bytes) + 1
+def _pieces(window: int):
+    """Items' words, joined by spaces, in pieces of a bounded size that share `window` - 1 words with the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                cuts = range(0, max(1, len(words) - window + 1), PIECE_WORDS)
+                parts = [" ".join(words[k : k + PIECE_WORDS + window - 1]) for k in cuts] if words else []
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(parts, pa.string())], ["name", "text"])
+
+    return run
+
+
+def _passes(benchmark: DataFrame, item_col: str, window: int, pass_bytes: int) -> tuple[int, Callable[[int], Phrases]]:
+    """The number of passes, normally one, and what gives the phrases of one of them: a bounded block of the items' pieces."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col("text").cast("string").alias("text")).where("text is not null")
+    pieces = materialise(items.mapInArrow(_pieces(window), "name string, text string"), "items")
+    n = int(pieces.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0] // pass_bytes) + 1
     block = F.pmod(F.xxhash64("name", "text"), F.lit(n))
-    return [[(r["name"], r["text"]) for r in benchmark.where(block == k).collect()] for k in range(n)]
+    return n, lambda k: Phrases([(r["name"], r["text"]) for r in pieces.where(block == k).collect()], window)
+
+
+def _hits(docs: DataFrame, passes: int, phrases: Callable[[int], Phrases], shard_words: int, text_col: str, key: list[str]) -> DataFrame:
+    """(*key, starts, ends, items) of the texts that any pass finds: each pass runs for itself, its phrases are gone when the
+    next begins, and only the texts it finds are written. Equal texts count once."""
+    texts = docs.select(*key, F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType(texts.schema.fields + T._parse_datatype_string(", ".join(f"{c} {t}" for c, t in FOUND.items())).fields)
+    tables = []
+    for k in range(passes):
+        found = texts.mapInArrow(_search(phrases(k), shard_words, 2, False), schema).where(F.size("starts") > 0)
+        tables.append(materialise(found.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("starts", "ends", "items")]), "hits"))
+    every = reduce(DataFrame.union, tables)
+    return every.groupBy(*key).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")])
+
+
+def _merged():
+    def work(texts: list, starts: list, ends: list, items: list) -> list[list]:
+        spans = [merge(zip(a, b, strict=True)) if a is not None else [] for a, b in zip(starts, ends, strict=True)]
+        return [[len(words_of(t)) for t in texts], [[x for x, _ in s] for s in spans], [[y for _, y in s] for s in spans], [sorted(set(i or ())) for i in items]]
+
+    return work
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, pass_bytes: int = PASS_BYTES, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -160,49 +222,35 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
     Words: A-Z lower-cased, then runs of characters as in WORD. A window is `window` consecutive words of an item; an item
     with fewer, but not none, is one window. Documents are read in shards of a bounded size inside each task; a shard is
-    one FM-index. The phrases travel with the tasks, in passes over at most `pass_bytes` of benchmark text each, so the
-    benchmark may be of any size; each pass adds its spans and items to those found before.
+    one FM-index. The phrases travel with the tasks. A benchmark of over `pass_bytes` is searched in passes, one after the
+    other, each with a block of the items' pieces; what they find is written and joined at the end, so neither driver nor
+    tasks hold more than one block.
 
     Null or empty texts have no words and no spans; null item texts have no windows; repeated rows are each answered;
-    null ids stay null. Empty tables give no rows, or rows without spans.
+    null ids stay null; texts of any length are read whole. Empty tables give no rows, or rows without spans.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col("text").cast("string").alias("text")).where("text is not null")
+    passes, phrases = _passes(benchmark, item_col, window, pass_bytes)
     own = docs.drop(*FOUND)
-    schema = T.StructType(own.schema.fields + T._parse_datatype_string(", ".join(f"{c} {t}" for c, t in FOUND.items())).fields)
-    blocks = _passes(items, pass_bytes)
-    out = own.mapInArrow(_search(Phrases(blocks[0], window), shard_words, own.columns.index(text_col)), schema)
-    for block in blocks[1:]:
-        before = out.withColumnsRenamed({c: f"_{c}" for c in FOUND})
-        fields = T.StructType(before.schema.fields + schema.fields[-len(FOUND) :])
-        found = before.mapInArrow(_search(Phrases(block, window), shard_words, own.columns.index(text_col)), fields)
-        out = append_columns(found, {"starts": "array<int>", "ends": "array<int>", "items": "array<string>"}, _merge, ["_starts", "_ends", "_items", "starts", "ends", "items"], without=("_n_words", "_starts", "_ends", "_items", "starts", "ends", "items"))
-    return out
-
-
-def _merge():
-    def work(a: list, b: list, items: list, c: list, d: list, more: list) -> list[list]:
-        starts, ends = [], []
-        for own in zip(a, b, c, d, strict=True):
-            merged: list[list[int]] = []
-            for x, y in sorted([*zip(own[0], own[1], strict=True), *zip(own[2], own[3], strict=True)]):
-                if merged and x <= merged[-1][1]:
-                    merged[-1][1] = max(y, merged[-1][1])
-                else:
-                    merged.append([x, y])
-            starts.append([x for x, _ in merged])
-            ends.append([y for _, y in merged])
-        return [starts, ends, [sorted({*x, *y}) for x, y in zip(items, more, strict=True)]]
-
-    return work
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """`docs` with the contaminated spans cut from its texts; all rows and columns stay."""
-    own = {c: f"_own_{c}" for c in docs.columns if c.lower() in FOUND and c != text_col}
-    found = find_contamination(docs.withColumnsRenamed(own), benchmark, text_col=text_col, **options)
+    if passes == 1:
+        schema = T.StructType(own.schema.fields + T._parse_datatype_string(", ".join(f"{c} {t}" for c, t in FOUND.items())).fields)
+        return own.mapInArrow(_search(phrases(0), shard_words, own.columns.index(text_col), False), schema)
+    a, b, *held = fresh(own, "text_a", "text_b", "held_starts", "held_ends", "held_items")
+    keyed = own.withColumns({a: F.xxhash64(F.lit(11), text_col), b: F.xxhash64(F.lit(12), text_col)})
+    hits = _hits(keyed, passes, phrases, shard_words, text_col, [a, b]).toDF(a, b, *held)
+    both = keyed.join(hits, [a, b], "left").drop(a, b)
+    return append_columns(both, FOUND, _merged, [text_col, *held], without=tuple(held))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, pass_bytes: int = PASS_BYTES, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """`docs` with the contaminated spans, as in `find_contamination`, cut from its texts; all rows and columns stay."""
+    passes, phrases = _passes(benchmark, item_col, window, pass_bytes)
+    if passes == 1:
+        return docs.mapInArrow(_search(phrases(0), shard_words, docs.columns.index(text_col), True), docs.schema)
+    row = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = find_contamination(row, benchmark, window, shard_words, pass_bytes, item_col=item_col)
 
     def make():
         return lambda texts, starts, ends: [[without_spans(*x) for x in zip(texts, starts, ends, strict=True)]]
 
-    clean = append_columns(found, {"_clean": "string"}, make, [text_col, "starts", "ends"], without=tuple(FOUND))
-    return clean.withColumn(text_col, F.col("_clean")).withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
+    clean = append_columns(found, {"clean": "string"}, make, ["text", "starts", "ends"], without=tuple(FOUND))
+    return clean.select(*[F.col("clean").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
