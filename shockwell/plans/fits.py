@@ -24,7 +24,7 @@ def register(r: Registry) -> None:
 
     r.add("d1_curves", "t", " ".join(laws), lambda s, d: s.range(1, 31).select(F.col("id").alias("t"), *[decay.curve_column(m, F.col("id"), {k: F.lit(v) for k, v in point.items()}).alias(m) for m in laws]),
           "SELECT t, 0.8 * exp(-t / 9.0) AS exponential, 0.8 * exp(-t / 9.0) / sqrt(1 + 1.4 * 0.64 * (1 - exp(-2 * t / 9.0))) AS landau, 0.8 * exp(-pow(t / 9.0, 0.7)) AS stretched_exponential, 0.5 * exp(-t / 2.0) + 0.2 * exp(-t / 20.0) AS double_exponential, 0.8 * pow(t + 1.5, -0.9) AS shifted_power, 0.3 / pow(t + 1.5, 0.9) AS omori FROM (SELECT unnest(range(1, 31)) AS t)")
-    summary = lambda s, d: own["r11_median_summary"](s, d).persist()
+    summary = lambda s, d: r.keep(own["r11_median_summary"](s, d))
     r.add("d4_fit_gate", "asset direction events fit_start fit_end allowed reason", "peak", lambda s, d: decay.fit_gate(summary(s, d)),
           """SELECT *, reason = 'allowed' AS allowed FROM (SELECT *, CASE WHEN events < 20 THEN 'too few events' WHEN early = 0 THEN 'no early offsets' WHEN NOT coalesce(peak > 0, FALSE) THEN 'no early excess' WHEN NOT supported THEN 'no early support' WHEN fit_end - fit_start + 1 < 5 THEN 'segment too short' ELSE 'allowed' END AS reason FROM
           (SELECT asset, direction, min(count) AS events, count(*) FILTER ("offset" <= 5) AS early, max(median) FILTER ("offset" <= 5) AS peak, bool_or("offset" <= 5 AND bootstrap_ci_low > 0) AS supported, any_value(fit_start) AS fit_start, coalesce(min("offset") FILTER (median <= 0 AND m1 <= 0 AND m2 <= 0 AND "offset" >= fit_start + 5) - 1, max("offset")) AS fit_end

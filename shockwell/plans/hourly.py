@@ -39,7 +39,7 @@ def register(r: Registry) -> None:
     r.cte("z", """SELECT *, z_return * z_return AS m2_instant, CASE WHEN z_return IS NOT NULL THEN least(z_return * z_return, 36) END AS m2_clipped, CASE WHEN z_return IS NOT NULL THEN pow(greatest(least(z_return, 6), -6), 3) END AS m3_instant, z_return * abs(z_return) AS signed_m2
       FROM (SELECT *, scale_mad * rms_correction AS conditional_scale, CASE WHEN scale_mad <> 0 THEN greatest(least(log_return_oc / (scale_mad * rms_correction), 8), -8) END AS z_return FROM corrected)""")
     prepared = lambda s, d: quality.prepared_hourly(candles.hourly_candles(s, d), 0, 23)
-    z = lambda s, d: hourly.standardised(prepared(s, d), WINDOW, LEAST).persist()
+    z = lambda s, d: r.keep(hourly.standardised(prepared(s, d), WINDOW, LEAST))
     key = "asset pos begin"
     r.add("s8_hourly_candles", key, "open high low close volume value", candles.hourly_candles, "SELECT * FROM hourly")
     r.add("c9_prepared_hourly", key + " date year hour regular_session", "log_return_oc price_increment price", lambda s, d: quality.prepared_hourly(candles.hourly_candles(s, d)), "SELECT * REPLACE (hour BETWEEN 10 AND 18 AS regular_session) FROM prepared")
@@ -55,7 +55,7 @@ def register(r: Registry) -> None:
     r.add("h5_overnight_moments", 'asset filter observations', moments, lambda s, d: hourly.overnight_moments(prepared(s, d), 5), summary_sql("labelled", "r", 'asset, "filter"', 5), digits=7)
     # Mobility needs several years: daily candles of all assets together.
     daily = lambda s, d: quality.prepared_hourly(candles.daily_candles(s, d), 0, 23)
-    bins = lambda s, d: hourly.price_bins(daily(s, d), 8, 20, 200).persist()
+    bins = lambda s, d: r.keep(hourly.price_bins(daily(s, d), 8, 20, 200))
     r.cte("days", "SELECT *, CAST(year(begin) AS INTEGER) AS year, ln(close / open) AS log_return_oc, close - open AS price_increment, open AS price FROM daily")
     r.cte("trimmed", "SELECT * FROM (SELECT *, quantile_cont(x, 0.005) OVER (PARTITION BY asset, year) AS lo, quantile_cont(x, 0.995) OVER (PARTITION BY asset, year) AS hi FROM (SELECT *, price_increment AS x, count(*) OVER (PARTITION BY asset, year) AS cnt FROM days) WHERE cnt >= 200) WHERE x BETWEEN lo AND hi")
     r.cte("bucketed", bucket_sql("price", 8, "asset, year", "trimmed"))
@@ -100,10 +100,10 @@ def register(r: Registry) -> None:
 
     def shocks(s, d):
         rows = z(s, d)
-        return hourly.moment_shocks(rows, 0.97, synchrony=hourly.panel_synchrony(rows)).persist()
+        return r.keep(hourly.moment_shocks(rows, 0.97, synchrony=hourly.panel_synchrony(rows)))
 
     r.add("h12_moment_shocks", "asset event_id pos begin direction heating_class synchrony_class process_class", "z_return precursor_m2 far_m2 synchrony threshold precursor_rank", shocks, "SELECT * FROM moment_shocks", digits=7)
-    paths = lambda s, d: hourly.matched_moments(z(s, d), shocks(s, d))[0].persist()
+    paths = lambda s, d: r.keep(hourly.matched_moments(z(s, d), shocks(s, d))[0])
     r.cte("hour_bars", f"""SELECT *, ln(1 + greatest(p12, 0)) AS f1, ln(1 + greatest(far, 0)) AS f2, s12 / sqrt(greatest(far, 0.1)) AS f3, quantile_cont(abs(z_return), 0.95) OVER (PARTITION BY asset) AS cap FROM (SELECT *, {full('avg', 'm2_clipped', -12, -1, 8)} AS p12, {full('avg', 'm2_clipped', -48, -25, 16)} AS far, {full('sum', 'log_return_oc', -12, -1, 8)} AS s12,
       {full('avg', 'm2_clipped', -12, -1, 1)} AS base, count(m2_clipped) OVER (PARTITION BY asset ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS filled, count(*) OVER (PARTITION BY asset) AS n FROM z)""")
     r.cte("hour_pool", "SELECT * FROM hour_bars b WHERE abs(z_return) < cap AND pos >= 48 AND pos < n - 24 AND f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM moment_shocks e WHERE e.asset = b.asset AND b.pos BETWEEN e.pos - 24 AND e.pos + 24)")

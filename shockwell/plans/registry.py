@@ -19,6 +19,15 @@ class Registry:
     queries: dict[str, Query] = field(default_factory=dict)
     sql: dict[str, str] = field(default_factory=dict)
 
+    #: Frames that the last query keeps in memory or on disk, and how many queries are being made inside one another.
+    held: list[DataFrame] = field(default_factory=list)
+    depth: int = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """`df`, kept until the next query is asked for; its results stay right after that, as they can be made again."""
+        self.held.append(df.persist())
+        return df
+
     def cte(self, name: str, body: str) -> None:
         self.ctes[name] = body
 
@@ -26,7 +35,14 @@ class Registry:
         own, values = keys.split(), doubles.split()
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return query(spark, sf_dir).select(*own, *[(F.round(F.col(c).cast("double"), digits) + 0.0).alias(c) for c in values])
+            if not self.depth:
+                self._release()
+            self.depth += 1
+            try:
+                rows = query(spark, sf_dir)
+            finally:
+                self.depth -= 1
+            return rows.select(*own, *[(F.round(F.col(c).cast("double"), digits) + 0.0).alias(c) for c in values])
 
         self.queries[name] = run
         if sql is not None:
@@ -35,6 +51,12 @@ class Registry:
             columns = ", ".join([*(f'"{c}"' for c in own), *(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in values)])
             self.sql[name] = f"{head}SELECT {columns} FROM ({sql}) AS result"
 
+    def _release(self) -> None:
+        for df in self.held:
+            if df.sparkSession.sparkContext._jsc is not None:  # its session hasn't been stopped
+                df.unpersist()
+        self.held.clear()
+
     def _needed(self, sql: str) -> list[str]:
         """The common table expressions that `sql` names, and those that they name, in the order of their definition."""
         import re

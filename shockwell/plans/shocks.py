@@ -29,16 +29,16 @@ def event_sql(source: str, score: str) -> str:
 
 
 def register(r: Registry) -> None:
-    # Kept in memory or on disk: events, controls and paths all read them, and Spark knows an equal plan again.
+    # Kept while a query runs: events, controls and paths all read them, and Spark knows an equal plan again.
     q = "gap_rogers_satchell"
-    prox = lambda s, d: volatility.variance_proxies(candles.daily_candles(s, d)).persist()
-    diag = lambda s, d: har.innovations(prox(s, d), q, coefficients=FIXED).persist()
-    shocks = lambda s, d: events.volatility_shocks(diag(s, d)).persist()
+    prox = lambda s, d: r.keep(volatility.variance_proxies(candles.daily_candles(s, d)))
+    diag = lambda s, d: r.keep(har.innovations(prox(s, d), q, coefficients=FIXED))
+    shocks = lambda s, d: r.keep(events.volatility_shocks(diag(s, d)))
 
     def with_events(f):
         def run(s, d):
             rows = diag(s, d)
-            return f(rows, events.volatility_shocks(rows).persist())
+            return f(rows, r.keep(events.volatility_shocks(rows)))
 
         return run
 
