@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,28 @@ from pyspark.sql import types as T
 
 #: Rows of a batch that are Python objects at a time.
 ROWS = 512
-ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+
+
+def give_back() -> None:
+    """Hands memory that Python and Arrow hold but don't use to the system: a worker waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, with its task's memory given back at its end."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
 
 
 def local_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
@@ -54,4 +76,4 @@ def append_columns(df: DataFrame, new: dict[str, str], make: Callable[[], Callab
             arrays = own + [pa.array(x, t) for x, t in zip(found, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema.fields])
 
-    return df.select(*[f"`{c}`" for c in names]).mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in names]).mapInArrow(released(run), schema)

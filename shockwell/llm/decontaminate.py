@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shockwell.llm.batches import ARROW, append_columns, fresh
+from shockwell.llm.batches import ARROW, append_columns, fresh, released
 from shockwell.llm.fmindex import FMIndex
 from shockwell.llm.scratch import materialise
 
@@ -233,7 +233,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     own = docs.drop(*FOUND)
     if passes == 1:
         schema = T.StructType(own.schema.fields + T._parse_datatype_string(", ".join(f"{c} {t}" for c, t in FOUND.items())).fields)
-        return own.mapInArrow(_search(phrases(0), shard_words, own.columns.index(text_col), False), schema)
+        return own.mapInArrow(released(_search(phrases(0), shard_words, own.columns.index(text_col), False)), schema)
     a, b, *held = fresh(own, "text_a", "text_b", "held_starts", "held_ends", "held_items")
     keyed = own.withColumns({a: F.xxhash64(F.lit(11), text_col), b: F.xxhash64(F.lit(12), text_col)})
     hits = _hits(keyed, passes, phrases, shard_words, text_col, [a, b]).toDF(a, b, *held)
@@ -245,7 +245,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
     """`docs` with the contaminated spans, as in `find_contamination`, cut from its texts; all rows and columns stay."""
     passes, phrases = _passes(benchmark, item_col, window, pass_bytes)
     if passes == 1:
-        return docs.mapInArrow(_search(phrases(0), shard_words, docs.columns.index(text_col), True), docs.schema)
+        return docs.mapInArrow(released(_search(phrases(0), shard_words, docs.columns.index(text_col), True)), docs.schema)
     row = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = find_contamination(row, benchmark, window, shard_words, pass_bytes, item_col=item_col)
 

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shockwell.llm.components import connected_components
+from shockwell.llm.hot import join_hot
 from shockwell.llm.scratch import discard, materialise
 
 #: Neighbours a list holds at first and at most; a saturated list doubles. Vectors in one local join; random orders at the start.
 FIRST_LIST, LARGEST_LIST, JOIN_SIZE, ORDERS = 6, 24, 32, 6
+#: Numbers in one comparison of runs.
+COMPARED = 1 << 20
 #: Vectors in a block of the exact comparison inside groups; vectors of the audit.
 BLOCK, AUDITED = 1024, 256
 #: Rounds at most, the share of changed neighbours that ends them, and the audit's recall below which they go on.
@@ -61,23 +64,52 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _closest(node: np.ndarray, bar: np.ndarray, cosine: np.ndarray, most: int) -> pd.DataFrame:
-    """(node, other, cosine): for each row the largest cosines over its bar, at most `most`, without itself."""
-    cosine = np.where(node[:, None] == node[None, :], -2.0, cosine)
-    k = min(most, len(node))
-    best = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < len(node) else np.tile(np.arange(len(node)), (len(node), 1))
-    row = np.repeat(np.arange(len(node)), best.shape[1])
-    col = best.ravel()
-    value = cosine[row, col]
-    ok = (value > bar[row]) & (value > -2.0)
-    return pd.DataFrame({"node": node[row[ok]], "other": node[col[ok]], "cosine": value[ok]})
+def _compared(vectors: np.ndarray, node: np.ndarray, bar: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> pd.DataFrame | None:
+    """(node, other, cosine): in each run of rows start .. start + size every row's largest cosines with the others over its
+    bar, at most `most`. Runs of one size are compared together; vectors in a run have one length."""
+    out = []
+    length = np.fromiter(map(len, vectors), np.int64, len(vectors))
+    for d in np.unique(length[start]) if len(start) else ():
+        rows = np.flatnonzero(length == d)
+        x = np.empty((len(vectors), d))
+        x[rows] = unit(vectors[rows])
+        own = length[start] == d
+        for m in np.unique(size[own & (size > 1)]).tolist():
+            first = start[own & (size == m)]
+            step = max(1, COMPARED // (m * (m + int(d))))
+            for k in range(0, len(first), step):
+                at = first[k : k + step, None] + np.arange(m)
+                part = x[at]
+                cosine = part @ part.transpose(0, 2, 1)
+                alone = node[at][:, :, None] == node[at][:, None, :]
+                cosine[alone] = -2.0
+                best = np.argpartition(-cosine, most - 1, axis=2)[:, :, :most] if m > most else np.broadcast_to(np.arange(m), cosine.shape)
+                value = np.take_along_axis(cosine, best, axis=2)
+                g, i, j = np.nonzero((value > bar[at][:, :, None]) & (value > -2.0))
+                out.append((node[at[g, i]], node[at[g, best[g, i, j]]], value[g, i, j]))
+    if not out:
+        return None
+    found = pd.DataFrame(dict(zip(("node", "other", "cosine"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+    return found
 
 
-def _join(rows: pd.DataFrame) -> pd.DataFrame | None:
-    if len(rows) < 2:
-        return None
-    x = unit(rows["vec"].to_numpy())
-    return _closest(rows["node"].to_numpy(), rows["bar"].to_numpy(), x @ x.T, LARGEST_LIST)
+def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Local joins: rows come sorted by at and deal, and those that share both meet."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        at, deal = rows["at"].to_numpy(), rows["deal"].to_numpy()
+        start = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (deal[1:] != deal[:-1]))))
+        held = rows.iloc[start[-1] :]
+        found = _compared(rows["vec"].to_numpy(), rows["node"].to_numpy(), rows["bar"].to_numpy(), start[:-1], np.diff(start), LARGEST_LIST)
+        if found is not None:
+            yield found
+    if held is not None:
+        found = _compared(held["vec"].to_numpy(), held["node"].to_numpy(), held["bar"].to_numpy(), np.zeros(1, np.int64), np.array([len(held)]), LARGEST_LIST)
+        if found is not None:
+            yield found
 
 
 def _orders(seed: int, orders: int):
@@ -99,21 +131,20 @@ def _orders(seed: int, orders: int):
 
 def _neighbours_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by label, order and signs: runs of JOIN_SIZE are compared, each overlapping half of the last."""
-    held = None
+    held, half = None, JOIN_SIZE // 2
     for batch in batches:
         rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
         if not len(rows):
             continue
-        out = []
-        for start in range(0, len(rows), JOIN_SIZE // 2):
-            run = rows.iloc[start : start + JOIN_SIZE]
-            for _, part in run.groupby([run["label"], run["turn"], run["vec"].map(len)], sort=False):
-                if len(part) > 1:
-                    x = unit(part["vec"].to_numpy())
-                    out.append(_closest(part["node"].to_numpy(), np.full(len(part), -2.0), x @ x.T, FIRST_LIST))
-        held = rows.iloc[-(JOIN_SIZE // 2) :]
-        if out:
-            yield pd.concat(out, ignore_index=True)
+        vectors, label, turn = (rows[c].to_numpy() for c in ("vec", "label", "turn"))
+        length = np.fromiter(map(len, vectors), np.int64, len(vectors))
+        edge = np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (turn[1:] != turn[:-1]) | (length[1:] != length[:-1]), [True])))
+        start = np.concatenate([np.arange(a, max(a + 1, b - half), half) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)])
+        end = edge[np.searchsorted(edge, start, side="right")]
+        held = rows.iloc[-half:]
+        found = _compared(vectors, rows["node"].to_numpy(), np.full(len(rows), -2.0), start, np.minimum(end - start, JOIN_SIZE), FIRST_LIST)
+        if found is not None:
+            yield found
 
 
 def _lists(edges: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -142,7 +173,7 @@ def _descend(graph: DataFrame, nodes: DataFrame, states: DataFrame, turn: int, p
     own = counts.select("at", F.col("at").alias("node"), F.explode(F.sequence(F.lit(0), F.col("joins") - 1)).alias("deal"))
     known = nodes.select("node", "vec").join(states, "node")
     meeting = dealt.union(own).join(known, "node").select("at", "deal", "node", "bar", "vec")
-    return meeting.repartition(parts, "at", "deal").sortWithinPartitions("at", "deal").mapInPandas(_by_group(["at", "deal"], _join), "node long, other long, cosine double")
+    return meeting.repartition(parts, "at", "deal").sortWithinPartitions("at", "deal").mapInPandas(_meetings, "node long, other long, cosine double")
 
 
 def _count_links(threshold: float):
@@ -291,8 +322,10 @@ def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.93, seed: int
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("name"), F.col(vector_col).cast("array<double>").alias("vec"))
     sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     usable = F.coalesce(F.col("id").isNotNull() & F.col("name").isNotNull() & sound, F.lit(False))
+    mark = F.struct(F.xxhash64(F.lit(1), "name", "vec").alias("a"), F.xxhash64(F.lit(2), "vec", "name").alias("b")).alias("mark")  # of 128 bits
+    marked = materialise(rows.where(usable).select("id", mark), "marks")
     grouped = rows.where(usable).groupBy("name", "vec").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
-    nodes = materialise(grouped.select("name", F.xxhash64("name").alias("label"), "vec", "copies", "first", F.monotonically_increasing_id().alias("node")), "vectors")
+    nodes = materialise(grouped.select(mark, F.xxhash64("name").alias("label"), "vec", "copies", "first", F.monotonically_increasing_id().alias("node")), "vectors")
     sizes = nodes.select("node", F.lit(FIRST_LIST).alias("size"))
 
     def start(turn: int) -> DataFrame:
@@ -336,10 +369,12 @@ def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.93, seed: int
             break
     else:
         groups, counts, audit = compared(nodes.select("node"), groups)
-    named = nodes.select("name", "vec", "node", "copies", "first").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if audit.recall < WANTED:
+            raise RuntimeError(f"recall {audit.recall:.3f} after an exact comparison")
+    named = nodes.select("mark", "node", "copies", "first").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    whole = named.join(least, "component").select("name", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    linked = rows.where(usable).join(whole, ["name", "vec"]).select("id", "n_links", "component_id")
+    whole = materialise(named.join(least, "component").select("mark", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "whole")
+    linked = join_hot(marked, whole, "mark", "copies", marked.count()).select("id", "n_links", "component_id")
     alone = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), audit

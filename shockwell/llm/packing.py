@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shockwell.llm.batches import ARROW, ROWS, local_table
+from shockwell.llm.batches import ARROW, ROWS, local_table, released
 from shockwell.llm.scratch import materialise
 from shockwell.llm.tokens import default_tokenizer, encoder
 
@@ -78,7 +78,7 @@ def pack_documents(docs: DataFrame, room: int = 2048, end_id: int = 1, tokenizer
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     names = list(PIECE)[: len(PIECE) - (not keep_ids)]
-    pieces = materialise(rows.mapInArrow(_pieces(path, end_id, room, names), ", ".join(f"{c} {PIECE[c]}" for c in names)), "pieces")
+    pieces = materialise(rows.mapInArrow(released(_pieces(path, end_id, room, names)), ", ".join(f"{c} {PIECE[c]}" for c in names)), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places, used, first = [], defaultdict(int), 0
     for times, lengths in shortest_pack_first(counts, room):

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockwell.llm.batches import append_columns, local_table
+from shockwell.llm.batches import append_columns, local_table, released
 from shockwell.llm.labelled import MOST_TRAINING_ROWS, training_rows
 from shockwell.llm.scratch import discard, materialise
 from shockwell.llm.words import Memory, distinct, parts_of
@@ -275,7 +275,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: i
     """
     spark = docs.sparkSession
     sample = training_rows(docs, labels, label, folds, held_out, most_rows, id_col, text_col)
-    seen = materialise(sample.withColumn("id", F.xxhash64("id")).mapInPandas(_units_of, "id long, label int, units array<string>"), "units")
+    seen = materialise(sample.withColumn("id", F.xxhash64("id")).mapInPandas(released(_units_of), "id long, label int, units array<string>"), "units")
     fit = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(3)) != 0
     words = seen.where(fit).select("id", "label", F.explode("units").alias("unit"))
     counts = materialise(words.groupBy("unit").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")), "words")
@@ -307,7 +307,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: i
     bad = local_table(spark, "unit string", [(u,) for u in positives])
     more = bad.mapInPandas(variants, "unit string").distinct().join(clean, "unit", "left_anti")
     rows = bad.select("unit", F.lit(1).alias("y"), F.lit(20.0).alias("cost")).union(more.select("unit", F.lit(1), F.lit(2.0))).union(clean.select("unit", F.lit(-1), F.lit(1.0)))
-    examples = materialise(rows.mapInPandas(mapped, "x binary, y int, cost double"), "examples")
+    examples = materialise(rows.mapInPandas(released(mapped), "x binary, y int, cost double"), "examples")
     size = marks.root.shape[1] + 1
 
     def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -247,3 +247,19 @@ def test_pipeline_keeps_rows_and_columns_apart(spark, folder):
             out = stage(spark, docs, folder[0])
             assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString(), name
             assert all(r.kept_text == r.n_lines == r.toxicity_score == r.first == r.row == "x" for r in out.collect()), name
+
+
+def test_components_of_many_chunks(spark, monkeypatch):
+    from shockwell.llm import components
+
+    monkeypatch.setattr(components, "CHUNK", 7)
+    r = random.Random(8)
+    edges = [(k, k + 1) for k in range(40)] + [(r.randint(50, 150), r.randint(50, 150)) for _ in range(60)] + [(200, 200), (None, 3)]
+    root = list(range(201))
+    for a, b in edges:
+        if a is not None:
+            x, y = sorted((root[a], root[b]))
+            root = [x if z == y else z for z in root]
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(3)).collect()}
+    touched = {x for a, b in edges if a is not None and a != b for x in (a, b)}
+    assert got == {k: root[k] for k in touched}
