@@ -104,8 +104,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: in
 
     The cut is the quantile of the training utilities at the share of label 0; a text there scores `threshold`. The
     slope is that of a logistic curve through the training labels. Without both labels every text scores `threshold`.
+    Of an id with several texts one takes part; rows without id, text or label take none; other columns are ignored.
     """
-    rows = training_rows(docs, labels, label, folds, held_out, most_rows).mapInPandas(_features_of, "id long, label int, x array<double>").toPandas().sort_values("id")
+    rows = training_rows(docs, labels, label, folds, held_out, most_rows).withColumn("id", F.xxhash64("id")).mapInPandas(_features_of, "id long, label int, x array<double>").toPandas().sort_values("id")
     x, y = np.array(rows["x"].tolist(), float).reshape(-1, N_FEATURES), rows["label"].to_numpy()
     if not (y == 1).any() or not (y == 0).any():
         one = np.ones(N_FEATURES)
@@ -133,7 +134,7 @@ def _slope(u: np.ndarray, y: np.ndarray) -> float:
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
     """All columns of `docs` with quality_score (0 to 1) of each whole text.
 
-    Null and empty texts score like a text whose features are all 0. Equal texts get equal scores; an empty table gives
+    Null and empty texts score like a text whose features are all 0; long ones are read whole. Equal texts get equal scores; an empty table gives
     no rows. A column named quality_score is replaced.
     """
 

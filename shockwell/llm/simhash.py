@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockwell.llm.components import connected_components
+from shockwell.llm.hot import join_hot
 from shockwell.llm.scratch import materialise
 
 #: Fingerprints that a bucket holds at most before it is split.
@@ -171,14 +172,14 @@ def simhash_groups(docs: DataFrame, distance: int = 4, words_per_shingle: int =
     only edges that span its groups leave it, never all pairs. Shingle words are 4 here because the query's contract
     says so.
 
-    Null or empty text has fingerprint 0 and links like any other. Null id: the row keeps its fingerprint and takes its
+    Null or empty text has fingerprint 0 and links like any other; long texts are read whole. Null id: the row keeps its fingerprint and takes its
     group's smallest id. Repeated ids are separate rows. An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     prints = materialise(rows.mapInPandas(_fingerprints(words_per_shingle), "id long, fp long"), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     groups = connected_components(fingerprint_links(nodes, distance, blocks))
-    named = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    named = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "first", "copies", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    whole = named.join(least, "component").select("fp", "component_id")
-    return prints.join(whole, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    whole = materialise(named.join(least, "component").select("fp", "copies", "component_id"), "whole")
+    return join_hot(prints, whole, "fp", "copies", prints.count()).select(F.col("id").alias(id_col), "fp", "component_id")
