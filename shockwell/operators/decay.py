@@ -454,7 +454,7 @@ def _named(model: str, p: np.ndarray) -> dict[str, float]:
 
 
 #: Steps of the search at most, and those in a row without a gain that end it.
-STEPS, IDLE = 60, 8
+STEPS, IDLE = 30, 5
 
 
 class _Search:
