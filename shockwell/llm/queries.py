@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shockwell.functions.storage import shared_dir
+from shockwell.llm.alignment import align_tokenizers
 from shockwell.llm.decontaminate import find_contamination
 from shockwell.llm.labelled import fold
 from shockwell.llm.lines import drop_shared_lines
@@ -130,6 +131,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"))[0]
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
     return mine_hard_negatives(rows, F.col("vec_id") % 100 == 0)
@@ -159,6 +164,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_shared_lines": op9_shared_lines,
         "op10_toxicity": op10_toxicity,
+        "op11_alignment": op11_alignment,
         "op12_hard_negatives": op12_hard_negatives,
     }
 

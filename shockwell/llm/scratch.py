@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from shockwell.functions.storage import shared_dir
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+def materialise(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
