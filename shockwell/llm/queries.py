@@ -16,6 +16,7 @@ from shockwell.llm.lines import drop_shared_lines
 from shockwell.llm.negatives import mine_hard_negatives
 from shockwell.llm.neighbours import near_duplicate_groups
 from shockwell.llm.packing import pack_documents
+from shockwell.llm.passages import remove_passages
 from shockwell.llm.quality import fit_quality, score_quality
 from shockwell.llm.repeats import remove_repeats
 from shockwell.llm.shards import shuffle_to_shards
@@ -152,6 +153,24 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 """
 
 
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_passages(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13),
+g AS (SELECT doc_id, s, array_to_string(list_slice(w, s, s + 12), ' ') AS words FROM s),
+e AS (SELECT words, min(doc_id) AS earliest FROM g GROUP BY words),
+h AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS at FROM g JOIN e USING (words) WHERE earliest < doc_id),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.at) AS kept, count(*) AS n FROM p LEFT JOIN h ON p.doc_id = h.doc_id AND p.at = h.at WHERE h.at IS NULL GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -166,8 +185,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10_toxicity,
         "op11_alignment": op11_alignment,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_passages": op13_passages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op9_shared_lines": OP9_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op5_decontamination": OP5_SQL, "op9_shared_lines": OP9_SQL, "op12_hard_negatives": OP12_SQL, "op13_passages": OP13_SQL}
