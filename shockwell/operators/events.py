@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shockwell.functions.columns import quantile, rolling, series
+from shockwell.functions.sketches import sketched_thresholds
 
 
-def suppressed(df: DataFrame, score: str, q: float, cooldown: int) -> DataFrame:
+def suppressed(df: DataFrame, score: str, q: float, cooldown: int, sketch: int | None = None) -> DataFrame:
     """Rows at or above the asset's q-quantile of `score` that keep more than `cooldown` bars from every stronger one kept.
 
     Candidates are taken from the strongest down, ties from the earliest; the fold over an asset's candidates is one
-    expression. Adds threshold and event_id, which counts the kept rows of an asset from 0 in the order of time.
+    expression. Adds threshold and event_id, which counts the kept rows of an asset from 0 in the order of time. With
+    `sketch`, a size, the quantile comes from a sketch (a rank off by `rank_error(sketch)`), which combines before the shuffle.
     """
     if not 0.5 < q < 1 or cooldown < 0:
         raise ValueError("the quantile must be above 0.5 and below 1, cooldown not negative")
-    bars = df.groupBy("asset").agg(quantile(score, q).alias("threshold"))
+    bars = df.groupBy("asset").agg(quantile(score, q).alias("threshold")) if sketch is None else sketched_thresholds(df, score, ["asset"], q, sketch).drop("n")
     hot = df.join(bars, "asset").where(F.col(score) >= F.col("threshold"))
     order = hot.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), "pos"))).alias("c"))
     kept = F.aggregate("c", F.array().cast("array<int>"), lambda acc, x: F.when(F.exists(acc, lambda p: F.abs(p - x["pos"]) <= cooldown), acc).otherwise(F.concat(acc, F.array(x["pos"]))))
@@ -30,9 +32,9 @@ def direction(returns: str):
     return F.when(F.col(returns) < 0, "negative").when(F.col(returns) > 0, "positive").otherwise("zero")
 
 
-def volatility_shocks(diagnostics: DataFrame, returns: str = "close_return", q: float = 0.95, cooldown: int = 10) -> DataFrame:
+def volatility_shocks(diagnostics: DataFrame, returns: str = "close_return", q: float = 0.95, cooldown: int = 10, sketch: int | None = None) -> DataFrame:
     """Events with direction, share of the overnight gap and what dominated."""
-    rows = suppressed(diagnostics, "shock_score", q, cooldown)
+    rows = suppressed(diagnostics, "shock_score", q, cooldown, sketch)
     total = F.col("overnight_gap_squared") + F.col("intraday_rs")
     rows = rows.withColumn("direction", direction(returns)).withColumn("gap_share", F.when(total > 0, F.col("overnight_gap_squared") / total))
     return rows.withColumn("source", F.when(F.col("gap_share") >= 0.67, "overnight-dominated").when(F.col("gap_share") <= 0.33, "intraday-dominated").otherwise("mixed"))

@@ -47,6 +47,13 @@ def with_history(df: DataFrame, variance: str) -> DataFrame:
     return rows.withColumn("history", F.when(F.size("history") == MONTH, F.col("history")))
 
 
+def with_raw_history(df: DataFrame, variance: str, name: str = "raw_history") -> DataFrame:
+    """`df` with the variances of the last 22 bars before each one, null if one of them is missing or not positive."""
+    own = F.when(~F.isnan(variance), F.col(variance))
+    recent = F.collect_list(own).over(series().rowsBetween(-MONTH, -1))
+    return df.withColumn(name, recent).withColumn(name, F.when((F.size(name) == MONTH) & (F.array_min(name) > 0), F.col(name)))
+
+
 def _mean_last(history: Column, n: int) -> Column:
     return F.aggregate(F.slice(history, -n, n), F.lit(0.0), lambda a, x: a + x) / n
 
@@ -54,15 +61,15 @@ def _mean_last(history: Column, n: int) -> Column:
 def log_forecast(history: Column) -> Column:
     """Coefficients times the state of a history of at least 22 positive values: the median path's next logarithm."""
     parts = (F.element_at(history, -1), _mean_last(history, 5), _mean_last(history, MONTH))
-    return F.col("har_const") + sum((F.col(c) * F.ln(x) for c, x in zip(COEFFICIENTS[1:4], parts, strict=True)), F.lit(0.0))
+    return F.col("har_const") + sum((F.col(c) * F.ln(x + EPSILON) for c, x in zip(COEFFICIENTS[1:4], parts, strict=True)), F.lit(0.0))
 
 
 def recursive_path(history: Column, periods: int, smearing: bool = False) -> Column:
     """The next `periods` variances if nothing happens, each feeding the next: conditional medians, or means with `smearing`."""
 
     def step(acc: Column, _: Column) -> Column:
-        x = F.exp(clip(log_forecast(acc), -40.0, 20.0)) * F.col("har_smearing") if smearing else F.exp(log_forecast(acc))
-        return F.concat(acc, F.array(x))
+        x = F.exp(clip(log_forecast(acc), -40.0, 20.0))
+        return F.concat(acc, F.array(x * F.col("har_smearing") if smearing else x))
 
     return F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(periods)), history, step), MONTH + 1, periods)
 

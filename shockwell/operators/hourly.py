@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shockwell.functions.columns import MAD_QUANTILE, average_rank, clip, divide, median, quantile, quantile_bucket, rolling, series, trailing
+from shockwell.functions.sketches import sketched_thresholds
+from shockwell.operators.quality import prepared_hourly
 from shockwell.operators.events import greedy_in_time, near_events
 
 
@@ -14,16 +16,25 @@ def _hours():
     return Window.partitionBy("asset", "hour").orderBy("pos")
 
 
-def standardised(rows: DataFrame, window: int = 252, least: int = 80, bound: float = 8.0, strict_past: bool = False) -> DataFrame:
+def prepared_asset(candles: DataFrame, first_hour: int = 10, last_hour: int = 18, window: int = 252, least: int = 80) -> DataFrame:
+    """Hourly candles, cleaned and dated as `prepared_hourly` does, with their standardised returns."""
+    return standardised(prepared_hourly(candles, first_hour, last_hour), window, least)
+
+
+def standardised(rows: DataFrame, window: int = 252, least: int = 80, bound: float = 8.0, strict_past: bool = False, sketch: int | None = None) -> DataFrame:
     """Returns over a scale known before them, by clock hour: a rolling MAD, then a rolling root mean square.
 
     Bars without enough history take the hour's MAD over all bars, which looks ahead; `strict_past` leaves them null.
-    A scale of 0 gives no standardised value.
+    A scale of 0 gives no standardised value. With `sketch`, a size, the hour's median over all bars comes from a sketch.
     """
     df = rows.withColumn("absolute_return", F.abs("log_return_oc"))
     past = rolling(median, "absolute_return", -window, -1, least, _hours()) / MAD_QUANTILE
-    rest = F.greatest(median("absolute_return").over(Window.partitionBy("asset", "hour")) / MAD_QUANTILE, F.lit(1e-8))
-    df = df.withColumn("scale_mad", past if strict_past else F.coalesce(past, rest))
+    whole = median("absolute_return").over(Window.partitionBy("asset", "hour"))
+    if sketch is not None:
+        df = df.join(sketched_thresholds(df, "absolute_return", ["asset", "hour"], 0.5, sketch).select("asset", "hour", F.col("threshold").alias("_whole")), ["asset", "hour"], "left")
+        whole = F.col("_whole")
+    rest = F.greatest(whole / MAD_QUANTILE, F.lit(1e-8))
+    df = df.withColumn("scale_mad", past if strict_past else F.coalesce(past, rest)).drop("_whole")
     df = df.withColumn("preliminary_z", divide("log_return_oc", "scale_mad"))
     df = df.withColumn("_square", F.pow(clip("preliminary_z", -5.0, 5.0), F.lit(2.0)))
     df = df.withColumn("rms_correction", clip(F.coalesce(F.sqrt(rolling(F.avg, "_square", -window, -1, least, _hours())), F.lit(1.0)), 0.5, 3.0)).drop("_square")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from shockwell.functions.columns import ANNUAL, EPSILON, MAD_SCALE, clip, divide, hash_draw, median, quantile, rolling, series
 from shockwell.functions.numeric import normal_p, ols_hac
 from shockwell.operators.events import indicators, near_events
-from shockwell.operators.har import har_design, recursive_path
+from shockwell.operators.har import har_design, recursive_path, with_raw_history
 
 FEATURES = ["forecast_log_variance", "log_daily", "log_weekly", "log_monthly", "pretrend"]
 
@@ -35,18 +35,25 @@ def _abnormal(rows: DataFrame, method: str) -> DataFrame:
     return rows.withColumn("abnormal_excess_variance", F.expm1("abnormal_log_variance")).withColumn("method", F.lit(method))
 
 
-def counterfactual_paths(diagnostics: DataFrame, events: DataFrame, window: int = 5, post: int = 30, stride: int = 1, smearing: bool = False) -> DataFrame:
+def counterfactual_paths(diagnostics: DataFrame, events: DataFrame, window: int = 5, post: int = 30, stride: int = 1, smearing: bool = False, variance: str = "variance_proxy") -> DataFrame:
     """Mean variance of `window` bars from each offset on, against the recursive forecast from the bars before the event.
 
-    Without `smearing` the path is the conditional median; with it, the mean. An event counts only if all offsets do.
+    Without `smearing` the path is the conditional median; bars without a positive variance_proxy count as missing: the
+    history skips them, and a window that holds one is left out. With it the path is the mean over the bars of `variance` as
+    they are: an event with a missing or nonpositive one among the 22 before it has no path, and a window is left out if one
+    of its bars is missing or its mean isn't positive. An event counts only if all offsets do.
     """
     if min(window, post, stride) < 1:
         raise ValueError("window, post and stride must be positive")
-    usable = events.join(_lengths(diagnostics), "asset").where((F.col("pos") >= 22) & (F.col("pos") + post + window < F.col("n")) & F.col("history").isNotNull() & F.col("har_const").isNotNull())
-    paths = usable.withColumn("path", recursive_path(F.col("history"), post + window + 1, smearing))
+    history = "raw_history" if smearing else "history"
+    if smearing:
+        raw = with_raw_history(diagnostics, variance).select("asset", "pos", "raw_history")
+        events = events.drop("raw_history").join(raw, ["asset", "pos"])
+    usable = events.join(_lengths(diagnostics), "asset").where((F.col("pos") >= 22) & (F.col("pos") + post + window < F.col("n")) & F.col(history).isNotNull() & F.col("har_const").isNotNull())
+    paths = usable.withColumn("path", recursive_path(F.col(history), post + window + 1, smearing))
     offsets = paths.select("asset", "event_id", F.col("begin").alias("event_timestamp"), "direction", "shock_score", "pos", "path", F.explode(F.sequence(F.lit(1), F.lit(post), F.lit(stride))).alias("offset"))
     expected = F.aggregate(F.slice("path", F.col("offset") + 1, window), F.lit(0.0), lambda a, x: a + x) / window
-    actual = diagnostics.select("asset", "pos", forward_mean("variance_proxy", 0, window).alias("actual_variance"))
+    actual = diagnostics.select("asset", "pos", forward_mean(variance if smearing else "variance_proxy", 0, window).alias("actual_variance"))
     rows = offsets.withColumn("counterfactual_variance", expected).withColumn("pos", F.col("pos") + F.col("offset")).drop("path").join(actual, ["asset", "pos"]).drop("pos")
     return _complete(_abnormal(rows, "har_conditional_mean" if smearing else "har_conditional_median"), len(range(1, post + 1, stride)))
 

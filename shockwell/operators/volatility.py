@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shockwell.functions.columns import ANNUAL, average_rank, clip, divide, ln_positive, median, quantile, rolling, series, trailing
+from shockwell.functions.sketches import sketch_quantile
 from shockwell.operators.quality import after_long_gap
 
 PROXIES = ["close_to_close", "parkinson", "garman_klass", "rogers_satchell", "gap_rogers_satchell", "yang_zhang_contribution"]
@@ -121,10 +122,16 @@ def proxy_correlations(df: DataFrame, names: list[str] = PROXIES) -> DataFrame:
     return ranked.groupBy("asset", "a", "b").agg(F.corr("rx", "ry").alias("rho"))
 
 
-def proxy_disagreement(df: DataFrame, top: int = 20, names: list[str] = PROXIES) -> DataFrame:
-    """Each asset's `top` bars whose proxies, relative to their medians, differ most; earlier bars win ties."""
+def proxy_disagreement(df: DataFrame, top: int = 20, names: list[str] = PROXIES, sketch: int | None = None) -> DataFrame:
+    """Each asset's `top` bars whose proxies, relative to their medians, differ most; earlier bars win ties. With `sketch`, a
+    size, the medians come from sketches of the bars, all in one aggregation, instead of a sort of each asset's values."""
     group = Window.partitionBy("asset")
-    mids = df.withColumns({f"_m{k}": median(n).over(group) for k, n in enumerate(names)})
+    if sketch is None:
+        mids = df.withColumns({f"_m{k}": median(n).over(group) for k, n in enumerate(names)})
+    else:
+        sketches = df.groupBy("asset").agg(*[F.kll_sketch_agg_double(n, F.lit(sketch)).alias(f"_k{k}") for k, n in enumerate(names)])
+        own = [F.when(F.kll_sketch_get_n_double(f"_k{k}") > 0, sketch_quantile(f"_k{k}", 0.5)).alias(f"_m{k}") for k in range(len(names))]
+        mids = df.join(sketches.select("asset", *own), "asset")
     rel = [F.when(F.col(f"_m{k}") != 0, F.col(n) / F.col(f"_m{k}")) for k, n in enumerate(names)]
     df = mids.withColumn("disagreement", F.greatest(*rel) - F.least(*rel)).drop(*[f"_m{k}" for k in range(len(names))])
     rank = F.row_number().over(group.orderBy(F.desc_nulls_last("disagreement"), "pos"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from shockwell.plans import daily, fits, hourly, panels, shocks
+from shockwell.plans import daily, fits, hourly, ingest, panels, shocks
 from shockwell.plans.registry import Query, Registry
 
 
 @lru_cache(maxsize=1)
 def registry() -> Registry:
     r = Registry()
-    for part in (daily, shocks, hourly, fits, panels):
+    for part in (daily, shocks, hourly, fits, panels, ingest):
         part.register(r)
     return r
 

@@ -11,7 +11,7 @@ from shockwell.sources import candles
 
 #: Coefficients for queries that SQL checks; the fitted ones are tested against least squares in numpy.
 FIXED = {"har_const": -0.5, "har_daily": 0.2, "har_weekly": 0.3, "har_monthly": 0.4, "har_smearing": 1.3}
-FORECAST = "-0.5 + 0.2 * ln({h}[-1]) + 0.3 * ln(list_avg({h}[-5:])) + 0.4 * ln(list_avg({h}[-22:]))"
+FORECAST = "greatest(least(-0.5 + 0.2 * ln({h}[-1] + 1e-12) + 0.3 * ln(list_avg({h}[-5:]) + 1e-12) + 0.4 * ln(list_avg({h}[-22:]) + 1e-12), 20), -40)"
 #: The operators' own numbers of bootstrap draws.
 SAMPLES, HORIZON_SAMPLES = 500, 2000
 
@@ -20,12 +20,12 @@ def greedy(group: str) -> str:
     return f"list_reduce(list_transform({group}, lambda c: [c]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda p: abs(p - x[1]) <= 10)) > 0 THEN acc ELSE list_concat(acc, x) END)"
 
 
-def event_sql(source: str, score: str) -> str:
+def event_sql(source: str, score: str, fn: str = "quantile_cont") -> str:
     """Greedy suppression: candidates by falling score, cooldown 10, quantile 0.95."""
     return f"""SELECT *, row_number() OVER (PARTITION BY asset ORDER BY pos) - 1 AS event_id FROM
-      (SELECT s.*, b.threshold FROM {source} s JOIN (SELECT asset, quantile_cont({score}, 0.95) AS threshold FROM {source} GROUP BY 1) b USING (asset)) e
+      (SELECT s.*, b.threshold FROM {source} s JOIN (SELECT asset, {fn}({score}, 0.95) AS threshold FROM {source} GROUP BY 1) b USING (asset)) e
       SEMI JOIN (SELECT asset, unnest({greedy('ps')}) AS pos FROM (SELECT c.asset, list(c.pos ORDER BY c.{score} DESC, c.pos) AS ps FROM {source} c
-        JOIN (SELECT asset, quantile_cont({score}, 0.95) AS threshold FROM {source} GROUP BY 1) b ON c.asset = b.asset AND c.{score} >= b.threshold GROUP BY 1)) k ON e.asset = k.asset AND e.pos = k.pos"""
+        JOIN (SELECT asset, {fn}({score}, 0.95) AS threshold FROM {source} GROUP BY 1) b ON c.asset = b.asset AND c.{score} >= b.threshold GROUP BY 1)) k ON e.asset = k.asset AND e.pos = k.pos"""
 
 
 def register(r: Registry) -> None:
@@ -58,11 +58,13 @@ def register(r: Registry) -> None:
     r.cte("paths", f"""SELECT e.asset, e.event_id, e.pos, e.direction, e.shock_score, list_reduce(list_concat([e.history], list_transform(range(36), lambda i: [0.0])), lambda acc, x: list_append(acc, exp({FORECAST.format(h='acc')}))) AS path
       FROM shocks e JOIN lengths l USING (asset) WHERE e.pos >= 22 AND e.pos + 35 < n AND e.history IS NOT NULL""")
     smear = f"exp({FORECAST.format(h='acc')}) * 1.3"
-    r.cte("mean_paths", f"""SELECT e.asset, e.event_id, e.pos, e.direction, e.shock_score, list_reduce(list_concat([e.history], list_transform(range(36), lambda i: [0.0])), lambda acc, x: list_append(acc, {smear})) AS path
-      FROM shocks e JOIN lengths l USING (asset) WHERE e.pos >= 22 AND e.pos + 35 < n AND e.history IS NOT NULL""")
-    for name, source in (("median_response", "paths"), ("mean_response", "mean_paths")):
+    r.cte("raw_histories", f"SELECT asset, pos, CASE WHEN list_min(h) > 0 THEN h END AS raw_history FROM (SELECT asset, pos, {full('list', 'q', -22, -1)} AS h FROM diag)")
+    r.cte("raw_ahead", f"SELECT asset, pos, {full('avg', 'q', 0, 4)} AS v FROM diag")
+    r.cte("mean_paths", f"""SELECT e.asset, e.event_id, e.pos, e.direction, e.shock_score, list_reduce(list_concat([h.raw_history], list_transform(range(36), lambda i: [0.0])), lambda acc, x: list_append(acc, {smear})) AS path
+      FROM shocks e JOIN lengths l USING (asset) JOIN raw_histories h ON h.asset = e.asset AND h.pos = e.pos WHERE e.pos >= 22 AND e.pos + 35 < n AND h.raw_history IS NOT NULL""")
+    for name, source, ahead in (("median_response", "paths", "ahead"), ("mean_response", "mean_paths", "raw_ahead")):
         r.cte(name, f"""SELECT *, exp(abnormal_log_variance) - 1 AS abnormal_excess_variance FROM (SELECT p.asset, p.event_id, p.direction, p.shock_score, o.k AS "offset", a.v AS actual_variance, list_avg(p.path[22 + o.k + 1 : 22 + o.k + 5]) AS counterfactual_variance,
-          ln(a.v / list_avg(p.path[22 + o.k + 1 : 22 + o.k + 5])) AS abnormal_log_variance FROM {source} p CROSS JOIN (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS k) o JOIN ahead a ON a.asset = p.asset AND a.pos = p.pos + o.k WHERE a.v > 0)
+          ln(a.v / list_avg(p.path[22 + o.k + 1 : 22 + o.k + 5])) AS abnormal_log_variance FROM {source} p CROSS JOIN (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS k) o JOIN {ahead} a ON a.asset = p.asset AND a.pos = p.pos + o.k WHERE a.v > 0)
           QUALIFY count(*) OVER (PARTITION BY asset, event_id) = 30""")
     feats = "forecast_log_variance log_daily log_weekly log_monthly pretrend".split()
     r.cte("features", "SELECT asset, pos, begin, shock_score, forecast_log_variance, h_daily AS log_daily, h_weekly AS log_weekly, h_monthly AS log_monthly, CASE WHEN past_energy > 0 THEN past_total / sqrt(past_energy) END AS pretrend FROM diag")
@@ -117,7 +119,7 @@ def register(r: Registry) -> None:
     resp = "actual_variance counterfactual_variance abnormal_log_variance abnormal_excess_variance"
     rk = "asset event_id direction offset"
     median_paths = with_events(responses.counterfactual_paths)
-    r.add("r1_mean_counterfactual", rk, resp, with_events(lambda a, e: responses.counterfactual_paths(a, e, smearing=True)), "SELECT * FROM mean_response", digits=7)
+    r.add("r1_mean_counterfactual", rk, resp, with_events(lambda a, e: responses.counterfactual_paths(a, e, smearing=True, variance=q)), "SELECT * FROM mean_response", digits=7)
     r.add("r2_median_counterfactual", rk, resp, median_paths, "SELECT * FROM median_response", digits=7)
     r.add("r3_event_features", key, " ".join(feats), lambda s, d: responses.event_features(diag(s, d), energy=q), "SELECT * FROM features", digits=7)
     match = with_events(lambda a, e: responses.matched_controls(a, e, energy=q))
