@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,3 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "shockwell-checkpoints"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder, read back: its lineage, and the plan that every later job would carry, end here."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

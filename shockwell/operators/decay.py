@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from shockwell.functions.columns import hash_draw, median, quantile
 from shockwell.functions.numeric import least_squares, minimise
+from shockwell.functions.storage import written
 
 #: For each law its parameters' names, starts, lower and upper bounds.
 LAWS = {
@@ -453,99 +454,135 @@ def _named(model: str, p: np.ndarray) -> dict[str, float]:
     return dict(zip(AMPLITUDE_LAWS[model][0], p.tolist(), strict=True))
 
 
-#: Steps of the search at most, and those in a row without a gain that end it.
-STEPS, IDLE = 30, 5
+#: A search has converged where its loss, its step or its slope changes by no more than this; its most steps.
+TOLERANCE, STEPS = 1e-8, 200
+#: Raw parameters of a law at most.
+WIDEST = 3
+
+
+def _slopes(model: str, t: Column, x: Column, q: list[Column]) -> tuple[Column, list[Column]]:
+    """A law's value and its derivatives by the raw parameters."""
+    zero = F.lit(0.0)
+    if model in ("exponential", "constrained_mobility"):
+        age = t / F.exp(q[0])
+        d = F.exp(-age)
+        if model == "exponential":
+            return x * d, [x * d * age, zero, zero]
+        m = F.sqrt(F.greatest(1 + x, F.lit(1e-12))) - 1
+        return 2 * m * d + m * m * d * d, [(2 * m * d + 2 * m * m * d * d) * age, zero, zero]
+    if model == "landau":
+        age, theta = t / F.exp(q[0]), F.exp(q[1])
+        d = F.exp(-age)
+        room = F.greatest(1 - d * d, F.lit(0.0))
+        s = 1 + theta * x * x * room
+        root = F.sqrt(s)
+        return x * d / root, [x * d * age / root + theta * x * x * x * d * d * d * age / (s * root), -0.5 * x * d * theta * x * x * room / (s * root), zero]
+    if model == "double_exponential":
+        fast, gap, w = F.exp(q[0]), F.exp(q[1]), 1 / (1 + F.exp(-q[2]))
+        slow = fast + gap
+        e, f = F.exp(-t / fast), F.exp(-t / slow)
+        late = x * (1 - w) * f * t / (slow * slow)
+        return x * (w * e + (1 - w) * f), [x * w * e * t / fast + late * fast, late * gap, x * w * (1 - w) * (e - f)]
+    base, power = 1 + t / F.exp(q[0]), F.exp(q[1])
+    value = x * F.pow(base, -power)
+    return value, [value * power * (base - 1) / base, -value * F.ln(base) * power, zero]
+
+
+def _loss_sums(rows: DataFrame, points: DataFrame, root: float) -> DataFrame:
+    """For each search of `points` the soft-L1 loss of its training rows, its slope and its curvature: sums that the tasks
+    add up before they are shuffled."""
+    by = ["process_class", "direction"]
+    both = rows.join(F.broadcast(points), by).where("fold != held")
+    q = [F.col(f"q{k}") for k in range(WIDEST)]
+
+    def told(model: str) -> Column:
+        value, slopes = _slopes(model, F.col("t").cast("double"), F.col("x"), q)
+        return F.array(value, *slopes)
+
+    target = F.greatest(F.least("y", F.col("cap")), -F.col("cap"))
+    law = F.lit(None).cast("array<double>")
+    for model in AMPLITUDE_LAWS:
+        law = F.when(F.col("model") == model, told(model)).otherwise(law)
+    both = both.select(*by, "held", "model", law.alias("_law"), target.alias("_target"))
+    both = both.select(*by, "held", "model", ((F.get("_law", F.lit(0)) - F.col("_target")) / (root * 0.5)).alias("_r"), *[(F.get("_law", F.lit(k + 1)) / (root * 0.5)).alias(f"_j{k}") for k in range(WIDEST)])
+    both = both.withColumn("_s", 1 + F.col("_r") * F.col("_r"))
+    j = [F.col(f"_j{k}") for k in range(WIDEST)]
+    sums = {"cost": F.sqrt("_s") - 1, **{f"g{k}": j[k] * F.col("_r") / F.sqrt("_s") for k in range(WIDEST)}}
+    sums |= {f"h{k}{n}": j[k] * j[n] / F.pow("_s", F.lit(1.5)) for k in range(WIDEST) for n in range(k, WIDEST)}
+    return both.groupBy(*by, "held", "model").agg(*[F.sum(x).alias(c) for c, x in sums.items()])
 
 
 class _Search:
-    """One Levenberg-Marquardt search whose sums come from outside."""
+    """One damped Newton search inside bounds whose sums come from outside."""
 
     def __init__(self, model: str):
         _, start, low, high = AMPLITUDE_LAWS[model]
         self.low, self.high = _raw(model, low), _raw(model, high)
         self.best = self.trial = _raw(model, start)
-        self.cost, self.damping, self.idle, self.open = math.inf, 1e-3, 0, True
+        self.cost, self.damping, self.open, self.converged = math.inf, 1e-3, True, False
 
-    def take(self, cost: float, square: np.ndarray, line: np.ndarray) -> None:
-        """The sums at the trial point: J'J, J'r and the cost; then the next trial point."""
+    def take(self, cost: float, slope: np.ndarray, curve: np.ndarray) -> None:
+        """The sums at the trial point; then the next trial point, or the end."""
         if cost < self.cost:
-            self.open = not self.cost - cost <= 1e-13 * cost
-            self.best, self.cost, self.square, self.line, self.idle, self.damping = self.trial, cost, square, line, 0, max(self.damping / 5, 1e-12)
+            gain = self.cost - cost
+            self.best, self.cost, self.slope, self.curve, self.damping = self.trial, cost, slope, curve, max(self.damping / 5, 1e-12)
+            if gain <= TOLERANCE * cost:
+                self.open, self.converged = False, True
+                return
         else:
-            self.idle, self.damping = self.idle + 1, self.damping * 6
-            self.open = self.idle < IDLE
-        step = np.linalg.solve(self.square + self.damping * np.diag(np.diag(self.square) + 1e-12), -self.line)
+            self.damping *= 6
+        outward = ((self.best <= self.low) & (self.slope > 0)) | ((self.best >= self.high) & (self.slope < 0))
+        free = np.flatnonzero(~outward)
+        if not len(free) or np.abs(self.slope[free]).max() <= TOLERANCE:
+            self.open, self.converged = False, True
+            return
+        own = self.curve[np.ix_(free, free)]
+        step = np.zeros(len(self.best))
+        step[free] = np.linalg.solve(own + self.damping * np.diag(np.diag(own) + 1e-12), -self.slope[free])
         self.trial = np.clip(self.best + step, self.low, self.high)
-        self.open &= bool((self.trial != self.best).any())
-
-
-def _law_sums(points: dict[tuple, np.ndarray], caps: dict[tuple, float], root: float, high: dict[str, np.ndarray]):
-    """For each open search (class, direction, held fold, law) the sums over a partition's training rows."""
-
-    def run(batches):
-        sums: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for (kind, direction), part in batch.groupby(["process_class", "direction"]):
-                for key, q in points.items():
-                    if key[:2] != (kind, direction):
-                        continue
-                    own = part[part["fold"] != key[2]]
-                    t, x, model, cap = own["t"].to_numpy(float), own["x"].to_numpy(float), key[3], caps[key[:3]]
-                    y = np.clip(own["y"].to_numpy(float), -cap, cap)
-
-                    def residual(q, t=t, x=x, y=y, model=model):
-                        r = (amplitude_curve(model, t, x, _told(model, q)) - y) / root / 0.5
-                        return np.sign(r) * 0.5 * np.sqrt(2 * (np.sqrt(1 + r * r) - 1))
-
-                    r, step = residual(q), np.where(q + 1e-7 > high[model], -1e-7, 1e-7)
-                    jac = np.column_stack([(residual(q + np.eye(len(q))[k] * step[k]) - r) / step[k] for k in range(len(q))])
-                    new = np.concatenate(([r @ r], (jac.T @ jac).ravel(), jac.T @ r))
-                    sums[key] = sums.get(key, 0.0) + new
-        yield pd.DataFrame([(*k, v.tolist()) for k, v in sums.items()], columns=["process_class", "direction", "held", "model", "sums"])
-
-    return run
+        if np.linalg.norm(self.trial - self.best) <= TOLERANCE * (TOLERANCE + np.linalg.norm(self.best)):
+            self.open, self.converged = False, True
 
 
 def amplitude_fits(sample: DataFrame, folds: int = 0, seed: int = 2026, least: int | None = None) -> DataFrame:
-    """(process_class, direction, held, model, parameters): every law fitted to `sample` by process class and direction, with
-    folds once for each held-out fold (without: held -1), for classes with enough events (6, or 10 and 2 a fold).
+    """(process_class, direction, held, model, parameters, converged): every law fitted to `sample` by process class and
+    direction, with folds once for each held-out fold (without: held -1), for classes with enough events (6, or 10 and 2 a
+    fold). A search ends at a tolerance of 1e-8; one that hasn't after 200 steps says so in `converged`.
 
-    The searches run side by side: in each round the executors sum each one's loss and Jacobian products over its training
-    rows, and the driver, which gets a few numbers for each search and partition, takes all their steps. No event's rows
-    meet in one task.
+    The searches run side by side: in each round one aggregation gives each one's loss, slope and curvature over its
+    training rows, from derivatives as columns, and the driver, which gets ten numbers for each search, takes their steps.
     """
     by = ["process_class", "direction"]
     need = least if least is not None else max(10, 2 * folds) if folds else 6
+    sample = written(sample, "amplitudes")
     rows = with_folds(sample, by, folds, seed) if folds else sample.withColumn("fold", F.lit(-2))
     enough = sample.groupBy(*by).agg(F.count_distinct("event_id").alias("events")).where(F.col("events") >= need)
     rows = rows.join(enough.select(*by), by).select(*by, F.col("fold").cast("int").alias("fold"), "t", "x", "y").persist()
-    schema = "process_class string, direction string, held int, model string, parameters map<string,double>"
+    spark = sample.sparkSession
     try:
         held = F.sequence(F.lit(0), F.lit(folds - 1)) if folds else F.array(F.lit(-1))
         training = rows.withColumn("held", F.explode(held)).where("fold != held")
         caps = {(r[0], r[1], r[2]): max(float(r[3]), 0.5) for r in training.groupBy(*by, "held").agg(quantile(F.abs("y"), 0.99).alias("cap")).collect()}
         times = rows.agg(F.count_distinct("t")).first()[0]
         searches = {(*k, model): _Search(model) for k in sorted(caps) for model in AMPLITUDE_LAWS}
-        high = {m: _raw(m, law[3]) for m, law in AMPLITUDE_LAWS.items()}
         for _ in range(STEPS):
-            points = {k: x.trial for k, x in searches.items() if x.open}
-            if not points:
+            trials = [(*k, caps[k[:3]], *np.pad(x.trial, (0, WIDEST - len(x.trial))).tolist()) for k, x in searches.items() if x.open]
+            if not trials:
                 break
-            sums = rows.mapInPandas(_law_sums(points, caps, math.sqrt(times), high), "process_class string, direction string, held int, model string, sums array<double>")
-            total: dict[tuple, np.ndarray] = {}
-            for r in sums.collect():
-                total[tuple(r[:4])] = total.get(tuple(r[:4]), 0.0) + np.array(r["sums"])
-            for k in points:
-                n = len(points[k])
-                searches[k].take(float(total[k][0]), total[k][1 : 1 + n * n].reshape(n, n), total[k][1 + n * n :])
+            points = spark.createDataFrame(pd.DataFrame(trials, columns=[*by, "held", "model", "cap", *(f"q{k}" for k in range(WIDEST))]))
+            for r in _loss_sums(rows, points, math.sqrt(times)).collect():
+                search = searches[tuple(r[:4])]
+                n = len(search.best)
+                curve = np.array([[r[f"h{min(i, k)}{max(i, k)}"] for k in range(n)] for i in range(n)])
+                search.take(float(r["cost"]), np.array([r[f"g{k}"] for k in range(n)]), curve)
     finally:
         rows.unpersist()
-    found = [(*k, _named(k[3], _told(k[3], x.best))) for k, x in searches.items()]
-    return sample.sparkSession.createDataFrame(found, schema)
+    found = [(*k, _named(k[3], _told(k[3], x.best)), x.converged) for k, x in searches.items()]
+    return spark.createDataFrame(found, "process_class string, direction string, held int, model string, parameters map<string,double>, converged boolean")
 
 
 def amplitude_summary(sample: DataFrame, fits: DataFrame) -> DataFrame:
-    """(process_class, direction, model, parameters, rmse, sse, sample_size, events) of fits to all events."""
+    """(process_class, direction, model, parameters, converged, rmse, sse, sample_size, events) of fits to all events."""
     by = ["process_class", "direction"]
     e = F.col("y") - F.col("predicted")
     each = predict_amplitude(sample, fits, by).groupBy(*by, "model").agg(F.sum(e * e).alias("sse"), F.count("*").alias("sample_size"), F.count_distinct("event_id").alias("events"))
@@ -556,10 +593,12 @@ def amplitude_validation(sample: DataFrame, folds: int = 5, seed: int = 2026, le
     """Held-out errors of each law over events: an event is predicted by the fit without its fold. Burdens are the positive
     parts of the first 12 targets."""
     by = ["process_class", "direction"]
+    sample = written(sample, "amplitudes")
     fits = amplitude_fits(sample, folds, seed, least).withColumnRenamed("held", "fold")
+    settled = fits.groupBy(*by, "model").agg(F.min("converged").alias("converged"))
     rows = predict_amplitude(with_folds(sample, by, folds, seed), fits, [*by, "fold"])
     e, early = F.col("predicted") - F.col("y"), F.col("t") <= 12
     burden = F.when(early, F.greatest("predicted", F.lit(0.0)) - F.greatest("y", F.lit(0.0)))
     events = rows.groupBy(*by, "model", "event_id").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.abs(F.sum(burden)).alias("burden"))
     each = events.groupBy(*by, "model").agg(F.avg("rmse").alias("mean"), median("rmse").alias("median"), F.stddev_samp("rmse").alias("std"), F.avg("burden").alias("burden_mae_12"), F.count("*").alias("events"))
-    return each.withColumn("winner", F.col("mean") == F.min("mean").over(Window.partitionBy(*by)))
+    return each.join(settled, [*by, "model"]).withColumn("winner", F.col("mean") == F.min("mean").over(Window.partitionBy(*by)))

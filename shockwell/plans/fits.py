@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from shockwell.functions.storage import shared_dir
+from shockwell.functions.storage import shared_dir, written
 from shockwell.operators import decay
 from shockwell.plans.registry import Registry
 from shockwell.streaming.ohlc import stream_candles
@@ -50,12 +50,12 @@ def register(r: Registry) -> None:
     r.add("d15_process_validation", "process_class direction model folds", "mean median std", lambda s, d: decay.cross_validate_process_models(named(s, d)), None, digits=4)
     r.add("d16_amplitude_predictions", "model t", "predicted", lambda s, d: decay.predict_amplitude(s.range(1, 22).select(F.lit(1).alias("g"), F.col("id").alias("t"), F.lit(0.6).alias("x")), given(s, decay.AMPLITUDE_LAWS), ["g"]),
           "SELECT model, t, CASE model WHEN 'exponential' THEN 0.6 * exp(-t / 9.0) WHEN 'constrained_mobility' THEN 2 * (sqrt(1.6) - 1) * exp(-t / 9.0) + pow(sqrt(1.6) - 1, 2) * exp(-2 * t / 9.0) WHEN 'landau' THEN 0.6 * exp(-t / 9.0) / sqrt(1 + 1.4 * 0.36 * (1 - exp(-2 * t / 9.0))) WHEN 'double_exponential' THEN 0.6 * (0.3 * exp(-t / 2.0) + 0.7 * exp(-t / 20.0)) ELSE 0.6 * pow(1 + t / 1.5, -0.9) END AS predicted FROM (SELECT unnest(range(1, 22)) AS t) CROSS JOIN (SELECT unnest(['exponential', 'constrained_mobility', 'landau', 'double_exponential', 'shifted_power']) AS model)")
-    moments = lambda s, d: decay.amplitude_sample(named(s, d))
-    r.add("d18_amplitude_sample", "process_class direction event_id offset t", "x y", moments,
+    moments = lambda s, d: written(decay.amplitude_sample(named(s, d)), "amplitudes")
+    r.add("d18_amplitude_sample", "process_class direction event_id offset t", "x y", lambda s, d: decay.amplitude_sample(named(s, d)),
           """SELECT process_class, direction, event_id, "offset", "offset" - 3 AS t, x, abnormal_m2 AS y FROM (SELECT process_class, direction, asset || '-' || event_id AS event_id, "offset", abnormal_m2, count(abnormal_m2) FILTER ("offset" BETWEEN 1 AND 24) OVER e AS n, greatest(median(abnormal_m2) FILTER ("offset" BETWEEN 1 AND 3) OVER e, 0) AS x FROM hour_paths WINDOW e AS (PARTITION BY asset, event_id))
           WHERE n = 24 AND x > 0.02 AND "offset" BETWEEN 4 AND 24""", digits=6)
-    r.add("d20_amplitude_fits", "process_class direction model events sample_size", "rmse", lambda s, d: decay.amplitude_summary(m := moments(s, d), decay.amplitude_fits(m)), None, digits=3)
-    r.add("d21_amplitude_validation", "process_class direction model events winner", "mean median std burden_mae_12", lambda s, d: decay.amplitude_validation(moments(s, d)), None, digits=3)
+    r.add("d20_amplitude_fits", "process_class direction model events sample_size converged", "rmse", lambda s, d: decay.amplitude_summary(m := moments(s, d), decay.amplitude_fits(m)), None, digits=3)
+    r.add("d21_amplitude_validation", "process_class direction model events winner converged", "mean median std burden_mae_12", lambda s, d: decay.amplitude_validation(moments(s, d)), None, digits=3)
 
     def streamed(s, d):
         """The closed bars of the events stream, appended to Parquet in the shared folder until the input ends."""
