@@ -30,7 +30,7 @@ def test_a_bar_without_variance_counts_as_missing(spark):
     for pos in (151, 165):
         past = [v for v in values[:pos] if v]
         state = [past[-1], np.mean(past[-5:]), np.mean(past[-22:])]
-        want = math.exp(-0.5 + 0.2 * math.log(state[0]) + 0.3 * math.log(state[1]) + 0.4 * math.log(state[2])) * 1.3
+        want = math.exp(-0.5 + 0.2 * math.log(state[0] + 1e-12) + 0.3 * math.log(state[1] + 1e-12) + 0.4 * math.log(state[2] + 1e-12)) * 1.3
         assert got[pos].forecast_variance == pytest.approx(want, rel=1e-9)
 
 
@@ -54,6 +54,33 @@ def test_windows_with_a_bar_without_variance_are_left_out(spark):
     assert kept(5) == {25, 48} and kept(13) == set() and kept(12) == set() | ({25} if 25 + 12 + 2 < 40 else set())
 
 
+def test_mean_paths_take_bars_as_they_are(spark):
+    """A missing or zero bar among the 22 before an event leaves it out; one in a window after it only if it is missing."""
+    values = [0.5 + 0.01 * (k % 7) for k in range(80)]
+    values[10], values[40], values[70] = None, 0.0, None
+    rows = har.with_history(bars(spark, values), "q").selectExpr("*", "case when q > 0 then q end as variance_proxy", "1.0 as shock_score")
+    rows = rows.selectExpr("*", *[f"cast({v} as double) as {k}" for k, v in FIXED.items()])
+    events = rows.where("pos in (30, 34, 45, 63)").selectExpr("*", "cast(pos as int) as event_id", "'negative' as direction")
+    found = lambda post, **how: {x.event_id for x in responses.counterfactual_paths(rows, events, window=3, post=post, **how).collect()}
+    # 30: bar 10 is missing; 45: bar 40 is zero; 63: the window of bars 68 to 70 holds a missing bar
+    assert found(4, smearing=True, variance="q") == {34, 63} and found(5, smearing=True, variance="q") == {34}
+    paths = {x.offset: x for x in responses.counterfactual_paths(rows, events.where("pos = 34"), window=3, post=6, smearing=True, variance="q").collect()}
+    assert paths[6].actual_variance == pytest.approx((0.0 + values[41] + values[42]) / 3)
+    # the median path skips such bars in its history, and leaves out windows that hold one
+    assert found(2) == {30, 34, 45, 63} and found(6) == {30, 45}
+    state = np.array([values[33], np.mean(values[29:34]), np.mean(values[12:34])])
+    path = []
+    for _ in range(9):
+        path.append(math.exp(-0.5 + np.log(state_of(values[12:34], path) + 1e-12) @ np.array([0.2, 0.3, 0.4])) * 1.3)
+    assert state_of(values[12:34], [])[0] == state[0]
+    assert paths[1].counterfactual_variance == pytest.approx(np.mean(path[1:4]), rel=1e-12)
+
+
+def state_of(history, path):
+    own = [*history, *path]
+    return np.array([own[-1], np.mean(own[-5:]), np.mean(own[-22:])])
+
+
 def test_gates_count_rows_not_offsets(spark):
     rows = [("A", "negative", o, m, 0.1, 30) for o, m in zip(range(1, 40, 3), [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, -0.1, -0.1, -0.1, 0.2, 0.2, 0.2, 0.2], strict=True)]
     table = spark.createDataFrame(rows, "asset string, direction string, offset int, median double, bootstrap_ci_low double, count int")
