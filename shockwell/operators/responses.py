@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shockwell.functions.columns import ANNUAL, EPSILON, MAD_SCALE, clip, divide, hash_draw, median, quantile, rolling, series
-from shockwell.functions.numeric import normal_p, ols_hac
+from shockwell.functions.regression import newey_west
+from shockwell.functions.storage import written
 from shockwell.operators.events import indicators, near_events
 from shockwell.operators.har import har_design, recursive_path, with_raw_history
 
@@ -109,38 +108,14 @@ def matched_paths(diagnostics: DataFrame, events: DataFrame, matches: DataFrame,
     return _complete(_abnormal(own.join(reference, ["asset", "event_id", "offset"]), "matched_controls"), len(range(1, post + 1, stride)))
 
 
-PROJECTION = "asset string, offset int, nobs long, negative_events long, positive_events long, " + ", ".join(
-    f"{d}_{s} double" for d in ("negative", "positive") for s in ("estimate", "std_error", "ci_low", "ci_high", "p_value")
-) + ", difference double, difference_std_error double, difference_ci_low double, difference_ci_high double, difference_p_value double, r_squared double"
-
-
-def _project(window: int, least: int, years: bool, each: int = 8):
-    z = 1.959963984540054
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in PROJECTION.split(", ")]
-        offset = int(rows["offset"].iloc[0])
-        if len(rows) < least or min(rows["negative_event"].sum(), rows["positive_event"].sum()) < each:
-            return pd.DataFrame(columns=names)
-        rows = rows.sort_values("pos")
-        x = np.column_stack([np.ones(len(rows)), rows[["negative_event", "positive_event", *FEATURES]].to_numpy(float)])
-        if years:
-            x = np.column_stack([x, *[(rows["year"] == y).to_numpy(float) for y in sorted(rows["year"].unique())[1:]]])
-        fit = ols_hac(x, rows["target"].to_numpy(), max(window - 1, offset + window - 2, 1))
-        contrast = np.zeros(x.shape[1])
-        contrast[1], contrast[2] = 1.0, -1.0
-        out = [rows["asset"].iloc[0], offset, len(rows), int(rows["negative_event"].sum()), int(rows["positive_event"].sum())]
-        for own in (np.eye(x.shape[1])[1], np.eye(x.shape[1])[2], contrast):
-            b, se = float(own @ fit.beta), float(np.sqrt(own @ fit.cov @ own))
-            out += [b, se, b - z * se, b + z * se, normal_p(b / se) if se > 0 else float("nan")]
-        return pd.DataFrame([[*out, fit.r_squared]], columns=names)
-
-    return run
+SIDES = {"negative": [1.0, 0.0], "positive": [0.0, 1.0], "difference": [1.0, -1.0]}
 
 
 def local_projections(diagnostics: DataFrame, events: DataFrame, window: int = 5, post: int = 30, stride: int = 1, trend: int = 20, radius: int = 10, year_effects: bool = True, least: int = 400, energy: str = "variance_proxy") -> DataFrame:
     """For each horizon a regression of ln future variance on shock indicators and what was known before, with Newey-West
-    errors. Bars near an event and unselected exceedances take no part. Horizons are fitted side by side."""
+    errors of window - 1 or, farther out, offset + window - 2 lags. Bars near an event and unselected exceedances take no
+    part; a horizon with fewer than `least` bars, or 8 events of a direction, has no row. Years have effects of their own
+    (or all bars one constant). Horizons are fitted side by side, from sums."""
     bars = events.groupBy("asset").agg(F.first("threshold").alias("_bar"))
     rows = indicators(event_features(diagnostics, window=trend, energy=energy), events).join(bars, "asset")
     event = F.col("negative_event") + F.col("positive_event") > 0
@@ -151,7 +126,17 @@ def local_projections(diagnostics: DataFrame, events: DataFrame, window: int = 5
     rows = rows.where(F.coalesce("_event", F.lit(False)) | (F.col("_close").isNull() & ~F.coalesce(F.col("shock_score") >= F.col("_bar"), F.lit(False))) | event)
     targets = F.inline(F.array(*[F.struct(F.lit(k).alias("offset"), F.col(f"_t{k}").alias("target")) for k in range(1, post + 1, stride)]))
     design = rows.select("asset", "pos", F.year("begin").alias("year"), "negative_event", "positive_event", *FEATURES, targets).dropna()
-    return design.groupBy("asset", "offset").applyInPandas(_project(window, least, year_effects), PROJECTION)
+    design = written(design, "projections")  # read for the counts, the sums and the residuals
+    by, names = ["asset", "offset"], ["negative_event", "positive_event", *FEATURES]
+    counts = design.groupBy(*by).agg(F.count("*").alias("nobs"), *[F.sum(f"{d}_event").cast("long").alias(f"{d}_events") for d in ("negative", "positive")])
+    counts = counts.where((F.col("nobs") >= least) & (F.col("negative_events") >= 8) & (F.col("positive_events") >= 8))
+    contrasts = {side: [*w, *[0.0] * len(FEATURES)] for side, w in SIDES.items()}
+    lags = F.greatest(F.lit(window - 1), F.col("offset") + window - 2, F.lit(1))
+    fits = newey_west(design.join(counts.select(*by), by), by, "pos", "target", names, lags, contrasts, absorb=["year"] if year_effects else [])
+    one = lambda side, c: F.max(F.when(F.col("term") == side, F.col(c)))
+    told = {(f"{side}_{c}" if c != "estimate" or side != "difference" else side): one(side, c) for side in SIDES for c in ("estimate", "std_error", "ci_low", "ci_high", "p_value")}
+    wide = fits.groupBy(*by).agg(*[x.alias(c) for c, x in told.items()], F.first("r_squared").alias("r_squared"))
+    return counts.join(wide, by)
 
 
 def projection_summary(projections: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shockwell.functions.columns import ANNUAL, EPSILON, average_rank, clip, ln_positive, median, quantile_bucket, rolling, trailing
-from shockwell.functions.numeric import normal_p, ols_hac, solve
+from shockwell.functions.numeric import solve
+from shockwell.functions.regression import newey_west, share_explained
 
 BASE = ["log_daily", "log_weekly", "log_monthly"]
 HINGES = ["negative_trend", "positive_trend"]
@@ -81,35 +82,21 @@ def normal_equations(design: DataFrame, terms: list[str], by: tuple[str, ...] =
     return design.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for k, a in enumerate(names) for b in names[k:]])
 
 
-COEFFICIENTS = "asset string, period string, observations long, baseline_r_squared double, full_r_squared double, term string, estimate double, std_error double, z_value double, p_value double, ci_low double, ci_high double"
-
-
-def _regress(lags: int, least: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names = [x.split()[0] for x in COEFFICIENTS.split(", ")]
-        if len(rows) < least:
-            return pd.DataFrame(columns=names)
-        rows = rows.sort_values("pos")
-        y = rows["y"].to_numpy()
-        x = np.column_stack([np.ones(len(rows)), rows[BASE + HINGES].to_numpy()])
-        base, full = ols_hac(x[:, : 1 + len(BASE)], y, lags), ols_hac(x, y, lags)
-        contrast = np.zeros(x.shape[1])
-        contrast[-2], contrast[-1] = 1.0, -1.0
-        terms = [(n, full.beta[k], np.sqrt(full.cov[k, k])) for k, n in enumerate(["const", *BASE, *HINGES])]
-        terms.append(("difference_down_minus_up", contrast @ full.beta, np.sqrt(contrast @ full.cov @ contrast)))
-        head = (rows["asset"].iloc[0], rows["period"].iloc[0], len(rows), base.r_squared, full.r_squared)
-        return pd.DataFrame([(*head, n, b, se, b / se, normal_p(b / se), b - 1.959963984540054 * se, b + 1.959963984540054 * se) for n, b, se in terms], columns=names)
-
-    return run
-
-
 def fit_regressions(frame: DataFrame, hac_lags: int = 5, least: int = 120) -> DataFrame:
-    """Least squares of ln future variance on the states and both trend hinges, with Newey-West errors, by asset and period."""
+    """Least squares of ln future variance on the states and both trend hinges, with Newey-West errors, by asset and period;
+    groups of fewer than `least` bars have none. baseline_r_squared is that of the states alone."""
     if hac_lags < 0:
         raise ValueError("hac_lags must not be negative")
     period = F.col("period") if "period" in frame.columns else F.lit("all")
-    rows = regression_design(frame).select("asset", period.alias("period"), "pos", "y", *BASE, *HINGES)
-    return rows.groupBy("asset", "period").applyInPandas(_regress(hac_lags, least), COEFFICIENTS)
+    rows = regression_design(frame).select("asset", period.alias("period"), "pos", "y", F.lit(1.0).alias("const"), *BASE, *HINGES)
+    by = ["asset", "period"]
+    rows = rows.join(rows.groupBy(*by).agg(F.count("*").alias("observations")).where(F.col("observations") >= least), by)
+    terms = ["const", *BASE, *HINGES]
+    contrasts = {n: [float(n == m) for m in terms] for n in terms} | {"difference_down_minus_up": [0.0] * (len(terms) - 2) + [1.0, -1.0]}
+    full = newey_west(rows, by, "pos", "y", terms, hac_lags, contrasts)
+    base = share_explained(rows, by, "y", BASE).withColumnRenamed("r_squared", "baseline_r_squared")
+    found = full.withColumnsRenamed({"n": "observations", "r_squared": "full_r_squared"}).join(base, by)
+    return found.select(*by, "observations", "baseline_r_squared", "full_r_squared", "term", "estimate", "std_error", "z_value", "p_value", "ci_low", "ci_high")
 
 
 def fit_regressions_by_period(frame: DataFrame, periods: list[tuple[str, str, str]] | None = None, hac_lags: int = 5, least: int = 80) -> DataFrame:

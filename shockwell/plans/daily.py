@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shockwell.operators import quality, trend, volatility
 from shockwell.plans.registry import Registry
+from shockwell.plans.regression_sql import register_regression
 from shockwell.sources import candles
 
 FLAGS = "row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
@@ -147,11 +148,20 @@ def register(r: Registry) -> None:
     terms = ["log_daily", "log_weekly", "log_monthly", "negative_trend", "positive_trend"]
     sums = ", ".join(f"sum({a} * {b}) AS s_{a}_{b}" for k, a in enumerate([*terms, "y"]) for b in [*terms, "y"][k:])
     r.add("t11_normal_equations", "asset n", " ".join(f"s_{a}_{b}" for k, a in enumerate([*terms, "y"]) for b in [*terms, "y"][k:]), lambda s, d: trend.normal_equations(trend.regression_design(frame(s, d)), terms), f"SELECT asset, count(*) AS n, {sums} FROM design GROUP BY 1", digits=4)
-    r.add("t12_har_trend_regression", "asset observations term", "estimate std_error p_value ci_low ci_high", lambda s, d: trend.fit_regressions(frame(s, d), hac_lags=5), None)
-    r.add("t13_regression_by_period", "asset period observations term", "estimate std_error p_value ci_low ci_high", lambda s, d: trend.fit_regressions_by_period(frame(s, d)), None)
+    columns = ["const", *terms]
+    contrasts = {n: [float(n == m) for m in columns] for n in columns} | {"difference_down_minus_up": [0.0] * 4 + [1.0, -1.0]}
+    r.cte("design_all", "SELECT *, 'all' AS period, 1.0 AS const FROM (SELECT *, count(*) OVER (PARTITION BY asset) AS held FROM design) WHERE held >= 120")
+    register_regression(r, "regression", "design_all", "asset, period", columns, "5", contrasts)
+    r.cte("design_periods", "SELECT * FROM (SELECT *, 1.0 AS const, count(*) OVER (PARTITION BY asset, period) AS held FROM design JOIN (VALUES ('first', DATE '1995-01-01', DATE '1997-12-31'), ('middle', DATE '1998-01-01', DATE '1999-12-31'), ('last', DATE '2000-01-01', DATE '2001-12-31')) v(period, since, until) ON CAST(begin AS DATE) BETWEEN since AND until) WHERE held >= 80")
+    register_regression(r, "period_regression", "design_periods", "asset, period", columns, "5", contrasts)
+    errors = "estimate std_error p_value ci_low ci_high"
+    r.add("t12_har_trend_regression", "asset observations term", f"{errors} full_r_squared", lambda s, d: trend.fit_regressions(frame(s, d), hac_lags=5), "SELECT *, n AS observations, r_squared AS full_r_squared FROM regression", digits=6)
+    r.add("t13_regression_by_period", "asset period observations term", errors, lambda s, d: trend.fit_regressions_by_period(frame(s, d)), "SELECT *, n AS observations FROM period_regression", digits=6)
     r.add("t15_qlike", "asset", "qlike", lambda s, d: trend.qlike(frame(s, d).withColumn("forecast", F.exp("log_monthly")), "future_variance", "forecast"), "SELECT asset, avg(future_variance / f - ln(future_variance / f) - 1) AS qlike FROM (SELECT *, exp(log_monthly) AS f FROM trend) WHERE future_variance > 0 GROUP BY 1")
     r.add("t16_walk_forward", "asset test_year train_n test_n", "baseline_qlike full_qlike delta_qlike_full_minus_baseline baseline_log_mse full_log_mse delta_log_mse_full_minus_baseline", lambda s, d: trend.walk_forward(frame(s, d)), None, digits=6)
-    r.add("t17_interpretation", "asset interpretation", "", lambda s, d: trend.interpretation(trend.fit_regressions(frame(s, d), hac_lags=5)), None)
+    r.add("t17_interpretation", "asset interpretation", "", lambda s, d: trend.interpretation(trend.fit_regressions(frame(s, d), hac_lags=5)),
+          """SELECT asset, format('falling trend: {:+.1f}% variance, {:+.1f}% volatility ({}); rising trend: {:+.1f}% variance, {:+.1f}% volatility ({})', 100 * (exp(d) - 1), 100 * (exp(d / 2) - 1), CASE WHEN pd < 0.05 THEN 'resolved' ELSE 'not resolved' END, 100 * (exp(u) - 1), 100 * (exp(u / 2) - 1), CASE WHEN pu < 0.05 THEN 'resolved' ELSE 'not resolved' END) AS interpretation
+          FROM (SELECT asset, max(estimate) FILTER (term = 'negative_trend') AS d, max(p_value) FILTER (term = 'negative_trend') AS pd, max(estimate) FILTER (term = 'positive_trend') AS u, max(p_value) FILTER (term = 'positive_trend') AS pu FROM regression GROUP BY 1)""")
     r.add("t18_legacy_regression", "asset observations term", "estimate", lambda s, d: trend.fit_legacy(trend.realized_volatility(trend.normalized_trend(prox(s, d), "close_return", 20), "close_return", 20, 5)), None, digits=5)
     # Sets, rollups and pivots of the panel
     r.add("x1_rollup_bars", "asset year bars", "mean_volume", lambda s, d: daily(s, d).withColumn("year", F.year("begin")).rollup("asset", "year").agg(F.count("*").alias("bars"), F.avg("volume").alias("mean_volume")),

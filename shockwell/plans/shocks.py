@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shockwell.operators import events, har, responses, volatility
 from shockwell.plans.daily import full
 from shockwell.plans.registry import Registry
+from shockwell.plans.regression_sql import register_regression
 from shockwell.sources import candles
 
 #: Coefficients for queries that SQL checks; the fitted ones are tested against least squares in numpy.
@@ -130,8 +131,19 @@ def register(r: Registry) -> None:
     r.add("r7_matched_paths", rk + " control_count", resp, matched, "SELECT * FROM matched_response", digits=7)
     r.add("r8_forward_mean", key, "forward", lambda s, d: prox(s, d).withColumn("forward", responses.forward_mean(q, 3, 5)), f"SELECT asset, pos, {full('avg', q, 3, 7)} AS forward FROM prox", digits=10)
     lp = with_events(lambda a, e: responses.local_projections(a, e, energy=q))
-    r.add("r9_local_projections", "asset offset nobs negative_events positive_events", "negative_estimate negative_std_error positive_estimate positive_std_error difference difference_p_value r_squared", lp, None, digits=6)
-    r.add("r10_projection_summary", "asset direction offset", "median q25 q75", lambda s, d: responses.projection_summary(lp(s, d)), None, digits=6)
+    r.cte("projected", """SELECT b.asset, b.pos, year, CAST(direction = 'negative' AS DOUBLE) AS negative_event, CAST(direction = 'positive' AS DOUBLE) AS positive_event, forecast_log_variance, log_daily, log_weekly, log_monthly, pretrend, o.k AS "offset", ln(a.v + 1e-12) AS y FROM
+      (SELECT f.*, CAST(year(f.begin) AS INTEGER) AS year, coalesce(e.direction, '') AS direction FROM features f LEFT JOIN shocks e ON e.asset = f.asset AND e.pos = f.pos JOIN (SELECT asset, any_value(threshold) AS bar FROM shocks GROUP BY 1) t ON t.asset = f.asset
+       WHERE e.pos IS NOT NULL OR (NOT coalesce(f.shock_score >= bar, FALSE) AND NOT EXISTS (SELECT 1 FROM shocks c WHERE c.asset = f.asset AND abs(c.pos - f.pos) <= 10))) b
+      CROSS JOIN (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS k) o JOIN ahead a ON a.asset = b.asset AND a.pos = b.pos + o.k WHERE a.v IS NOT NULL AND """ + " AND ".join(f"{f} IS NOT NULL" for f in feats))
+    r.cte("projected_counts", 'SELECT asset, "offset", count(*) AS nobs, CAST(sum(negative_event) AS BIGINT) AS negative_events, CAST(sum(positive_event) AS BIGINT) AS positive_events FROM projected GROUP BY ALL HAVING count(*) >= 400 AND least(sum(negative_event), sum(positive_event)) >= 8')
+    r.cte("projectable", 'SELECT p.* FROM projected p SEMI JOIN projected_counts c ON c.asset = p.asset AND c."offset" = p."offset"')
+    register_regression(r, "projections", "projectable", 'asset, "offset"', ["negative_event", "positive_event", *feats], 'greatest(4, "offset" + 3)', {n: [*w, *[0.0] * len(feats)] for n, w in responses.SIDES.items()}, years=True)
+    one = lambda side, c: f"max({c}) FILTER (term = '{side}')"
+    wide = ", ".join(f"{one(side, c)} AS {side if c == 'estimate' and side == 'difference' else f'{side}_{c}'}" for side in responses.SIDES for c in ("estimate", "std_error", "ci_low", "ci_high", "p_value"))
+    r.cte("wide_projections", f'SELECT c.*, {wide}, any_value(r_squared) AS r_squared FROM projected_counts c JOIN projections p ON p.asset = c.asset AND p."offset" = c."offset" GROUP BY ALL')
+    r.cte("projection_summary", " UNION ALL ".join(f"""SELECT asset, '{d}' AS direction, "offset", exp({d}_estimate) - 1 AS mean, exp({d}_estimate) - 1 AS median, exp({d}_ci_low) - 1 AS q25, exp({d}_ci_high) - 1 AS q75, {d}_events AS count, exp({d}_ci_low) - 1 AS bootstrap_ci_low, exp({d}_ci_high) - 1 AS bootstrap_ci_high, 'local_projection' AS method FROM wide_projections""" for d in ("negative", "positive")))
+    r.add("r9_local_projections", "asset offset nobs negative_events positive_events", "negative_estimate negative_std_error positive_estimate positive_std_error difference difference_p_value r_squared", lp, "SELECT * FROM wide_projections", digits=6)
+    r.add("r10_projection_summary", "asset direction offset", "median q25 q75", lambda s, d: responses.projection_summary(lp(s, d)), "SELECT * FROM projection_summary", digits=6)
     sm = "mean median q25 q75 bootstrap_ci_low bootstrap_ci_high"
     r.add("r11_median_summary", "asset direction offset count method", sm, lambda s, d: responses.response_summary(median_paths(s, d), SAMPLES), "SELECT * FROM median_summary", digits=7)
     r.add("r11_matched_summary", "asset direction offset count method", sm, lambda s, d: responses.response_summary(matched(s, d), SAMPLES), "SELECT * FROM matched_summary", digits=7)
