@@ -13,7 +13,7 @@ from shockwell.llm.words import Memory, distinct, parts_of
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words, their bytes and ids that a worker remembers at most, then it starts anew. Words encoded at once; bytes of text looked up at once.
-MOST_WORDS, MOST_BYTES, MOST_IDS, AT_ONCE, CHUNK = 800_000, 8 << 20, 4_000_000, 4000, 1 << 19
+MOST_WORDS, MOST_BYTES, MOST_IDS, AT_ONCE, CHUNK = 400_000, 4 << 20, 2_000_000, 4000, 1 << 18
 #: What keeps a text from being cut into words: white space but single spaces and newlines, and white space at the end.
 ODD = re.compile(r"[^\S \n]|[ \n](?:[ \n]|\Z)")
 
