@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from shockwell.llm.batches import released
 from shockwell.llm.hot import join_hot
 from shockwell.llm.scratch import discard, materialise
-from shockwell.llm.tokens import Encoder, default_tokenizer
+from shockwell.llm.tokens import MOST_IDS, Encoder, default_tokenizer
 from shockwell.llm.words import Memory
 
 #: Characters of text aligned at once; entries of pairs that wait before they are added up; pairs whose counts are broadcast at most.
@@ -57,7 +57,7 @@ class PieceEncoder(Encoder):
         self.dtype = f"<u{self.width}"
         self.bytes = [self._bytes(k, p) for k, p in enumerate(pieces)]
         self.begins = np.array([b[:1] in (b" ", b"\n") for b in self.bytes])
-        self.memory = Memory(MOST_WORDS, MOST_BYTES)
+        self.memory, self.most_ids = Memory(MOST_WORDS, MOST_BYTES), MOST_IDS
         self.forget()
 
     def _bytes(self, k: int, piece: str) -> bytes:

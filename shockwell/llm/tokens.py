@@ -13,7 +13,7 @@ from shockwell.llm.words import Memory, distinct, parts_of
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words, their bytes and ids that a worker remembers at most, then it starts anew. Words encoded at once; bytes of text looked up at once.
-MOST_WORDS, MOST_BYTES, MOST_IDS, AT_ONCE, CHUNK = 400_000, 4 << 20, 2_000_000, 4000, 1 << 18
+MOST_WORDS, MOST_BYTES, MOST_IDS, AT_ONCE, CHUNK = 800_000, 8 << 20, 4_000_000, 4000, 1 << 19
 #: What keeps a text from being cut into words: white space but single spaces and newlines, and white space at the end.
 ODD = re.compile(r"[^\S \n]|[ \n](?:[ \n]|\Z)")
 
@@ -27,7 +27,7 @@ class Encoder:
     run of over CHUNK characters without a space, are encoded as a whole. A test holds this against encoding whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,7 +37,8 @@ class Encoder:
         self.dtype = f"<u{self.width}"
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space or a newline
         self.begins[[i for word, i in vocabulary.items() if word[:1] in "ĠĊ"]] = True
-        self.memory = Memory(MOST_WORDS, MOST_BYTES)
+        self.memory = Memory(most_words, MOST_BYTES * most_words // MOST_WORDS)
+        self.most_ids = MOST_IDS * most_words // MOST_WORDS
         self.forget()
 
     def forget(self) -> None:
@@ -70,7 +71,7 @@ class Encoder:
         a, b = start[where], end[where]
         number = self.memory.find(data, a, b, each)
         unknown = number < 0
-        if unknown.any() and (self.memory.full(int(unknown.sum()), int((b - a)[unknown].sum())) or len(self.ids) > MOST_IDS):
+        if unknown.any() and (self.memory.full(int(unknown.sum()), int((b - a)[unknown].sum())) or len(self.ids) > self.most_ids):
             self.forget()
             number, unknown = np.full(len(each), -1), np.ones(len(each), bool)
         if unknown.any():
@@ -113,8 +114,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, most_words: int = MOST_WORDS) -> Encoder:
+    return Encoder(path, most_words)
 
 
 def default_tokenizer() -> str:
