@@ -91,8 +91,6 @@ def register(r: Registry) -> None:
     r.add("v1_variance_proxies_gapped", key, PROXIES, lambda s, d: volatility.variance_proxies(sparse(s, d), max_gap_days=2), "SELECT * FROM sparse_prox")
     r.add("v2_rolling_volatility", key, "volatility", lambda s, d: volatility.rolling_volatility(prox(s, d), "gap_rogers_satchell", 20), f"SELECT *, sqrt(252 * {full('avg', 'gap_rogers_satchell', -19, 0)}) AS volatility FROM prox")
     r.add("v3_yang_zhang_volatility", key, "yang_zhang_volatility", lambda s, d: volatility.yang_zhang_volatility(daily(s, d), 20),
-          f"SELECT *, sqrt(252 * greatest({full('var_samp', 'overnight_return', -19, 0)} + {0.34 / (1.34 + 21 / 19)} * {full('var_samp', 'open_to_close_return', -19, 0)} + {1 - 0.34 / (1.34 + 21 / 19)} * {full('avg', 'rogers_satchell', -19, 0)}, 0)) AS yang_zhang_volatility FROM daily_logs WHERE pos >= 20"
-          " UNION ALL BY NAME SELECT *, NULL AS yang_zhang_volatility FROM daily_logs WHERE pos < 20" if False else
           f"SELECT *, sqrt(252 * CASE WHEN v IS NULL THEN NULL ELSE greatest(v, 0) END) AS yang_zhang_volatility FROM (SELECT *, {full('var_samp', 'overnight_return', -19, 0)} + {0.34 / (1.34 + 21 / 19)} * {full('var_samp', 'open_to_close_return', -19, 0)} + {1 - 0.34 / (1.34 + 21 / 19)} * {full('avg', 'rogers_satchell', -19, 0)} AS v FROM daily_logs)")
     r.add("v4_close_to_close_volatility", key, "close_to_close_volatility", lambda s, d: volatility.close_to_close_volatility(quality.log_returns(daily(s, d)), "log_return", 20), f"SELECT *, sqrt(252 * {full('var_pop', 'close_return', -19, 0)}) AS close_to_close_volatility FROM daily_logs")
     r.cte("numbered_returns", "SELECT asset, pos, close_return AS x, max(CASE WHEN close_return IS NOT NULL THEN pos END) OVER (PARTITION BY asset ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_pos FROM sparse_logs")

@@ -27,7 +27,8 @@ def register(r: Registry) -> None:
     bins = lambda s, d: hourly.price_bins(quality.prepared_hourly(candles.daily_candles(s, d), 0, 23), 8, 20, 200)
     grid = """SELECT asset, model, CAST(k AS INTEGER) AS step, low + (high - low) * k / 199 AS price, a + b * (low + (high - low) * k / 199) AS mobility FROM (SELECT asset, min(price) AS low, max(price) AS high FROM bins GROUP BY 1) JOIN mobility_fits USING (asset) CROSS JOIN (SELECT unnest(range(200)) AS k)"""
     r.add("p2_mobility_grid", "asset model step", "price mobility", lambda s, d: panels.mobility_grid(b := bins(s, d), hourly.fit_mobility(b)), grid, digits=3)
-    r.add("p5_error_bars", "asset period term", "estimate above below", lambda s, d: panels.error_bars(own["t13_regression_by_period"](s, d)), None, digits=6)
+    r.add("p5_error_bars", "asset period term", "estimate above below", lambda s, d: panels.error_bars(own["t13_regression_by_period"](s, d)),
+          "SELECT asset, period, term, estimate, round(ci_high, 6) - round(estimate, 6) AS above, round(estimate, 6) - round(ci_low, 6) AS below FROM period_regression", digits=6)
     fits = lambda s, d: decay.fit_relaxation(m := own["r11_median_summary"](s, d), decay.fit_gate(m))
     r.add("p6_decay_overlay", "asset direction model offset", "predicted", lambda s, d: panels.decay_overlay(fits(s, d), ["asset", "direction"]), None, digits=4)
     r.add("p7_omori_overlay", "asset offset", "probability excess", lambda s, d: panels.omori_overlay(decay.fit_omori(own["r17_aftershock_excess"](s, d))), None, digits=4)
