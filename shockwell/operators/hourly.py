@@ -10,6 +10,7 @@ from shockwell.functions.columns import MAD_QUANTILE, average_rank, clip, divide
 from shockwell.functions.sketches import sketched_thresholds
 from shockwell.operators.quality import prepared_hourly
 from shockwell.operators.events import greedy_in_time, near_events
+from shockwell.operators.nearest import nearest_in_time
 
 
 def _hours():
@@ -199,7 +200,8 @@ def moment_shocks(rows: DataFrame, q: float = 0.99, cooldown: int = 12, before:
 
 
 def matched_moments(rows: DataFrame, shocks: DataFrame, controls: int = 8, pre: int = 12, post: int = 24, radius: int = 24, least: int = 48) -> tuple[DataFrame, DataFrame]:
-    """(paths, matches): each shock's moments around it, less those of calm bars of the same hour with a like history."""
+    """(paths, matches): each shock's moments around it, less those of calm bars of the same hour with a like history.
+    Controls are the nearest by an exact search that reads only the bars which the penalty for years apart leaves a chance."""
     work = rows.where("regular_session").withColumn("pos", (F.row_number().over(Window.partitionBy("asset").orderBy("begin")) - 1).cast("int"))
     work = work.withColumn("_pre", rolling(F.avg, "m2_clipped", -12, -1, 8)).withColumn("_far", rolling(F.avg, "m2_clipped", -48, -25, 16)).withColumn("_sum", rolling(F.sum, "log_return_oc", -12, -1, 8))
     work = work.withColumns({"f1": F.log1p(clip("_pre", low=0.0)), "f2": F.log1p(clip("_far", low=0.0)), "f3": F.col("_sum") / F.sqrt(clip("_far", low=0.1))})
@@ -211,11 +213,12 @@ def matched_moments(rows: DataFrame, shocks: DataFrame, controls: int = 8, pre:
     own = shocks.select("asset", "event_id", "pos", "direction", "process_class").join(work.select("asset", "pos", "hour", "begin", *names), ["asset", "pos"]).dropna(subset=names)
     own = own.select("asset", "hour", "event_id", F.col("pos").alias("event_position"), F.col("begin").alias("event_begin"), "direction", "process_class", *[F.col(f).alias(f"e_{f}") for f in names])
     right = pool.select("asset", "hour", F.col("pos").alias("control_position"), F.col("begin").alias("control_begin"), "_base", "_count", *[F.col(f).alias(f"c_{f}") for f in names])
-    both = own.join(right, ["asset", "hour"]).join(spans, "asset")
     square = sum((F.pow((F.col(f"e_{f}") - F.col(f"c_{f}")) / F.when(F.col(f"mad_{f}") != 0, F.col(f"mad_{f}")).otherwise(1.0), F.lit(2.0)) for f in names), F.lit(0.0))
     days = F.abs(F.timestamp_diff("MICROSECOND", "control_begin", "event_begin")) / 86_400_000_000.0
+    day = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 86_400_000_000.0
+    own, right = own.join(spans, "asset").withColumn("event_day", day("event_begin")), right.withColumn("control_day", day("control_begin"))
     event = Window.partitionBy("asset", "event_id")
-    ranked = both.withColumn("distance", square + 0.03 * days / 365.0).withColumn("rank", F.row_number().over(event.orderBy("distance", "control_position"))).where(F.col("rank") <= controls)
+    ranked = nearest_in_time(own, right, ["asset", "hour"], "event_id", "event_day", "control_day", square + 0.03 * days / 365.0, 0.03 / 365.0, controls, "control_position", stretch=8 * controls, width=365.0)
     ranked = ranked.withColumn("_k", F.count("*").over(event)).where(F.col("_k") >= max(3, controls // 2))
     base = F.greatest(F.sum(F.col("_base") * F.col("_count")) / F.sum("_count"), F.lit(0.2))
     matches = ranked.groupBy("asset", "event_id", "event_position", "direction", "process_class").agg(F.count("*").alias("controls"), F.avg("distance").alias("mean_distance"), base.alias("baseline"))

@@ -11,6 +11,7 @@ from shockwell.functions.regression import newey_west
 from shockwell.functions.storage import written
 from shockwell.operators.events import indicators, near_events
 from shockwell.operators.har import har_design, recursive_path, with_raw_history
+from shockwell.operators.nearest import nearest_in_time
 
 FEATURES = ["forecast_log_variance", "log_daily", "log_weekly", "log_monthly", "pretrend"]
 
@@ -68,7 +69,8 @@ def matched_controls(diagnostics: DataFrame, events: DataFrame, window: int = 5,
     """The `controls` calm bars nearest to each event in the features known before it, with a penalty for distance in time.
 
     Bars near any event never serve as controls. Bars within `reach` of the event are preferred; an event with fewer than
-    `controls` of them uses all. Events meet candidates of their own asset only.
+    `controls` of them uses all. Events meet candidates of their own asset only, and of those the ones that the penalty
+    leaves a chance.
     """
     rows = event_features(diagnostics, window=trend, energy=energy).join(_lengths(diagnostics), "asset")
     sound = rows.dropna(subset=FEATURES).where(F.col("pos") <= F.col("n") - post - window)
@@ -80,13 +82,11 @@ def matched_controls(diagnostics: DataFrame, events: DataFrame, window: int = 5,
     scales = mids.join(mads, "asset").select("asset", *[F.when(F.col(f"mad_{f}") > 0, F.col(f"mad_{f}")).when(F.col(f"std_{f}") > 0, F.col(f"std_{f}")).otherwise(1.0).alias(f"scale_{f}") for f in FEATURES])
     left = events.select("asset", "pos", "event_id", "direction").join(sound.select("asset", "pos", F.col("begin").alias("event_timestamp"), *[F.col(f).alias(f"event_{f}") for f in FEATURES]), ["asset", "pos"]).withColumnRenamed("pos", "event_position")
     right = pool.select("asset", F.col("pos").alias("control_position"), F.col("begin").alias("control_timestamp"), *[F.col(f).alias(f"control_{f}") for f in FEATURES])
-    both = left.join(scales, "asset").join(right, "asset")
+    left = left.join(scales, "asset")
     square = sum((F.pow((F.col(f"event_{f}") - F.col(f"control_{f}")) / F.col(f"scale_{f}"), F.lit(2.0)) for f in FEATURES), F.lit(0.0))
-    away = F.abs(F.col("event_position") - F.col("control_position"))
-    event = Window.partitionBy("asset", "event_id")
-    both = both.withColumn("distance", F.sqrt(square) + 0.25 * away / max(reach, 1)).withColumn("_near", away <= reach)
-    both = both.withColumn("_local", F.count_if("_near").over(event)).where(F.col("_near") | (F.col("_local") < controls))
-    ranked = both.withColumn("control_rank", F.row_number().over(event.orderBy("distance", "control_position"))).where(F.col("control_rank") <= controls)
+    apart = 0.25 * F.abs(F.col("event_position") - F.col("control_position")) / max(reach, 1)
+    near = nearest_in_time(left, right, ["asset"], "event_id", "event_position", "control_position", F.sqrt(square) + apart, 0.25 / max(reach, 1), controls, "control_position", reach=reach)
+    ranked = near.withColumnRenamed("rank", "control_rank")
     names = [f"{side}_{f}" for side in ("event", "control") for f in FEATURES]
     return ranked.select("asset", "event_id", "event_timestamp", "event_position", "direction", "control_rank", "control_position", "control_timestamp", "distance", *names)
 
@@ -160,9 +160,30 @@ def resampled(rows: DataFrame, by: list[str], samples: int, seed: int) -> DataFr
     return draws.join(numbered, [*by, "index"]).select(*by, "sample", "event_id")
 
 
+def multiplicities(rows: DataFrame, by: list[str], samples: int, seed: int) -> DataFrame:
+    """(by, sample, event_id, times): how often each event was drawn into each sample; events not drawn have no row."""
+    return resampled(rows, by, samples, seed).groupBy(*by, "sample", "event_id").agg(F.count("*").alias("times"))
+
+
+def weighted_median(x: str | Column) -> Column:
+    """Median of x, each value as often as `times` says."""
+    return F.percentile(x, F.lit(0.5), F.col("times"))
+
+
+def weighted_mean(x: str | Column) -> Column:
+    """Mean of x, each value as often as `times` says; nulls count for nothing."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.sum(x * F.col("times")) / F.sum(F.when(x.isNotNull(), F.col("times")))
+
+
 def bootstrap_interval(rows: DataFrame, value: str, by: list[str], at: list[str], statistic, samples: int, seed: int) -> DataFrame:
-    """(by, at, bootstrap_ci_low, bootstrap_ci_high): 95 % interval of a statistic over resampled events."""
-    drawn = resampled(rows, by, samples, seed).join(rows.select(*by, "event_id", *at, value), [*by, "event_id"])
+    """(by, at, bootstrap_ci_low, bootstrap_ci_high): 95 % interval of a statistic, weighted by `times`, over resampled events.
+
+    A sample is its events' multiplicities, which meet each event's values as one array: the values spread out only after
+    the join, into the partial aggregation of the task that has them.
+    """
+    packed = rows.groupBy(*by, "event_id").agg(F.collect_list(F.struct(*at, value)).alias("_values"))
+    drawn = multiplicities(rows, by, samples, seed).join(packed, [*by, "event_id"]).select(*by, "sample", "times", F.inline("_values"))
     each = drawn.groupBy(*by, *at, "sample").agg(statistic(value).alias("s"))
     return each.groupBy(*by, *at).agg(quantile("s", 0.025).alias("bootstrap_ci_low"), quantile("s", 0.975).alias("bootstrap_ci_high"))
 
@@ -173,7 +194,7 @@ def response_summary(paths: DataFrame, samples: int = 500, seed: int = 1729) ->
         raise ValueError("samples must be at least 100")
     v = "abnormal_excess_variance"
     stats = paths.groupBy("asset", "direction", "offset").agg(F.avg(v).alias("mean"), median(v).alias("median"), quantile(v, 0.25).alias("q25"), quantile(v, 0.75).alias("q75"), F.count("*").alias("count"), F.first("method").alias("method"))
-    return stats.join(bootstrap_interval(paths, v, ["asset", "direction"], ["offset"], median, samples, seed), ["asset", "direction", "offset"])
+    return stats.join(bootstrap_interval(paths, v, ["asset", "direction"], ["offset"], weighted_median, samples, seed), ["asset", "direction", "offset"])
 
 
 def event_horizon_values(paths: DataFrame, start: int, end: int) -> DataFrame:
@@ -186,8 +207,8 @@ def horizon_comparisons(paths: DataFrame, horizons: tuple[tuple[int, int], ...]
     out = None
     for a, b in horizons:
         rows = event_horizon_values(paths.where("direction in ('negative', 'positive')"), a, b)
-        drawn = resampled(rows, ["asset", "direction"], samples, seed).join(rows, ["asset", "direction", "event_id"])
-        mids = drawn.groupBy("asset", "sample").agg(median(F.when(F.col("direction") == "negative", F.col("value"))).alias("n"), median(F.when(F.col("direction") == "positive", F.col("value"))).alias("p"))
+        drawn = multiplicities(rows, ["asset", "direction"], samples, seed).join(rows, ["asset", "direction", "event_id"])
+        mids = drawn.groupBy("asset", "sample").agg(weighted_median(F.when(F.col("direction") == "negative", F.col("value"))).alias("n"), weighted_median(F.when(F.col("direction") == "positive", F.col("value"))).alias("p"))
         gaps = mids.withColumn("d", F.col("n") - F.col("p")).groupBy("asset").agg(quantile("d", 0.025).alias("difference_ci_low"), quantile("d", 0.975).alias("difference_ci_high"), F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("d") <= 0).cast("int")), F.avg((F.col("d") >= 0).cast("int")))).alias("bootstrap_p_value"))
         side = lambda d: F.when(F.col("direction") == d, F.col("value"))
         stats = rows.groupBy("asset").agg(median(side("negative")).alias("negative_median_excess"), median(side("positive")).alias("positive_median_excess"), F.count(side("negative")).alias("negative_events"), F.count(side("positive")).alias("positive_events")).where("negative_events >= 3 and positive_events >= 3")

@@ -84,32 +84,55 @@ def parkinson_volatility(candles: DataFrame, window: int, annual: float = ANNUAL
     return df.withColumn("parkinson_volatility", F.sqrt(annual * trailing(F.avg, "_range", window) / (4 * math.log(2)))).drop("_range")
 
 
+#: Bars of one fold; a fold's answers are an array that grows by copying.
+EWMA_BLOCK = 256
+
+
 def ewma_volatility(df: DataFrame, returns: str, span: int = 20, annual: float = ANNUAL) -> DataFrame:
     """Exponentially weighted, with the weight of missing bars decaying too; null before `span` values.
 
-    Each asset's values are folded once by the JVM; the fold keeps every prefix's answer.
+    A segmented scan: blocks of EWMA_BLOCK bars are folded each for itself into the weight that is left to the bars before,
+    mean and variance; the blocks' ends are combined in order, and each bar adds its block's start. The work is linear in a
+    history's length.
     """
     if span < 2:
         raise ValueError("span must be at least 2")
     alpha = 2.0 / (span + 1)
-    rows = df.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("pos", F.col(returns).alias("x")))).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(0.0).alias("v"), F.lit(0).alias("n"), F.lit(0).alias("gap"), F.array().cast("array<struct<pos:int,v:double>>").alias("out"))
+    x = F.col(returns)
+    past = series().rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(x.isNotNull(), F.col("pos")), ignorenulls=True).over(past)
+    weight = F.when(last.isNull(), 1.0).otherwise(alpha / (F.pow(F.lit(1 - alpha), F.col("pos") - last) + alpha))
+    seen = F.count(x).over(series().rowsBetween(Window.unboundedPreceding, 0))
+    rows = df.select("asset", "pos", x.alias("x"), weight.alias("w"), seen.alias("n"), F.floor(F.col("pos") / EWMA_BLOCK).alias("block"))
+    blocks = rows.groupBy("asset", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "w", "n"))).alias("s"))
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"), F.array().cast("array<struct<pos:int,n:bigint,a:double,m:double,v:double>>").alias("out"))
 
     def step(acc, row):
-        x = row["x"]
-        old = F.pow(F.lit(1 - alpha), acc["gap"] + 1.0)
-        w = alpha / (old + alpha)
-        d = x - acc["m"]
-        first = acc["m"].isNull()
-        v = F.when(x.isNull(), acc["v"]).when(first, 0.0).otherwise((1 - w) * (acc["v"] + w * d * d))
-        m = F.when(x.isNull(), acc["m"]).when(first, x).otherwise(acc["m"] + w * d)
-        n = acc["n"] + F.when(x.isNull(), 0).otherwise(1)
-        gap = F.when(x.isNull(), F.when(first, 0).otherwise(acc["gap"] + 1)).otherwise(0)
-        told = F.when(n >= span, v)
-        return F.struct(m.alias("m"), v.alias("v"), n.alias("n"), gap.alias("gap"), F.concat(acc["out"], F.array(F.struct(row["pos"].alias("pos"), told.alias("v")))).alias("out"))
-
-    each = rows.select("asset", F.explode(F.aggregate("s", start, step)["out"]).alias("o"))
-    found = each.select("asset", F.col("o.pos").alias("pos"), F.sqrt(annual * F.col("o.v")).alias("ewma_volatility"))
+        missing = row["x"].isNull()
+        a = acc["a"] * (1 - row["w"])
+        u, d = row["w"] / (1 - a), row["x"] - acc["m"]
+        a = F.when(missing, acc["a"]).otherwise(a)
+        m = F.when(missing, acc["m"]).otherwise(acc["m"] + u * d)
+        v = F.when(missing, acc["v"]).otherwise((1 - u) * (acc["v"] + u * d * d))
+        told = F.struct(row["pos"].alias("pos"), row["n"].alias("n"), a.alias("a"), m.alias("m"), v.alias("v"))
+        return F.struct(a.alias("a"), m.alias("m"), v.alias("v"), F.concat(acc["out"], F.array(told)).alias("out"))
+
+    def joined(before, own):
+        """Mean and variance of what is before a block and `own` of it together."""
+        a, d = own["a"], before["m"] - own["m"]
+        return a * before["m"] + (1 - a) * own["m"], a * before["v"] + (1 - a) * own["v"] + a * (1 - a) * d * d
+
+    folded = blocks.select("asset", "block", F.aggregate("s", start, step)["out"].alias("out"))
+    ends = folded.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("block", F.element_at("out", -1).alias("e")))).alias("s"))
+    nothing = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("v"), F.array().cast("array<struct<block:bigint,m:double,v:double>>").alias("out"))
+
+    def carry(acc, row):
+        m, v = joined(acc, row["e"])
+        return F.struct(m.alias("m"), v.alias("v"), F.concat(acc["out"], F.array(F.struct(row["block"].alias("block"), acc["m"].alias("m"), acc["v"].alias("v")))).alias("out"))
+
+    starts = ends.select("asset", F.explode(F.aggregate("s", nothing, carry)["out"]).alias("b")).select("asset", F.col("b.block").alias("block"), "b")
+    each = folded.join(starts, ["asset", "block"]).select("asset", "b", F.explode("out").alias("o"))
+    found = each.select("asset", F.col("o.pos").alias("pos"), F.when(F.col("o.n") >= span, F.sqrt(annual * joined(F.col("b"), F.col("o"))[1])).alias("ewma_volatility"))
     return df.join(found, ["asset", "pos"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shockwell.functions.columns import median, quantile_bucket, rolling
 from shockwell.operators import hourly, quality, trend
-from shockwell.operators.responses import bootstrap_interval
+from shockwell.operators.responses import bootstrap_interval, weighted_mean, weighted_median
 from shockwell.plans.daily import bucket_sql, full
 from shockwell.plans.registry import Registry
 from shockwell.sources import candles
@@ -124,7 +124,7 @@ def register(r: Registry) -> None:
         by = ["process_class", "direction"]
         rows = rows.withColumn("event_id", F.concat_ws("-", "asset", F.format_string("%06d", F.col("event_id").cast("int"))))
         stats = rows.groupBy(*by, "offset").agg(F.count("*").alias("events"), median("abnormal_m2").alias("median_abnormal_m2"), F.avg("abnormal_m3").alias("mean_abnormal_m3"))
-        for value, name, fn in (("abnormal_m2", "m2", median), ("abnormal_m3", "m3", F.avg)):
+        for value, name, fn in (("abnormal_m2", "m2", weighted_median), ("abnormal_m3", "m3", weighted_mean)):
             ci = bootstrap_interval(rows, value, by, ["offset"], fn, SAMPLES, 2026).withColumnsRenamed({"bootstrap_ci_low": f"{name}_ci_low", "bootstrap_ci_high": f"{name}_ci_high"})
             stats = stats.join(ci, [*by, "offset"])
         return stats
