@@ -193,6 +193,7 @@ def response_summary(paths: DataFrame, samples: int = 500, seed: int = 1729) ->
     if samples < 100:
         raise ValueError("samples must be at least 100")
     v = "abnormal_excess_variance"
+    paths = written(paths.select("asset", "direction", "event_id", "offset", "method", v), "responses")  # read for the counts and the draws
     stats = paths.groupBy("asset", "direction", "offset").agg(F.avg(v).alias("mean"), median(v).alias("median"), quantile(v, 0.25).alias("q25"), quantile(v, 0.75).alias("q75"), F.count("*").alias("count"), F.first("method").alias("method"))
     return stats.join(bootstrap_interval(paths, v, ["asset", "direction"], ["offset"], weighted_median, samples, seed), ["asset", "direction", "offset"])
 
@@ -204,17 +205,17 @@ def event_horizon_values(paths: DataFrame, start: int, end: int) -> DataFrame:
 
 def horizon_comparisons(paths: DataFrame, horizons: tuple[tuple[int, int], ...] = ((1, 5), (6, 10), (11, 20)), samples: int = 2000, seed: int = 31415) -> DataFrame:
     """Median excess of negative minus that of positive shocks by horizon, with a bootstrap interval and p value."""
-    out = None
-    for a, b in horizons:
-        rows = event_horizon_values(paths.where("direction in ('negative', 'positive')"), a, b)
-        drawn = multiplicities(rows, ["asset", "direction"], samples, seed).join(rows, ["asset", "direction", "event_id"])
-        mids = drawn.groupBy("asset", "sample").agg(weighted_median(F.when(F.col("direction") == "negative", F.col("value"))).alias("n"), weighted_median(F.when(F.col("direction") == "positive", F.col("value"))).alias("p"))
-        gaps = mids.withColumn("d", F.col("n") - F.col("p")).groupBy("asset").agg(quantile("d", 0.025).alias("difference_ci_low"), quantile("d", 0.975).alias("difference_ci_high"), F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("d") <= 0).cast("int")), F.avg((F.col("d") >= 0).cast("int")))).alias("bootstrap_p_value"))
-        side = lambda d: F.when(F.col("direction") == d, F.col("value"))
-        stats = rows.groupBy("asset").agg(median(side("negative")).alias("negative_median_excess"), median(side("positive")).alias("positive_median_excess"), F.count(side("negative")).alias("negative_events"), F.count(side("positive")).alias("positive_events")).where("negative_events >= 3 and positive_events >= 3")
-        own = stats.join(gaps, "asset").withColumn("negative_minus_positive", F.col("negative_median_excess") - F.col("positive_median_excess")).withColumn("horizon", F.lit(f"{a}-{b}"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    spans = F.array(*[F.struct(F.lit(f"{a}-{b}").alias("horizon"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in horizons])
+    rows = paths.where("direction in ('negative', 'positive')").select("asset", "direction", "event_id", "offset", "abnormal_log_variance", F.inline(spans)).where("offset between a and b")
+    values = rows.groupBy("asset", "horizon", "direction", "event_id").agg(F.expm1(F.avg("abnormal_log_variance")).alias("value"))
+    values = written(values, "horizons")  # read for the medians and the draws
+    by, key = ["asset", "horizon"], ["asset", "horizon", "direction"]
+    side = lambda d: F.when(F.col("direction") == d, F.col("value"))
+    drawn = multiplicities(values, key, samples, seed).join(values, [*key, "event_id"])
+    mids = drawn.groupBy(*by, "sample").agg(weighted_median(side("negative")).alias("n"), weighted_median(side("positive")).alias("p"))
+    gaps = mids.withColumn("d", F.col("n") - F.col("p")).groupBy(*by).agg(quantile("d", 0.025).alias("difference_ci_low"), quantile("d", 0.975).alias("difference_ci_high"), F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("d") <= 0).cast("int")), F.avg((F.col("d") >= 0).cast("int")))).alias("bootstrap_p_value"))
+    stats = values.groupBy(*by).agg(median(side("negative")).alias("negative_median_excess"), median(side("positive")).alias("positive_median_excess"), F.count(side("negative")).alias("negative_events"), F.count(side("positive")).alias("positive_events")).where("negative_events >= 3 and positive_events >= 3")
+    return stats.join(gaps, by).withColumn("negative_minus_positive", F.col("negative_median_excess") - F.col("positive_median_excess"))
 
 
 def early_summary(summaries: DataFrame, early_end: int = 5) -> DataFrame:

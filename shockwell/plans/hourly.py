@@ -9,6 +9,7 @@ from shockwell.operators import hourly, quality, trend
 from shockwell.operators.responses import bootstrap_interval, weighted_mean, weighted_median
 from shockwell.plans.daily import bucket_sql, full
 from shockwell.plans.registry import Registry
+from shockwell.plans.shocks import draws
 from shockwell.sources import candles
 
 #: A month of hours: windows are short, so that every clock hour has enough bars.
@@ -83,7 +84,20 @@ def register(r: Registry) -> None:
     r.add("h11_affine_horizons", "asset horizon_hours observations", "predicted_affine_skewness observed_skewness", lambda s, d: hourly.affine_horizon_test(prepared(s, d), law(s, d)),
           """SELECT asset, CAST(horizon_hours AS INTEGER) AS horizon_hours, observations, (exp(0.0009 * horizon_hours) + 2) * sqrt(exp(0.0009 * horizon_hours) - 1) AS predicted_affine_skewness, avg(e * e * e) / pow(avg(e * e), 1.5) * sqrt(observations * (observations - 1)) / (observations - 2) AS observed_skewness
       FROM (SELECT *, w - avg(w) OVER (PARTITION BY asset, horizon_hours) AS e FROM (SELECT *, least(greatest(r, lo), hi) AS w FROM residuals WHERE observations >= 50)) GROUP BY asset, horizon_hours, observations""", digits=6)
-    r.add("h11_fitted_horizons", "asset horizon_hours observations", "predicted_affine_skewness observed_skewness", lambda s, d: hourly.affine_horizon_test(prepared(s, d), hourly.fit_mobility(bins(s, d))), None, digits=4)
+    # The same law fitted to the hourly candles themselves, with the operators' own gates.
+    hour_bins = lambda s, d: r.keep(hourly.price_bins(prepared(s, d)))
+    r.cte("hours_adjusted", "SELECT *, price_increment / CASE WHEN am > 0 THEN greatest(hm / am, 0.2) ELSE 1 END AS x FROM (SELECT *, median(abs(log_return_oc)) OVER (PARTITION BY asset) AS am, median(abs(log_return_oc)) OVER (PARTITION BY asset, hour) AS hm, count(*) OVER (PARTITION BY asset, year) AS cnt FROM prepared) WHERE cnt >= 400")
+    r.cte("hours_trimmed", "SELECT * FROM (SELECT *, quantile_cont(x, 0.005) OVER (PARTITION BY asset, year) AS lo, quantile_cont(x, 0.995) OVER (PARTITION BY asset, year) AS hi FROM hours_adjusted) WHERE x BETWEEN lo AND hi")
+    r.cte("hours_bucketed", bucket_sql("price", 8, "asset, year", "hours_trimmed"))
+    r.cte("hours_bins", "SELECT asset, year, CAST(bucket AS INTEGER) AS bucket, avg(price) AS price, count(*) AS observations, sqrt(avg(e * e)) AS mobility, avg(e * e * e) / nullif(pow(avg(e * e), 1.5), 0) AS skew_price FROM (SELECT *, x - avg(x) OVER (PARTITION BY asset, year, bucket) AS e FROM hours_bucketed) GROUP BY ALL HAVING count(*) >= 40")
+    r.cte("hours_fits", solved(f"SELECT asset, {sums} FROM hours_bins GROUP BY 1", "asset"))
+    r.add("h6_hourly_price_bins", "asset year bucket observations", "price mobility skew_price", hour_bins, "SELECT * FROM hours_bins", digits=6)
+    r.add("h9_hourly_mobility_fits", "asset model", "a b", lambda s, d: hourly.fit_mobility(hour_bins(s, d)), "SELECT * FROM hours_fits", digits=5)
+    r.cte("fitted_residuals", """SELECT *, quantile_cont(r, 0.005) OVER g AS lo, quantile_cont(r, 0.995) OVER g AS hi, count(*) OVER g AS observations FROM (SELECT *, (end_close - open) / CASE WHEN b > 1e-12 THEN (a + b * price) / b * sqrt(exp(b * b * horizon_hours) - 1) ELSE a * sqrt(horizon_hours) END AS r
+      FROM steps JOIN hours_fits USING (asset) WHERE model = 'affine' AND epoch_us(end_begin) - epoch_us(begin) = (horizon_hours - 1) * 3600000000 AND CAST(end_begin AS DATE) = CAST(begin AS DATE)) WHERE isfinite(r) WINDOW g AS (PARTITION BY asset, horizon_hours)""")
+    r.add("h11_fitted_horizons", "asset horizon_hours observations", "predicted_affine_skewness observed_skewness", lambda s, d: hourly.affine_horizon_test(prepared(s, d), hourly.fit_mobility(hour_bins(s, d))),
+          """SELECT asset, CAST(horizon_hours AS INTEGER) AS horizon_hours, observations, CASE WHEN b > 1e-12 THEN (exp(b * b * horizon_hours) + 2) * sqrt(exp(b * b * horizon_hours) - 1) ELSE 0 END AS predicted_affine_skewness, avg(e * e * e) / pow(avg(e * e), 1.5) * sqrt(observations * (observations - 1)) / (observations - 2) AS observed_skewness
+      FROM (SELECT *, w - avg(w) OVER (PARTITION BY asset, horizon_hours) AS e FROM (SELECT *, least(greatest(r, lo), hi) AS w FROM fitted_residuals WHERE observations >= 50)) GROUP BY asset, horizon_hours, observations, b""", digits=4)
     # Moment shocks
     r.cte("synchrony", "SELECT begin, count(*) FILTER (abs(z_return) > bar) / (SELECT count(DISTINCT asset) FROM z) AS synchrony FROM z JOIN (SELECT asset, quantile_cont(abs(z_return), 0.95) AS bar FROM z GROUP BY 1) USING (asset) GROUP BY 1")
     r.add("h15_panel_synchrony", "begin", "synchrony", lambda s, d: hourly.panel_synchrony(z(s, d)), "SELECT * FROM synchrony")
@@ -129,7 +143,11 @@ def register(r: Registry) -> None:
             stats = stats.join(ci, [*by, "offset"])
         return stats
 
-    r.add("h14_moment_summary", "process_class direction offset events", "median_abnormal_m2 m2_ci_low m2_ci_high mean_abnormal_m3 m3_ci_low m3_ci_high", aggregate, None, digits=6)
+    r.cte("named_paths", "SELECT * REPLACE (asset || '-' || printf('%06d', event_id) AS event_id) FROM hour_paths")
+    r.add("h14_moment_summary", "process_class direction offset events", "median_abnormal_m2 m2_ci_low m2_ci_high mean_abnormal_m3 m3_ci_low m3_ci_high", aggregate,
+          f"""SELECT * FROM (SELECT process_class, direction, "offset", count(*) AS events, median(abnormal_m2) AS median_abnormal_m2, avg(abnormal_m3) AS mean_abnormal_m3 FROM named_paths GROUP BY ALL)
+          JOIN (SELECT process_class, direction, "offset", quantile_cont(s2, 0.025) AS m2_ci_low, quantile_cont(s2, 0.975) AS m2_ci_high, quantile_cont(s3, 0.025) AS m3_ci_low, quantile_cont(s3, 0.975) AS m3_ci_high FROM
+            (SELECT d.process_class, d.direction, sample, "offset", median(abnormal_m2) AS s2, avg(abnormal_m3) AS s3 FROM ({draws('named_paths', 2026, 'process_class, direction', SAMPLES)}) d JOIN named_paths x ON x.process_class = d.process_class AND x.direction = d.direction AND x.event_id = d.event_id GROUP BY ALL) GROUP BY ALL) USING (process_class, direction, "offset")""", digits=6)
 
     def diagnostic(s, d):
         m = hourly.market_moments(z(s, d)).withColumn("asset", F.lit("market")).withColumn("pos", F.row_number().over(_time()) - 1)

@@ -41,7 +41,8 @@ def register(r: Registry) -> None:
     r.add("p10_walk_forward_verdict", "asset years", "mean_delta_qlike mean_delta_log_mse", lambda s, d: own["t16_walk_forward"](s, d).groupBy("asset").agg(F.count("*").alias("years"), F.avg("delta_qlike_full_minus_baseline").alias("mean_delta_qlike"), F.avg("delta_log_mse_full_minus_baseline").alias("mean_delta_log_mse")), None, digits=5)
     r.add("p10_affine_residual", "asset", "mean_residual", lambda s, d: own["h11_affine_horizons"](s, d).groupBy("asset").agg(F.avg(F.col("observed_skewness") - F.col("predicted_affine_skewness")).alias("mean_residual")), f"SELECT asset, avg(observed_skewness - predicted_affine_skewness) AS mean_residual FROM ({r.sql['h11_affine_horizons']}) GROUP BY 1", digits=5)
     names = "negative_median_excess positive_median_excess negative_minus_positive difference_ci_low difference_ci_high"
-    r.add("p11_horizon_table", "asset method horizon negative_events positive_events", names + " bootstrap_p_value", lambda s, d: panels.horizon_table({"HAR conditional median": own["r13_horizon_comparisons"](s, d)}),
-          f"SELECT * REPLACE ({', '.join(f'100 * {c} AS {c}' for c in names.split())}), 'HAR conditional median' AS method FROM ({r.sql['r13_horizon_comparisons']})", digits=4)
+    methods = {"HAR conditional median": "r13_horizon_comparisons", "Matched controls": "r13_matched_comparisons"}
+    r.add("p11_horizon_table", "asset method horizon negative_events positive_events", names + " bootstrap_p_value", lambda s, d: panels.horizon_table({m: own[n](s, d) for m, n in methods.items()}),
+          " UNION ALL BY NAME ".join(f"SELECT * REPLACE ({', '.join(f'100 * {c} AS {c}' for c in names.split())}), '{m}' AS method FROM ({r.sql[n]})" for m, n in methods.items()), digits=4)
     given = {"tau": 9.25, "amplitude": 0.123456, "shift": 120.0, "zero": 0.0}
     r.add("p14_record_text", "id text", "", lambda s, d: s.range(1).select("id", panels.record_text(F.create_map(*[x for k, v in given.items() for x in (F.lit(k), F.lit(v))])).alias("text")), "SELECT CAST(0 AS BIGINT) AS id, 'amplitude=0.1235, shift=120, tau=9.25, zero=0' AS text")

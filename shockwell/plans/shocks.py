@@ -29,6 +29,14 @@ def event_sql(source: str, score: str, fn: str = "quantile_cont") -> str:
         JOIN (SELECT asset, {fn}({score}, 0.95) AS threshold FROM {source} GROUP BY 1) b ON c.asset = b.asset AND c.{score} >= b.threshold GROUP BY 1)) k ON e.asset = k.asset AND e.pos = k.pos"""
 
 
+def draws(rows: str, seed: int, by: str, samples: int = SAMPLES) -> str:
+    """Each sample's events, drawn by hashes as `responses.resampled` does."""
+    join = " AND ".join(f"t.{c} = i.{c}" for c in by.split(", "))
+    columns = ", ".join(f"t.{c}" for c in by.split(", "))
+    return f"""SELECT {columns}, sample, i.event_id FROM (SELECT {by}, size, sample, unnest(range(size)) AS turn FROM (SELECT {by}, count(DISTINCT event_id) AS size, unnest(range(1, {samples + 1})) AS sample FROM {rows} GROUP BY {by})) t
+      JOIN (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY event_id) - 1 AS idx FROM (SELECT DISTINCT {by}, event_id FROM {rows})) i ON {join} AND i.idx = CAST('0x' || substr(md5('{seed}|' || sample || '|' || turn), 1, 8) AS BIGINT) % t.size"""
+
+
 def register(r: Registry) -> None:
     # Kept while a query runs: events, controls and paths all read them, and Spark knows an equal plan again.
     q = "gap_rogers_satchell"
@@ -82,12 +90,6 @@ def register(r: Registry) -> None:
       FROM shocks e JOIN (SELECT m.asset, m.event_id, o.k AS "offset", exp(median(ln(a.v))) AS counterfactual_variance, count(*) AS control_count FROM matches m CROSS JOIN (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS k) o JOIN ahead a ON a.asset = m.asset AND a.pos = m.control_position + o.k WHERE a.v > 0 GROUP BY ALL HAVING count(*) >= 5) c ON c.asset = e.asset AND c.event_id = e.event_id
       JOIN ahead a ON a.asset = e.asset AND a.pos = e.pos + c."offset" WHERE a.v > 0) QUALIFY count(*) OVER (PARTITION BY asset, event_id) = 30""")
 
-    def draws(rows: str, seed: int, by: str, samples: int = SAMPLES) -> str:
-        join = " AND ".join(f"t.{c} = i.{c}" for c in by.split(", "))
-        columns = ", ".join(f"t.{c}" for c in by.split(", "))
-        return f"""SELECT {columns}, sample, i.event_id FROM (SELECT {by}, size, sample, unnest(range(size)) AS turn FROM (SELECT {by}, count(DISTINCT event_id) AS size, unnest(range(1, {samples + 1})) AS sample FROM {rows} GROUP BY {by})) t
-          JOIN (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY event_id) - 1 AS idx FROM (SELECT DISTINCT {by}, event_id FROM {rows})) i ON {join} AND i.idx = CAST('0x' || substr(md5('{seed}|' || sample || '|' || turn), 1, 8) AS BIGINT) % t.size"""
-
     def summary(rows: str, method: str) -> str:
         v = "abnormal_excess_variance"
         return f"""SELECT *, '{method}' AS method FROM (SELECT asset, direction, "offset", avg({v}) AS mean, median({v}) AS median, quantile_cont({v}, 0.25) AS q25, quantile_cont({v}, 0.75) AS q75, count(*) AS count FROM {rows} GROUP BY ALL)
@@ -148,14 +150,21 @@ def register(r: Registry) -> None:
     r.add("r11_median_summary", "asset direction offset count method", sm, lambda s, d: responses.response_summary(median_paths(s, d), SAMPLES), "SELECT * FROM median_summary", digits=7)
     r.add("r11_matched_summary", "asset direction offset count method", sm, lambda s, d: responses.response_summary(matched(s, d), SAMPLES), "SELECT * FROM matched_summary", digits=7)
     r.add("r12_event_horizon_values", "asset direction event_id", "value", lambda s, d: responses.event_horizon_values(median_paths(s, d), 1, 5), 'SELECT asset, direction, event_id, exp(avg(abnormal_log_variance)) - 1 AS value FROM median_response WHERE "offset" BETWEEN 1 AND 5 GROUP BY ALL', digits=7)
-    parts = []
-    for a, b in ((1, 5), (6, 10), (11, 20)):
-        r.cte(f"values_{a}", f"""SELECT asset, direction, event_id, exp(avg(abnormal_log_variance)) - 1 AS value FROM median_response WHERE "offset" BETWEEN {a} AND {b} AND direction IN ('negative', 'positive') GROUP BY ALL""")
-        parts.append(f"""SELECT '{a}-{b}' AS horizon, s.*, negative_median_excess - positive_median_excess AS negative_minus_positive, difference_ci_low, difference_ci_high, bootstrap_p_value FROM
-          (SELECT asset, median(value) FILTER (direction = 'negative') AS negative_median_excess, median(value) FILTER (direction = 'positive') AS positive_median_excess, count(*) FILTER (direction = 'negative') AS negative_events, count(*) FILTER (direction = 'positive') AS positive_events FROM values_{a} GROUP BY 1) s
-          JOIN (SELECT asset, quantile_cont(d, 0.025) AS difference_ci_low, quantile_cont(d, 0.975) AS difference_ci_high, least(1, 2 * least(avg(CAST(d <= 0 AS INTEGER)), avg(CAST(d >= 0 AS INTEGER)))) AS bootstrap_p_value FROM
-            (SELECT w.asset, sample, median(value) FILTER (w.direction = 'negative') - median(value) FILTER (w.direction = 'positive') AS d FROM ({draws(f'values_{a}', 31415, 'asset, direction', HORIZON_SAMPLES)}) w JOIN values_{a} v ON v.asset = w.asset AND v.direction = w.direction AND v.event_id = w.event_id GROUP BY ALL) GROUP BY 1) USING (asset) WHERE negative_events >= 3 AND positive_events >= 3""")
-    r.add("r13_horizon_comparisons", "asset horizon negative_events positive_events", "negative_median_excess positive_median_excess negative_minus_positive difference_ci_low difference_ci_high bootstrap_p_value", lambda s, d: responses.horizon_comparisons(median_paths(s, d), samples=HORIZON_SAMPLES), " UNION ALL BY NAME ".join(parts), digits=7)
+    def horizons(source: str) -> str:
+        """The horizon comparisons of one method's responses."""
+        parts = []
+        for a, b in ((1, 5), (6, 10), (11, 20)):
+            values = f"{source}_values_{a}"
+            r.cte(values, f"""SELECT asset, direction, event_id, exp(avg(abnormal_log_variance)) - 1 AS value FROM {source} WHERE "offset" BETWEEN {a} AND {b} AND direction IN ('negative', 'positive') GROUP BY ALL""")
+            parts.append(f"""SELECT '{a}-{b}' AS horizon, s.*, negative_median_excess - positive_median_excess AS negative_minus_positive, difference_ci_low, difference_ci_high, bootstrap_p_value FROM
+              (SELECT asset, median(value) FILTER (direction = 'negative') AS negative_median_excess, median(value) FILTER (direction = 'positive') AS positive_median_excess, count(*) FILTER (direction = 'negative') AS negative_events, count(*) FILTER (direction = 'positive') AS positive_events FROM {values} GROUP BY 1) s
+              JOIN (SELECT asset, quantile_cont(d, 0.025) AS difference_ci_low, quantile_cont(d, 0.975) AS difference_ci_high, least(1, 2 * least(avg(CAST(d <= 0 AS INTEGER)), avg(CAST(d >= 0 AS INTEGER)))) AS bootstrap_p_value FROM
+                (SELECT w.asset, sample, median(value) FILTER (w.direction = 'negative') - median(value) FILTER (w.direction = 'positive') AS d FROM ({draws(values, 31415, 'asset, direction', HORIZON_SAMPLES)}) w JOIN {values} v ON v.asset = w.asset AND v.direction = w.direction AND v.event_id = w.event_id GROUP BY ALL) GROUP BY 1) USING (asset) WHERE negative_events >= 3 AND positive_events >= 3""")
+        return " UNION ALL BY NAME ".join(parts)
+
+    compared = "negative_median_excess positive_median_excess negative_minus_positive difference_ci_low difference_ci_high bootstrap_p_value"
+    for name, of, source in (("r13_horizon_comparisons", median_paths, "median_response"), ("r13_matched_comparisons", matched, "matched_response")):
+        r.add(name, "asset horizon negative_events positive_events", compared, lambda s, d, of=of: responses.horizon_comparisons(of(s, d), samples=HORIZON_SAMPLES), horizons(source), digits=7)
     both = lambda s, d: responses.response_summary(median_paths(s, d), SAMPLES).unionByName(responses.response_summary(matched(s, d), SAMPLES))
     r.add("r14_early_summary", "asset method direction positive_support minimum_events", "early_mean_excess", lambda s, d: responses.early_summary(both(s, d)),
           """SELECT asset, method, direction, avg(median) AS early_mean_excess, bool_or(bootstrap_ci_low > 0) AS positive_support, min(count) AS minimum_events FROM (SELECT asset, method, direction, "offset", median, bootstrap_ci_low, count FROM median_summary UNION ALL BY NAME SELECT asset, method, direction, "offset", median, bootstrap_ci_low, count FROM matched_summary) WHERE "offset" <= 5 GROUP BY ALL""", digits=7)
