@@ -75,7 +75,6 @@ def register(r: Registry) -> None:
     r.cte("year_fits", solved("SELECT * FROM left_out", "asset, year"))
     r.add("h9_mobility_validation", "asset model years winner", "mean median std", lambda s, d: hourly.cross_validate_mobility(bins(s, d)),
           "SELECT *, row_number() OVER (PARTITION BY asset ORDER BY round(mean, 9), model) = 1 AS winner FROM (SELECT asset, model, avg(error) AS mean, median(error) AS median, stddev_samp(error) AS std, count(*) AS years FROM (SELECT asset, year, model, sqrt(sum(observations * pow(mobility - a - b * price, 2)) / sum(observations)) / (sum(observations * mobility) / sum(observations)) AS error FROM bins JOIN year_fits USING (asset, year) GROUP BY ALL) GROUP BY ALL)", digits=6)
-    r.add("h10_affine_skewness", "h", "skewness", lambda s, d: s.range(1, 9).select(F.col("id").alias("h"), hourly.affine_skewness(0.03, F.col("id")).alias("skewness")), "SELECT h, (exp(0.0009 * h) + 2) * sqrt(exp(0.0009 * h) - 1) AS skewness FROM (SELECT unnest(range(1, 9)) AS h)")
     r.cte("steps", " UNION ALL ".join(f"SELECT asset, {h} AS horizon_hours, begin, open, price, lead(close, {h - 1}) OVER w AS end_close, lead(begin, {h - 1}) OVER w AS end_begin FROM prepared WINDOW w AS (PARTITION BY asset ORDER BY begin)" for h in (1, 2, 4, 6, 8)))
     r.cte("hourly_law", "SELECT asset, 0.4 AS a, 0.03 AS b FROM prepared GROUP BY 1")
     law = lambda s, d: prepared(s, d).select("asset").distinct().select("asset", F.lit("affine").alias("model"), F.lit(0.4).alias("a"), F.lit(0.03).alias("b"))
@@ -93,6 +92,9 @@ def register(r: Registry) -> None:
     r.cte("hours_fits", solved(f"SELECT asset, {sums} FROM hours_bins GROUP BY 1", "asset"))
     r.add("h6_hourly_price_bins", "asset year bucket observations", "price mobility skew_price", hour_bins, "SELECT * FROM hours_bins", digits=6)
     r.add("h9_hourly_mobility_fits", "asset model", "a b", lambda s, d: hourly.fit_mobility(hour_bins(s, d)), "SELECT * FROM hours_fits", digits=5)
+    affine_fits = lambda s, d: r.queries["h9_hourly_mobility_fits"](s, d).where("model = 'affine'")
+    r.add("h10_affine_skewness", "asset h", "skewness", lambda s, d: affine_fits(s, d).select("asset", "b", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("h")).select("asset", "h", hourly.affine_skewness(F.col("b"), F.col("h")).alias("skewness")),
+          f"SELECT asset, h, CASE WHEN b > 1e-12 THEN (exp(b * b * h) + 2) * sqrt(exp(b * b * h) - 1) ELSE 0 END AS skewness FROM ({r.sql['h9_hourly_mobility_fits']}) CROSS JOIN (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS h) WHERE model = 'affine'", digits=6)
     r.cte("fitted_residuals", """SELECT *, quantile_cont(r, 0.005) OVER g AS lo, quantile_cont(r, 0.995) OVER g AS hi, count(*) OVER g AS observations FROM (SELECT *, (end_close - open) / CASE WHEN b > 1e-12 THEN (a + b * price) / b * sqrt(exp(b * b * horizon_hours) - 1) ELSE a * sqrt(horizon_hours) END AS r
       FROM steps JOIN hours_fits USING (asset) WHERE model = 'affine' AND epoch_us(end_begin) - epoch_us(begin) = (horizon_hours - 1) * 3600000000 AND CAST(end_begin AS DATE) = CAST(begin AS DATE)) WHERE isfinite(r) WINDOW g AS (PARTITION BY asset, horizon_hours)""")
     r.add("h11_fitted_horizons", "asset horizon_hours observations", "predicted_affine_skewness observed_skewness", lambda s, d: hourly.affine_horizon_test(prepared(s, d), hourly.fit_mobility(hour_bins(s, d))),
