@@ -73,7 +73,6 @@ def register(r: Registry) -> None:
           f"""SELECT asset, "offset" AS t, baseline_rate + greatest(max(excess_rate) OVER (PARTITION BY asset), 0) / pow("offset" + 1.5, 0.9) AS p FROM ({r.sql['r17_aftershock_excess']})""", digits=6)
     curves = lambda s, d: own["h14_moment_summary"](s, d)
     kind = ["process_class", "direction"]
-    r.add("d12_process_grid", "process_class direction model sample_size", "rmse", lambda s, d: decay.fit_process_models(curves(s, d), kind, least=1), None, digits=4)
     def process_laws(s, d):
         rows = r.keep(curves(s, d).where("offset > 0"))
         up = F.col("median_abnormal_m2") > 0
@@ -87,6 +86,7 @@ def register(r: Registry) -> None:
           }), digits=5)
     r.add("d14_process_fits", "process_class direction model sample_size", "rmse sse", lambda s, d: decay.fit_process_models(curves(s, d), kind), None, digits=4)
     named = lambda s, d: own["h13_matched_paths"](s, d).withColumn("event_id", F.concat_ws("-", "asset", "event_id"))
+    r.add("d12_process_grid", "asset event_id model sample_size", "rmse", lambda s, d: decay.fit_process_models(own["h13_matched_paths"](s, d), ["asset", "event_id"], value="abnormal_m2"), None, digits=4)  # each event's own curve
     r.add("d15_process_validation", "process_class direction model folds", "mean median std", lambda s, d: decay.cross_validate_process_models(named(s, d)), None, digits=4)
     moments = lambda s, d: written(decay.amplitude_sample(named(s, d)), "amplitudes")
     r.add("d18_amplitude_sample", "process_class direction event_id offset t", "x y", lambda s, d: decay.amplitude_sample(named(s, d)),

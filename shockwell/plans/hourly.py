@@ -53,7 +53,7 @@ def register(r: Registry) -> None:
     r.add("h4_session_moments", "asset hour observations", moments, lambda s, d: hourly.session_moments(prepared(s, d), 20), summary_sql("prepared", "log_return_oc", "asset, hour", 20), digits=7)
     r.cte("nights", "SELECT *, ln(first_open / lag(last_close) OVER (PARTITION BY asset ORDER BY date)) AS r FROM (SELECT asset, date, arg_min(open, pos) AS first_open, arg_max(close, pos) AS last_close FROM prepared GROUP BY ALL)")
     r.cte("labelled", "SELECT *, unnest(list_filter(['all', CASE WHEN year(date) <> 2022 THEN 'exclude_year' END, CASE WHEN abs(r) < ln(1.2) THEN 'absolute_gap_below_20pct' END, CASE WHEN year(date) <> 2022 AND abs(r) < ln(1.2) THEN 'exclude_year_and_20pct' END], lambda x: x IS NOT NULL)) AS filter FROM nights")
-    r.add("h5_overnight_moments", 'asset filter observations', moments, lambda s, d: hourly.overnight_moments(prepared(s, d), 5), summary_sql("labelled", "r", 'asset, "filter"', 5), digits=7)
+    r.add("h5_overnight_moments", 'asset filter observations', moments, lambda s, d: hourly.overnight_moments(prepared(s, d)), summary_sql("labelled", "r", 'asset, "filter"', 20), digits=7)
     # Mobility needs several years: daily candles of all assets together.
     daily = lambda s, d: quality.prepared_hourly(candles.daily_candles(s, d), 0, 23)
     bins = lambda s, d: r.keep(hourly.price_bins(daily(s, d), 8, 20, 200))
@@ -108,17 +108,20 @@ def register(r: Registry) -> None:
     r.add("h16_market_moments", "begin assets", "market_m2 market_m3 negative_share synchrony_95", lambda s, d: hourly.market_moments(z(s, d)), "SELECT * FROM market JOIN synchrony_clipped USING (begin)", digits=7)
     r.add("h17_panel", "asset begin", "z_return", lambda s, d: hourly.panel(z(s, d), 500), "SELECT asset, begin, z_return FROM (SELECT *, count(z_return) OVER (PARTITION BY begin) AS k FROM (SELECT *, count(*) OVER (PARTITION BY asset) AS n FROM z) WHERE n >= 500) WHERE k >= greatest(3, ceil(0.6 * (SELECT count(*) FROM (SELECT asset FROM z GROUP BY 1 HAVING count(*) >= 500))))", digits=7)
     over = "OVER (PARTITION BY asset ORDER BY pos ROWS BETWEEN"
-    r.cte("candidates", f"SELECT *, row_number() OVER (PARTITION BY asset ORDER BY pos) - 1 AS event_id FROM (SELECT *, avg(m2_clipped) {over} 12 PRECEDING AND 1 PRECEDING) AS precursor_m2, avg(m2_clipped) {over} 48 PRECEDING AND 25 PRECEDING) AS far_m2, quantile_cont(abs(z_return), 0.97) OVER (PARTITION BY asset) AS threshold, count(*) OVER (PARTITION BY asset) AS n FROM z) WHERE abs(z_return) >= threshold")
-    r.cte("taken", "SELECT asset, unnest(list_reduce(list_transform(ps, lambda c: [c]), lambda acc, x: CASE WHEN x[1] - acc[-1] < 12 THEN acc ELSE list_concat(acc, x) END)) AS pos FROM (SELECT asset, list(pos ORDER BY pos) AS ps FROM candidates WHERE pos >= 48 AND pos + 24 < n GROUP BY 1)")
-    r.cte("moment_shocks", """SELECT *, CASE WHEN heating_class = 'abrupt-like' AND synchrony_class = 'market-wide' THEN 'external-like' WHEN heating_class = 'preheated-like' AND synchrony_class = 'isolated' THEN 'internal-like' ELSE 'other' END AS process_class FROM
-      (SELECT *, CASE WHEN precursor_rank <= 0.4 THEN 'abrupt-like' WHEN precursor_rank >= 0.6 THEN 'preheated-like' ELSE 'intermediate' END AS heating_class, CASE WHEN synchrony >= 0.4 THEN 'market-wide' WHEN synchrony <= 0.2 THEN 'isolated' ELSE 'intermediate' END AS synchrony_class FROM
-      (SELECT c.*, s.synchrony, CASE WHEN z_return < 0 THEN 'negative' ELSE 'positive' END AS direction, (rank() OVER (PARTITION BY c.asset ORDER BY precursor_m2) + (count(*) OVER (PARTITION BY c.asset, precursor_m2) - 1) / 2.0) / count(*) OVER (PARTITION BY c.asset) AS precursor_rank FROM candidates c JOIN taken t ON c.asset = t.asset AND c.pos = t.pos LEFT JOIN synchrony s ON s.begin = c.begin))""")
+    for tag, q in (("", 0.97), ("_rare", 0.99)):
+        r.cte(f"candidates{tag}", f"SELECT *, row_number() OVER (PARTITION BY asset ORDER BY pos) - 1 AS event_id FROM (SELECT *, avg(m2_clipped) {over} 12 PRECEDING AND 1 PRECEDING) AS precursor_m2, avg(m2_clipped) {over} 48 PRECEDING AND 25 PRECEDING) AS far_m2, quantile_cont(abs(z_return), {q}) OVER (PARTITION BY asset) AS threshold, count(*) OVER (PARTITION BY asset) AS n FROM z) WHERE abs(z_return) >= threshold")
+        r.cte(f"taken{tag}", f"SELECT asset, unnest(list_reduce(list_transform(ps, lambda c: [c]), lambda acc, x: CASE WHEN x[1] - acc[-1] < 12 THEN acc ELSE list_concat(acc, x) END)) AS pos FROM (SELECT asset, list(pos ORDER BY pos) AS ps FROM candidates{tag} WHERE pos >= 48 AND pos + 24 < n GROUP BY 1)")
+        r.cte(f"moment_shocks{tag}", f"""SELECT *, CASE WHEN heating_class = 'abrupt-like' AND synchrony_class = 'market-wide' THEN 'external-like' WHEN heating_class = 'preheated-like' AND synchrony_class = 'isolated' THEN 'internal-like' ELSE 'other' END AS process_class FROM
+          (SELECT *, CASE WHEN precursor_rank <= 0.4 THEN 'abrupt-like' WHEN precursor_rank >= 0.6 THEN 'preheated-like' ELSE 'intermediate' END AS heating_class, CASE WHEN synchrony >= 0.4 THEN 'market-wide' WHEN synchrony <= 0.2 THEN 'isolated' ELSE 'intermediate' END AS synchrony_class FROM
+          (SELECT c.*, s.synchrony, CASE WHEN z_return < 0 THEN 'negative' ELSE 'positive' END AS direction, (rank() OVER (PARTITION BY c.asset ORDER BY precursor_m2) + (count(*) OVER (PARTITION BY c.asset, precursor_m2) - 1) / 2.0) / count(*) OVER (PARTITION BY c.asset) AS precursor_rank FROM candidates{tag} c JOIN taken{tag} t ON c.asset = t.asset AND c.pos = t.pos LEFT JOIN synchrony s ON s.begin = c.begin))""")
 
     def shocks(s, d):
         rows = z(s, d)
         return r.keep(hourly.moment_shocks(rows, 0.97, synchrony=hourly.panel_synchrony(rows)))
 
     r.add("h12_moment_shocks", "asset event_id pos begin direction heating_class synchrony_class process_class", "z_return precursor_m2 far_m2 synchrony threshold precursor_rank", shocks, "SELECT * FROM moment_shocks", digits=7)
+    rare = lambda s, d: hourly.moment_shocks(rows := z(s, d), synchrony=hourly.panel_synchrony(rows))
+    r.add("h12_rare_moment_shocks", "asset event_id pos begin direction heating_class synchrony_class process_class", "z_return precursor_m2 far_m2 synchrony threshold precursor_rank", rare, "SELECT * FROM moment_shocks_rare", digits=7)
     paths = lambda s, d: r.keep(hourly.matched_moments(z(s, d), shocks(s, d))[0])
     r.cte("hour_bars", f"""SELECT *, ln(1 + greatest(p12, 0)) AS f1, ln(1 + greatest(far, 0)) AS f2, s12 / sqrt(greatest(far, 0.1)) AS f3, quantile_cont(abs(z_return), 0.95) OVER (PARTITION BY asset) AS cap FROM (SELECT *, {full('avg', 'm2_clipped', -12, -1, 8)} AS p12, {full('avg', 'm2_clipped', -48, -25, 16)} AS far, {full('sum', 'log_return_oc', -12, -1, 8)} AS s12,
       {full('avg', 'm2_clipped', -12, -1, 1)} AS base, count(m2_clipped) OVER (PARTITION BY asset ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS filled, count(*) OVER (PARTITION BY asset) AS n FROM z)""")

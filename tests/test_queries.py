@@ -13,7 +13,8 @@ from shockwell.plans.queries import oracle_sql, queries
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 SAMPLE = ["s8_sparse_candles", "c5_calendar_gaps", "v1_variance_proxies", "v5_ewma_volatility", "v8_proxy_disagreement", "t8_deciles", "h8_innovations", "e1_volatility_shocks", "r2_median_counterfactual", "r17_aftershock_excess", "h12_moment_shocks", "h16_market_moments", "h9_mobility_fits", "d1_curves", "st1_streamed_candles",
-          "s4_payload_rows", "s8_paged_candles", "s9_archive_members", "s10_market_data", "k1_daily_export", "j1_last_event", "j3_recent_order", "q1_sketched_thresholds", "h8_online_scores", "r1_mean_counterfactual", "r9_local_projections", "t13_regression_by_period", "p5_error_bars"]
+          "s4_payload_rows", "s8_paged_candles", "s9_archive_members", "s10_market_data", "k1_daily_export", "j1_last_event", "j3_recent_order", "q1_sketched_thresholds", "h8_online_scores", "r1_mean_counterfactual", "r9_local_projections", "t13_regression_by_period", "p5_error_bars",
+          "r5_matched_controls", "h13_matched_paths", "d6_relaxation_predictions", "d11_omori_probability", "p11_horizon_table", "p14_record_text"]
 
 
 @pytest.fixture(scope="module")
