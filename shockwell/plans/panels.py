@@ -43,7 +43,7 @@ def register(r: Registry) -> None:
     names = "negative_median_excess positive_median_excess negative_minus_positive difference_ci_low difference_ci_high"
     methods = {"HAR conditional median": "r13_horizon_comparisons", "Matched controls": "r13_matched_comparisons"}
     r.add("p11_horizon_table", "asset method horizon negative_events positive_events", names + " bootstrap_p_value", lambda s, d: panels.horizon_table({m: own[n](s, d) for m, n in methods.items()}),
-          " UNION ALL BY NAME ".join(f"SELECT * REPLACE ({', '.join(f'100 * {c} AS {c}' for c in names.split())}), '{m}' AS method FROM ({r.sql[n]})" for m, n in methods.items()), digits=4)
+          " UNION ALL BY NAME ".join(f"SELECT * REPLACE ({', '.join(f'100 * {c} AS {c}' for c in names.split())}), '{m}' AS method FROM ({r.sql[n]})" for m, n in methods.items()), digits=5)  # all that the comparisons have, so that nothing is rounded twice
     told = "a b r_squared rmse".split()
     four = lambda c: f"""coalesce(CASE WHEN {c} = 0 THEN '0' ELSE regexp_replace(regexp_replace(CAST(CAST(round({c} * pow(10.0, 3 - floor(log10(abs({c}))))) / pow(10.0, 3 - floor(log10(abs({c})))) AS DECIMAL(38,12)) AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') END, 'null')"""
     r.add("p14_record_text", "asset model text", "", lambda s, d: own["h9_mobility_fits"](s, d).select("asset", "model", panels.record_text(F.create_map(*[x for c in reversed(told) for x in (F.lit(c), F.col(c))])).alias("text")),
