@@ -19,6 +19,8 @@ from shockwell.streaming import scores
 
 #: Size of the sketches that SQL can check: nothing is lost up to so many values in a group.
 EXACT_SIZE = 65535
+#: Consecutive orders of the table that go into payloads together: no payload has more rows, however many a month has.
+PAGE = 5000
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -42,10 +44,10 @@ def market_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders of each priority and month as one payload, and its rows again."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """The orders of each page of the table as a payload for each priority and month, and their rows again."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("page", F.floor(F.monotonically_increasing_id() / PAGE))
     row = F.array(F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string"), F.col("o_orderstatus"))
-    grouped = orders.groupBy("o_orderpriority", F.date_trunc("month", "o_orderdate").alias("month")).agg(F.collect_list(row).alias("data"))
+    grouped = orders.groupBy("page", "o_orderpriority", F.date_trunc("month", "o_orderdate").alias("month")).agg(F.collect_list(row).alias("data"))
     body = F.to_json(F.struct(F.struct(F.array(F.lit("ORDERKEY"), F.lit("Price"), F.lit("status")).alias("columns"), "data").alias("history")))
     rows = payloads.payload_columns(grouped.select("o_orderpriority", body.alias("payload")), "history", ["orderkey", "price", "status"])
     return rows.select("o_orderpriority", F.col("orderkey").cast("long").alias("orderkey"), "status", F.col("price").cast("double").alias("price"))

@@ -19,7 +19,9 @@ def payload_tables(payloads: DataFrame, table: str, payload_col: str = "payload"
     sound = block.isNotNull() & F.coalesce(block["columns"].isNotNull(), F.lit(False)) & F.coalesce(block["data"].isNotNull(), F.lit(False))
     checked = payloads.withColumn("_block", F.when(sound, block).otherwise(_error(f"no table '{table}' of columns and data in the payload")))
     names = F.transform(F.col("_block.columns"), lambda c: F.lower(c))
-    each = checked.select(*[c for c in payloads.columns if c != payload_col], names.alias("_names"), F.posexplode("_block.data").alias("turn", "_row"))
+    own = [c for c in payloads.columns if c != payload_col]
+    parts = checked.select(*own, names.alias("_names"), F.col("_block.data").alias("_data"))  # else each row carries its whole block
+    each = parts.select(*own, "_names", F.posexplode("_data").alias("turn", "_row"))
     fits = F.size("_row") == F.size("_names")
     return each.withColumn("row", F.when(fits, F.map_from_arrays("_names", "_row")).otherwise(_error("a row has another length than the columns"))).drop("_names", "_row")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shockwell.functions import sketches
 from shockwell.operators import har
 from shockwell.operators.asof import asof_join
+from shockwell.plans import ingest
 from shockwell.sources import archives, pages, payloads, sinks
 from shockwell.sources.candles import positioned
 from shockwell.streaming import scores
@@ -214,3 +215,28 @@ def test_streamed_scores_equal_the_batch(spark, tmp_path):
     assert got.keys() == want.keys() and sum(v[-1] is not None for v in want.values()) > 200
     for k, v in want.items():
         assert got[k] == pytest.approx(v, rel=1e-9) if None not in v else [x is None for x in got[k]] == [x is None for x in v]
+
+
+def test_payloads_stay_small(spark, tmp_path, monkeypatch):
+    """All orders in one month and priority: payloads are pages of them, and no row is lost or doubled."""
+    rows = spark.range(0, 12_000, 1, 2).selectExpr("id AS o_orderkey", "id / 8D AS o_totalprice", "'O' AS o_orderstatus", "'1-URGENT' AS o_orderpriority", "timestamp_ntz'1995-01-02' AS o_orderdate")
+    rows.write.parquet(f"file://{tmp_path}/orders.parquet")
+    sizes, read = [], payloads.payload_columns
+
+    def kept(given, *args):
+        sizes.extend(r.n for r in given.select(F.size(F.from_json("payload", "history struct<data: array<array<string>>>")["history"]["data"]).alias("n")).collect())
+        return read(given, *args)
+
+    monkeypatch.setattr(payloads, "payload_columns", kept)
+    got = ingest.payload_rows(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.orderkey, r.price) for r in got) == [(k, k / 8) for k in range(12_000)]
+    assert sum(sizes) == 12_000 and max(sizes) <= 5000
+
+
+def test_rows_leave_their_payload_behind(spark):
+    """What goes with each row of a payload's table: names, not the table."""
+    rows = spark.createDataFrame([(1, json.dumps({"t": {"columns": ["a"], "data": [[k] for k in range(3000)]}}))], "id int, payload string")
+    got = payloads.payload_columns(rows, "t", ["a"])
+    assert [(r.id, r.turn, r.a) for r in got.collect()] == [(1, k, str(k)) for k in range(3000)]
+    carried = re.search(r"Generate posexplode\(.*?\), \[(.*?)\]", got._jdf.queryExecution().executedPlan().toString()).group(1)
+    assert {c.split("#")[0] for c in carried.split(", ")} == {"id", "_names"}
