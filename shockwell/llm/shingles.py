@@ -1,4 +1,5 @@
-"""Near-duplicates by word shingles: MinHash bands find candidates, exact Jaccard similarity decides."""
+"""Near-duplicates by word shingles: SimHash fingerprints and, beyond their reach, MinHash bands find candidates; exact Jaccard
+similarity decides."""
 
 from __future__ import annotations
 
@@ -16,7 +17,10 @@ from shockwell.llm.components import connected_components
 from shockwell.llm.hot import join_hot
 from shockwell.llm.neighbours import _by_group
 from shockwell.llm.scratch import discard, materialise
+from shockwell.llm.simhash import fingerprint_links, set_fingerprint
 
+#: Differing bits of fingerprints that are candidates, and the blocks that they are cut into.
+DISTANCE, CUTS = 4, 7
 #: Minima in a band, and the bands of each turn: first and end, and whether sets meet only their bucket's first one.
 ROWS, BANDS, TURNS = 5, 30, ((0, 2, True), (0, 2, False), (2, 6, False), (6, 14, False), (14, 30, False))
 #: Sets, and bytes of shingles, in a block of a bucket; columns of a product.
@@ -51,7 +55,7 @@ def band_keys(shingles: np.ndarray, seed: int) -> list[int]:
 
 
 #: Columns of a set.
-SETS = {"id": "long", "mark": "long", "node": "long", "n": "long", "bands": "array<long>", "shingles": "binary"}
+SETS = {"id": "long", "mark": "long", "node": "long", "n": "long", "fp": "long", "bands": "array<long>", "shingles": "binary"}
 
 
 def _sets(words_per_shingle: int, seed: int):
@@ -59,7 +63,8 @@ def _sets(words_per_shingle: int, seed: int):
         for part in (b.slice(k, 128) for b in batches for k in range(0, b.num_rows, 128)):
             sets = [shingle_set(x, words_per_shingle) for x in part.column(1).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-            values = (node, [len(s) for s in sets], [band_keys(s, seed) for s in sets], [s.tobytes() for s in sets])
+            prints = np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            values = (node, [len(s) for s in sets], prints, [band_keys(s, seed) for s in sets], [s.tobytes() for s in sets])
             arrays = [part.column(0), part.column(2), *(pa.array(v, ARROW[t]) for v, t in zip(values, list(SETS.values())[2:], strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, list(SETS))
 
@@ -122,6 +127,21 @@ def _perhaps(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.withColumn("word", F.floor(place / 64)).join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
 
 
+def _alike(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, n): a bucket for each fingerprint's first set, with that set, the others of the same fingerprint, and
+    the first ones of fingerprints linked to it within DISTANCE bits. Buckets of a single set are left out."""
+    own = nodes.where("n > 0").select("fp", "node")
+    prints = materialise(own.groupBy("fp").agg(F.min("node").alias("bucket"), F.count("*").alias("copies")), "prints")
+    links = fingerprint_links(prints.select("fp"), DISTANCE, CUTS)
+    first = prints.select("fp", "bucket")
+    near = links.join(first.withColumnRenamed("fp", "src"), "src").join(first.select(F.col("fp").alias("dst"), F.col("bucket").alias("node")), "dst").select("bucket", "node")
+    same = join_hot(own, prints.where("copies > 1"), "fp", "copies", nodes.count()).where("node != bucket").select("bucket", "node")
+    pairs = near.union(same)
+    out = materialise(pairs.union(pairs.select("bucket", F.col("bucket").alias("node")).distinct()).join(nodes.select("node", "n"), "node").select("bucket", "node", "n"), "alike")
+    discard(prints)
+    return out
+
+
 def text_mark(id_col: str, text_col: str) -> Column:
     """A hash of id and text: tells apart the texts of one id."""
     return F.xxhash64(F.col(id_col).cast("long"), F.lit(0), F.col(text_col).cast("string"))
@@ -132,10 +152,12 @@ def shingle_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     sets of word shingles have at least `similarity` of their union in common; mark is `text_mark`; kept is true for one
     text of each group's smallest id (with that text's repeated rows).
 
-    Equal sets are one node. Thirty bands of five MinHash minima deal the sets into buckets: a pair at 0.8 meets in one
+    Equal sets are one node. Their SimHash fingerprints are linked through shared blocks (`fingerprint_links`), and in a
+    first turn each set meets those that its fingerprint links. Texts at 0.8 differ in about ten of 64 bits, which is beyond
+    what blocks can find, so turns over MinHash bands follow for what isn't joined by then. Thirty bands of five MinHash minima deal the sets into buckets: a pair at 0.8 meets in one
     with probability 1 - (1 - 0.8^5)^30 = 0.999993, one at 0.9 practically always; at a lower `similarity` more pairs
     are missed (0.7: 0.4 %). In a bucket the shared shingles of all pairs from different components are counted exactly,
-    in blocks, and only edges that join components leave it. The bands are used in turns: in the first one sets meet only
+    in blocks, and only edges that join components leave it. The bands are used in turns: in their first one sets meet only
     their bucket's first set, which joins most copies at a cost that follows their number; a bucket whose sets are
     one component by then is not looked at again, so groups of copies travel for the first few bands only, and buckets of a
     single set, the most by far, never do.
@@ -148,17 +170,17 @@ def shingle_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_mark(id_col, text_col).alias("mark"))
     sets = materialise(rows.mapInArrow(released(_sets(words_per_shingle, seed)), ", ".join(f"{c} {t}" for c, t in SETS.items())), "shingles")
-    nodes = materialise(sets.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialise(sets.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     every = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     members = [F.count("*").alias("c"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x"), F.sum(F.xxhash64(F.lit(2), "node").cast("decimal(38,0)")).alias("y")]
     often = every.groupBy("bucket").agg(*members, F.min("band").alias("band")).where("c > 1")
     once = often.groupBy("c", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("first")).select("first.bucket")  # buckets of the same sets are looked at once
     shared = materialise(every.join(once, "bucket", "left_semi"), "buckets")
-    groups = None
-    for begin, end, first_only in TURNS:
-        keys = shared.where(F.col("band").between(begin, end - 1)).drop("band")
+    alike, groups = _alike(nodes), None
+    turns = [(alike, "bucket", True), *((shared.where(F.col("band").between(begin, end - 1)).drop("band"), "node", first_only) for begin, end, first_only in TURNS)]
+    for keys, pivot, first_only in turns:
         keys = keys.withColumn("component", F.col("node")) if groups is None else keys.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = keys.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("pivot"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")).where("low != high")
+        open_ = keys.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(pivot).alias("pivot"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")).where("low != high")
         met = materialise(keys.join(open_.select("bucket", "blocks", "pivot"), "bucket").select("bucket", "blocks", "pivot", "node", "component"), "met")
         if met.isEmpty():
             continue
@@ -183,6 +205,6 @@ def shingle_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     found = join_hot(sets.select("id", "mark", "node"), whole, "node", "copies", sets.count())
     kept = F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("mark") == F.col("keeper.mark"))
     out = materialise(found.select(F.col("id").alias(id_col), "mark", F.col("keeper.id").alias("component_id"), kept.alias("kept")), "near")
-    for table in (sets, nodes, shared, whole, groups):
+    for table in (sets, nodes, shared, alike, whole, groups):
         discard(table)
     return out

@@ -20,6 +20,21 @@ from shockwell.llm.scratch import materialise
 MOST_IN_BUCKET = 1 << 16
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each of 64 bits."""
+    return np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _over_half(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of a set of hashes: a bit is 1 if over half of them have it; an empty set: 0."""
+    step = 1 << 17
+    return _over_half(sum((_ones(hashes[k : k + step]) for k in range(0, len(hashes), step)), np.zeros(64, np.int64)), len(hashes))
+
+
 def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
     """Unsigned 64-bit SimHash: a bit is 1 if over half of the shingles' XXH64 (seed 42) have it; no words: 0."""
     words = text.encode().lower().split() if isinstance(text, str) else []
@@ -34,9 +49,8 @@ def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
     ones = np.zeros(64, np.int64)
     step = 1 << 17
     for k in range(0, n, step):
-        hashes = np.array([digest(joined[i:j], 42) for i, j in zip(starts[k : k + step], ends[k : k + step], strict=True)], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        ones += _ones(np.array([digest(joined[i:j], 42) for i, j in zip(starts[k : k + step], ends[k : k + step], strict=True)], dtype="<u8"))
+    return _over_half(ones, n)
 
 
 def _fingerprints(words_per_shingle: int):

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from shockwell.llm import shingles
 
@@ -60,3 +62,24 @@ def test_pipeline_drops_edited_copies(spark):
     rows = [(k, t, "en") for k, t in enumerate(firsts)] + [(100 + k, edited(r, words, t, 1 + k % 4), "en") for k, t in enumerate(firsts)]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "")
     assert {x.doc_id for x in got.collect()} == set(range(30))
+
+
+def test_fingerprints_link_texts(spark, monkeypatch):
+    """Without bands, texts within the given bits are joined if 0.8 of their shingles are shared, and no others."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(2000)]
+    firsts = [" ".join(r.choice(words) for _ in range(300)) for _ in range(40)]
+    texts = [x for k, t in enumerate(firsts) for x in (t, edited(r, words, t, 1 + k % 20))]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], DOCS)
+    sets = [shingles.shingle_set(t) for t in texts]
+    bits = [shingles.set_fingerprint(s) for s in sets]
+    share = [len(np.intersect1d(sets[k], sets[k + 1])) / len(np.union1d(sets[k], sets[k + 1])) for k in range(0, 80, 2)]
+    apart = [(bits[k] ^ bits[k + 1]).bit_count() for k in range(0, 80, 2)]
+    monkeypatch.setattr(shingles, "TURNS", ())
+    for distance, cuts in ((4, 7), (16, 17)):
+        monkeypatch.setattr(shingles, "DISTANCE", distance)
+        monkeypatch.setattr(shingles, "CUTS", cuts)
+        linked = [d <= distance and s >= 0.8 for d, s in zip(apart, share, strict=True)]
+        assert any(linked) and not all(linked) and (distance == 4 or any(d <= distance and s < 0.8 for d, s in zip(apart, share, strict=True)))
+        got = {x.doc_id: x.component_id for x in shingles.shingle_groups(docs).collect()}
+        assert [got[2 * k + 1] == 2 * k for k in range(40)] == linked and all(got[2 * k] == 2 * k for k in range(40))
