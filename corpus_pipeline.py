@@ -19,7 +19,7 @@ ROW = "row"
 #: Words that a worker of the last stage remembers: half of what packing alone does, as workers are large by then.
 PACKING_WORDS = 400_000
 #: Rows and bytes that a batch for Python holds at most: a batch is held several times over by an executor and its workers.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 
 
 def _bounded(spark: SparkSession) -> None:
@@ -76,7 +76,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens. Null and empty texts are one piece, the end id alone; rows of one
     id, and repeated rows, are packed each for itself; other columns are ignored. An empty table gives no rows."""
     _bounded(spark)
-    return pack_documents(docs, most_words=PACKING_WORDS)
+    return pack_documents(docs, most_words=PACKING_WORDS, keep_words=False)
 
 
 STAGES = [

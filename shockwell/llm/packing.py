@@ -45,7 +45,7 @@ def shortest_pack_first(histogram: dict[int, int], room: int) -> list[tuple[int,
 PIECE = {"id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "ids": "binary"}
 
 
-def _pieces(path: str, end_id: int, room: int, names: list[str], most_words: int):
+def _pieces(path: str, end_id: int, room: int, names: list[str], most_words: int, keep_words: bool):
     types = [ARROW[PIECE[c]] for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,18 +59,20 @@ def _pieces(path: str, end_id: int, room: int, names: list[str], most_words: int
                     own = ids[start : start + room].tobytes()
                     rows.append((i, start, len(own) // 4, zlib.crc32(own), len(ids), own)[: len(names)])
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        if not keep_words:
+            encoder.cache_clear()
 
     return run
 
 
-def pack_documents(docs: DataFrame, room: int = 2048, end_id: int = 1, tokenizer: str | None = None, keep_ids: bool = False, most_words: int = MOST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, room: int = 2048, end_id: int = 1, tokenizer: str | None = None, keep_ids: bool = False, most_words: int = MOST_WORDS, keep_words: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).
 
     Whole texts are encoded and end with `end_id`. Documents longer than `room` are cut at its multiples. The histogram
     of lengths, at most `room` entries, goes to the driver and gives packing patterns; pieces take their places by
     their rank among pieces of the same length. Ranks are made in hash buckets with sums of the buckets before, so the
     commonest length (full pieces) is no single task. `keep_ids` adds little-endian 32-bit ids. A worker remembers the ids of
-    `most_words` words at most.
+    `most_words` words at most, for its next task too if `keep_words`; else the tokenizer goes with them.
 
     Null or empty text: one piece, the end id alone. Null and repeated ids: each row is packed for itself. An empty
     table gives no rows; other columns are ignored.
@@ -79,7 +81,7 @@ def pack_documents(docs: DataFrame, room: int = 2048, end_id: int = 1, tokenizer
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     names = list(PIECE)[: len(PIECE) - (not keep_ids)]
-    pieces = materialise(rows.mapInArrow(released(_pieces(path, end_id, room, names, most_words)), ", ".join(f"{c} {PIECE[c]}" for c in names)), "pieces")
+    pieces = materialise(rows.mapInArrow(released(_pieces(path, end_id, room, names, most_words, keep_words)), ", ".join(f"{c} {PIECE[c]}" for c in names)), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places, used, first = [], defaultdict(int), 0
     for times, lengths in shortest_pack_first(counts, room):

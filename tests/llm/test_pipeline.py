@@ -2,7 +2,11 @@
 
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline
+from shockwell.llm import packing
+from shockwell.llm.tokens import encoder
 
 
 def test_pipeline(spark, tmp_path):
@@ -35,3 +39,14 @@ def test_pipeline(spark, tmp_path):
     assert {22, 200, 201, 202} & set(kept["near_duplicates"]) == {22} and {300, 301} & set(kept["near_duplicates"]) == {300}
     assert set(kept["decontamination"]) == set(kept["near_duplicates"]) and passage not in kept["decontamination"][20] and kept["near_duplicates"][20].startswith(kept["decontamination"][20][:200])
     assert {x.doc_id for x in corpus_pipeline.STAGES[-1][1](spark, now, root).collect()} == set(kept["decontamination"])
+
+
+def test_packing_leaves_no_words_behind(monkeypatch):
+    """Workers of the last stage keep neither tokenizer nor words for the stages of the next run."""
+    asked = {}
+    monkeypatch.setattr(corpus_pipeline, "_bounded", lambda spark: None)
+    monkeypatch.setattr(corpus_pipeline, "pack_documents", lambda docs, **given: asked.update(given))
+    corpus_pipeline.packing(None, None, "")
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["some words", None]})
+    make = packing._pieces(packing.default_tokenizer(), 1, 2048, list(packing.PIECE)[:5], asked["most_words"], asked["keep_words"])
+    assert sum(x.num_rows for x in make(iter([batch]))) == 2 and encoder.cache_info().currsize == 0
