@@ -31,7 +31,7 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     own = _to_minimum(down, total)
-    return own.select("v", "m").union(own.select("u", "m")).toDF("u", "v").where("u != v").distinct()
+    return own.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,23 +70,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Self loops and repeated edges are harmless; edges with a null end are ignored; no edges give no rows.
     The edges of a task are first contracted to stars, CHUNK at a time, which leaves fewer edges and shorter paths.
     Each round is written to the shared folder, so lineage stays short and rounds survive lost executors.
-    The number of rounds grows with the logarithm of a component's diameter.
+    The number of rounds grows with the logarithm of a component's diameter; they end as soon as all components are stars.
     """
     usable = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null and u != v")
     now = materialise(usable.mapInPandas(_contracted, "u long, v long").distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
-        large = materialise(_large_star(now, mark[0]), "edges")
-        after = materialise(_small_star(large, mark[0]), "edges")
+    total, open_ = _state(now)
+    while open_:
+        large = materialise(_large_star(now, total), "edges")
+        after = materialise(_small_star(large, total), "edges")
         discard(now)
         discard(large)
-        now, last, mark = after, mark, _mark(after)
-        if mark == last:
-            break
+        now = after
+        total, open_ = _state(now)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """The number of edges and a sum of their hashes, which stay when a round changes nothing."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """The number of edges, and of nodes with a smaller neighbour that have another neighbour too: none if all components
+    are stars around their smallest node, which a further round would leave as they are."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("end"))
+    nodes = ends.groupBy("end.node").agg(F.sum("end.up").alias("up"), F.count("*").alias("n"))
+    total, open_ = nodes.agg(F.sum("up"), F.count_if((F.col("up") > 0) & (F.col("n") > 1))).first()
+    return total or 0, open_

@@ -21,8 +21,9 @@ from shockwell.llm.simhash import fingerprint_links, set_fingerprint
 
 #: Differing bits of fingerprints that are candidates, and the blocks that they are cut into.
 DISTANCE, CUTS = 4, 7
-#: Minima in a band, and the bands of each turn: first and end, and whether sets meet only their bucket's first one.
-ROWS, BANDS, TURNS = 5, 30, ((0, 2, True), (0, 2, False), (2, 6, False), (6, 14, False), (14, 30, False))
+#: Minima in a band, and the bands of each turn: first and end, and whether sets meet only their bucket's first one. Each
+#: turn finds components anew, in rounds of jobs, so turns are few.
+ROWS, BANDS, TURNS = 5, 30, ((0, 2, True), (0, 4, False), (4, 30, False))
 #: Sets, and bytes of shingles, in a block of a bucket; columns of a product.
 BLOCK, BLOCK_BYTES, COLUMNS = 512, 1 << 22, 2048
 #: Bits of the map that keeps most sets without a partner from the shuffle.
@@ -94,7 +95,8 @@ def _shared(sets: list[np.ndarray], left: int) -> np.ndarray:
 
 def _similar(similarity: float):
     def work(rows: pd.DataFrame) -> pd.DataFrame | None:
-        """Edges that join different components: once a set is compared, all that are like it have its component."""
+        """Edges between different components, named by their smallest nodes: once a set is compared, all that are like it
+        have its component."""
         side = rows["side"].to_numpy()
         order = np.argsort(side == 1, kind="stable")
         left = int((side != 1).sum())
@@ -102,7 +104,8 @@ def _similar(similarity: float):
             return None
         rows = rows.iloc[order]
         sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-        node, component, size = rows["node"].to_numpy(), rows["component"].to_numpy().copy(), np.array([len(s) for s in sets])
+        known, size = rows["component"].to_numpy(), np.array([len(s) for s in sets])
+        component = known.copy()
         shift = left if left < len(rows) else 0
         shared = _shared(sets, left)
         near = shared >= similarity * (size[:left, None] + size[None, shift:] - shared) - 1e-3
@@ -111,8 +114,8 @@ def _similar(similarity: float):
             found = np.flatnonzero(near[i] & (component[shift:] != component[i])) + shift
             if len(found):
                 others, first = np.unique(component[found], return_index=True)
-                src += [node[i]] * len(first)
-                dst += node[found[first]].tolist()
+                src += [known[i]] * len(first)
+                dst += known[found[first]].tolist()
                 component[np.isin(component, others)] = component[i]
         return pd.DataFrame({"src": src, "dst": dst}, dtype="int64") if src else None
 
@@ -152,8 +155,8 @@ def shingle_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     sets of word shingles have at least `similarity` of their union in common; mark is `text_mark`; kept is true for one
     text of each group's smallest id (with that text's repeated rows).
 
-    Equal sets are one node. Their SimHash fingerprints are linked through shared blocks (`fingerprint_links`), and in a
-    first turn each set meets those that its fingerprint links. Texts at 0.8 differ in about ten of 64 bits, which is beyond
+    Equal sets are one node. Their SimHash fingerprints are linked through shared blocks (`fingerprint_links`), and in the
+    first turn each set meets those that its fingerprint links too. Texts at 0.8 differ in about ten of 64 bits, which is beyond
     what blocks can find, so turns over MinHash bands follow for what isn't joined by then. Thirty bands of five MinHash minima deal the sets into buckets: a pair at 0.8 meets in one
     with probability 1 - (1 - 0.8^5)^30 = 0.999993, one at 0.9 practically always; at a lower `similarity` more pairs
     are missed (0.7: 0.4 %). In a bucket the shared shingles of all pairs from different components are counted exactly,
@@ -177,11 +180,14 @@ def shingle_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     once = often.groupBy("c", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("first")).select("first.bucket")  # buckets of the same sets are looked at once
     shared = materialise(every.join(once, "bucket", "left_semi"), "buckets")
     alike, groups = _alike(nodes), None
-    turns = [(alike, "bucket", True), *((shared.where(F.col("band").between(begin, end - 1)).drop("band"), "node", first_only) for begin, end, first_only in TURNS)]
-    for keys, pivot, first_only in turns:
+    linked = alike.withColumn("pivot", F.col("bucket"))
+    banded = [(shared.where(F.col("band").between(begin, end - 1)).select("bucket", "node", "n", F.col("node").alias("pivot")), first_only) for begin, end, first_only in TURNS]
+    together = bool(TURNS) and TURNS[0][2]
+    turns = [(linked.union(banded[0][0]) if together else linked, True), *banded[together:]]
+    for keys, first_only in turns:
         keys = keys.withColumn("component", F.col("node")) if groups is None else keys.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = keys.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(pivot).alias("pivot"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")).where("low != high")
-        met = materialise(keys.join(open_.select("bucket", "blocks", "pivot"), "bucket").select("bucket", "blocks", "pivot", "node", "component"), "met")
+        open_ = keys.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("pivot").alias("pivot"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")).where("low != high")
+        met = materialise(keys.drop("pivot").join(open_.select("bucket", "blocks", "pivot"), "bucket").select("bucket", "blocks", "pivot", "node", "component"), "met")
         if met.isEmpty():
             continue
         every_block = F.sequence(F.lit(0), F.col("blocks") - 1)
